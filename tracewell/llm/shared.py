@@ -167,5 +167,5 @@ def local_spark(app: str = "tracewell") -> SparkSession:
     cpus = os.environ.get("BENCH_CPUS", "8")
     return (
         SparkSession.builder.master(f"local[{cpus}]").appName(app).config("spark.sql.shuffle.partitions", cpus).config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").getOrCreate()
+        .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
