@@ -13,8 +13,6 @@ from .. import schema as S
 from ..functions.scalar import label_slug, relationship_id
 from ..functions.text import grounded, identifier_key
 
-NULL = F.lit(None).cast("string")
-
 
 def merged_entities(drafts: DataFrame) -> DataFrame:
     """A-01, A-02: one row per entity_id; the first draft by seq gives label and type, references unite in first-seen order."""
@@ -64,7 +62,7 @@ def account_edges(accounts: DataFrame) -> tuple[DataFrame, DataFrame]:
     r = F.col("record_id")
     holder = F.col("holder_name").isNotNull() & F.col("holder_type").isin("person", "organization")
     kind = F.upper("holder_type")
-    both = F.array(_entity(F.lit("FINANCIAL_ACCOUNT"), F.col("iban"), F.col("iban"), r, "iban", r), F.when(holder, _entity(kind, NULL, F.col("holder_name"), r, "holder_name", r)))
+    both = F.array(_entity(F.lit("FINANCIAL_ACCOUNT"), F.col("iban"), F.col("iban"), r, "iban", r), F.when(holder, _entity(kind, F.lit(None).cast("string"), F.col("holder_name"), r, "holder_name", r)))
     entities = accounts.select(F.explode(F.array_compact(both)).alias("e")).select("e.*")
     obj = F.concat_ws(":", kind, r, label_slug("holder_name"))
     edges = accounts.filter(holder).select(*_edge(F.concat(F.lit("FINANCIAL_ACCOUNT:"), "iban"), "HELD_BY", obj, F.col("opened_date").cast("timestamp"), F.to_json(F.struct("account_id")), r, ["iban", "holder_name"]))

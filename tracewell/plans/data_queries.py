@@ -143,13 +143,13 @@ def f26(spark, d):
     return table(spark, d, "events").select("event_id", C.nested_value("props", "k").alias("k"))
 
 
-@query("f27_policy_scalars", "select o_orderkey, abs(o_custkey - 100) as a, cast(trunc((o_custkey - 100) / 7.0) as bigint) as q, greatest(o_custkey, 50) as g, least(o_custkey, 50) as l, nullif(o_custkey % 3, 0) as n, upper(o_orderstatus) as u, cast(date_trunc('month', o_orderdate) as date) as m from orders")
+@query("f27_policy_scalars", "select o_orderkey, abs(o_custkey - 100) as a, cast(trunc((o_custkey - 100) / 7.0) as bigint) as q, greatest(o_custkey, 50) as g, least(o_custkey, 50) as l, nullif(o_custkey % 3, 0) as n, upper(o_orderstatus) as u, cast(cast(date_trunc('month', o_orderdate) as date) as string) as m from orders")
 def f27(spark, d):
     c = F.col("o_custkey")
-    return table(spark, d, "orders").select("o_orderkey", F.abs(c - 100).alias("a"), C.minor_division(c - 100, F.lit(7)).alias("q"), F.greatest(c, F.lit(50)).alias("g"), F.least(c, F.lit(50)).alias("l"), F.nullif(c % 3, F.lit(0)).alias("n"), F.upper("o_orderstatus").alias("u"), F.date_trunc("month", F.col("o_orderdate")).cast("date").alias("m"))
+    return table(spark, d, "orders").select("o_orderkey", F.abs(c - 100).alias("a"), C.minor_division(c - 100, F.lit(7)).alias("q"), F.greatest(c, F.lit(50)).alias("g"), F.least(c, F.lit(50)).alias("l"), F.nullif(c % 3, F.lit(0)).alias("n"), F.upper("o_orderstatus").alias("u"), F.date_trunc("month", F.col("o_orderdate")).cast("date").cast("string").alias("m"))
 
 
-@query("f28_casts", "select o_orderkey, cast(o_custkey as smallint) as s, cast(o_orderkey as int) as i, cast(o_orderdate as date) as d, cast(o_totalprice as decimal(18,2)) as n, cast(o_orderkey as string) as t from orders")
+@query("f28_casts", "select o_orderkey, cast(o_custkey as smallint) as s, cast(o_orderkey as int) as i, cast(cast(o_orderdate as date) as string) as d, cast(cast(o_totalprice as decimal(18,2)) as double) as n, cast(o_orderkey as string) as t from orders")
 def f28(spark, d):
     return table(spark, d, "orders").selectExpr("o_orderkey", "cast(o_custkey as smallint) as s", "cast(o_orderkey as int) as i", "cast(o_orderdate as date) as d", "cast(o_totalprice as decimal(18,2)) as n", "cast(o_orderkey as string) as t")
 
