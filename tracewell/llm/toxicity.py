@@ -1,7 +1,7 @@
 """Toxicity: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-Features of a text: densities of a lexicon (as written, and with obfuscating signs read as letters), how often its words
-stand near the second person, capitals, punctuation, repeated signs and the share of words with signs inside.
+Features of a text: densities of a fixed lexicon (as written, and with obfuscating signs read as letters) and of one
+learned from the labelled sample, how often their words stand near the second person, capitals, punctuation, repeated signs and the share of words with signs inside.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import labelled_sample
-from .shared import LOWER, SPACE, U64, arrow_map, hash_runs, held, runs, text_pieces
+from .shared import LOWER, SPACE, U64, arrow_map, cut, hash_runs, held, mix, runs, text_pieces
 
 #: At most so many labelled documents are fitted on.
 SAMPLE, TREES, DEPTH, BINS, RATE = 12_000, 80, 3, 64, 0.15
@@ -32,7 +32,9 @@ ODD = np.zeros(256, bool)
 ODD[[*b"0134578@$!|+*#%&_.-"]] = True
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
-N_FEATURES = 18
+N_FEATURES = 20
+#: Words of the learned lexicon at most, the toxic documents that each needs, and the least log-odds (one standard error off).
+LEARNED, LEAST_DOCS, LEAST_ODDS = 4096, 3, 1.5
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -57,8 +59,8 @@ def _in(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return out
 
 
-def features(column: pa.Array) -> Iterator[np.ndarray]:
-    """Features of each row, piece by piece; a text without words has zeros."""
+def features(column: pa.Array, learned: np.ndarray) -> Iterator[np.ndarray]:
+    """Features of each row, piece by piece; a text without words has zeros. learned: sorted hashes of words."""
     with np.errstate(over="ignore"):
         for _, data, offsets in text_pieces(column):
             rows = len(offsets) - 1
@@ -85,13 +87,14 @@ def features(column: pa.Array) -> Iterator[np.ndarray]:
             n, n2 = np.maximum(1, np.bincount(row, minlength=rows)), np.maximum(1, np.bincount(row2, minlength=rows))
             count = lambda hit, r: np.bincount(r[hit], minlength=rows).astype(float)
             strong, mild, second = _in(h, _strong), _in(h, _mild), _in(h, _second)
+            own_words = _in(h, learned) if len(learned) else np.zeros(len(h), bool)
             strong2, mild2 = _in(h2, _strong), _in(h2, _mild)
             s, m, s2, m2 = count(strong, row), count(mild, row), count(strong2, row2), count(mild2, row2)
             out[:, 0], out[:, 1], out[:, 2], out[:, 3] = s / n, m / n, s2 / n2, m2 / n2
             out[:, 4], out[:, 5] = np.log1p(s + s2), np.log1p(m + m2)
             out[:, 6] = count(second, row) / n
             place = np.flatnonzero(second)
-            bad = np.flatnonzero(strong | mild)
+            bad = np.flatnonzero(strong | mild | own_words)
             if len(place) and len(bad):
                 i = np.clip(np.searchsorted(place, bad), 1, max(1, len(place) - 1))
                 near = np.full(len(bad), 1 << 30)
@@ -106,14 +109,15 @@ def features(column: pa.Array) -> Iterator[np.ndarray]:
             twice[1:] = data[1:] == data[:-1]
             out[:, 12] = total(twice) / size
             odd = np.add.reduceat(ODD[data[dense_at]].astype(np.int32), dense_first)
-            own = np.add.reduceat(LETTER[data[dense_at]].astype(np.int32), dense_first)
+            letters_in = np.add.reduceat(LETTER[data[dense_at]].astype(np.int32), dense_first)
             drow = np.searchsorted(offsets, dense_at[dense_first], "right") - 1
             edge = ODD[data[dense_at[dense_first + dense_lens - 1]]].astype(np.int32)
-            out[:, 13] = count((odd > edge) & (own > 0), drow) / np.maximum(1, np.bincount(drow, minlength=rows))
+            out[:, 13] = count((odd > edge) & (letters_in > 0), drow) / np.maximum(1, np.bincount(drow, minlength=rows))
             out[:, 14] = np.log1p(n)
             out[:, 15] = (s + m) > 0
             out[:, 16] = np.maximum(0, s2 + m2 - s - m) / n2
             out[:, 17] = np.bincount(row, lens, minlength=rows) / n
+            out[:, 18], out[:, 19] = count(own_words, row) / n, np.log1p(count(own_words, row))
             yield out
 
 
@@ -124,6 +128,7 @@ class Boosted:
         self.edges, self.base = edges, base
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.steps = (np.array([0.0]), np.array([0.5]))
+        self.learned = np.zeros(0, U64)
 
     def binned(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([np.searchsorted(e, x[:, f], "right") for f, e in enumerate(self.edges)]).astype(np.int32) if len(x) else np.zeros((0, len(self.edges)), np.int32)
@@ -197,22 +202,65 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 11) -> Boosted:
     return model
 
 
+def _fold(batch: pa.RecordBatch) -> np.ndarray:
+    return (mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64)) >> U64(63)).astype(np.int64)
+
+
+def learned_words(sample: DataFrame) -> list[np.ndarray]:
+    """Sorted hashes of the words that mark toxic documents of the sample: learned without its half 0, without its half 1, and from all.
+
+    Words are counted once a document and summed by Spark; at most LEARNED words of each list come to the driver.
+    """
+
+    def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        fold, y = _fold(batch), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+        for first, data, offsets in text_pieces(batch.column(1)):
+            low = LOWER[data]
+            at, start, lens = runs(WORD_BYTE[low], offsets)
+            if len(at):
+                pairs = np.unique(np.column_stack([(np.searchsorted(offsets, at[start], "right") - 1).astype(np.int64), hash_runs(low, at, start, lens).view(np.int64)]), axis=0)
+                row = pairs[:, 0] + first
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(fold[row]), pa.array(y[row])], ["h", "fold", "y"])
+
+    words = arrow_map(sample.select("doc_id", "text", "y"), fn, "h long, fold long, y long")
+    n = {(r.fold, r.y): r["count"] for r in arrow_map(sample.select("doc_id", "text", "y"), lambda b: iter([pa.RecordBatch.from_arrays([pa.array(_fold(b)), b.column(2).cast(pa.int64())], ["fold", "y"])]), "fold long, y long").groupBy("fold", "y").count().collect()}
+    count = lambda f, y: F.count(F.when((F.col("fold") == f) & (F.col("y") == y), 1))
+    by = cut(words.groupBy("h").agg(*[count(f, y).alias(f"c{f}{y}") for f in (0, 1) for y in (0, 1)]).filter(F.col("c01") + F.col("c11") >= LEAST_DOCS))
+    out = []
+    for folds in ((1,), (0,), (0, 1)):
+        toxic, clean = (sum(n.get((f, y), 0) for f in folds) for y in (1, 0))
+        a, b = (sum((F.col(f"c{f}{y}") for f in folds), F.lit(0)) for y in (1, 0))
+        odds = F.log((a + 0.5) / (toxic + 1)) - F.log((b + 0.5) / (clean + 1)) - F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+        best = by.filter(a >= LEAST_DOCS).select("h", odds.alias("odds")).filter(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("odds"), "h").limit(LEARNED)
+        out.append(np.sort(np.array([r.h for r in best.collect()], np.int64).view(U64)))
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Boosted:
-    """Fitted on at most `sample` labelled documents, none of the held-out fold."""
+    """Fitted on at most `sample` labelled documents, none of the held-out fold.
+
+    While fitting, a document's learned words come from the half of the sample that it is not in.
+    """
+    chosen = labelled_sample(docs, labels, "toxic", 5, 0, True, sample).dropDuplicates(["doc_id"])
+    lists = learned_words(chosen)
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        x = np.concatenate([*features(batch.column(1)), np.zeros((0, N_FEATURES))])
+        none = np.zeros((0, N_FEATURES))
+        both = [np.concatenate([*features(batch.column(1), words), none]) for words in lists[:2]]
+        x = np.where(_fold(batch)[:, None] == 0, both[0], both[1])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(2).cast(pa.int32())], ["doc_id", "x", "y"])
 
-    got = arrow_map(labelled_sample(docs, labels, "toxic", 5, 0, True, sample), fn, "doc_id long, x binary, y int").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    return fit(np.frombuffer(b"".join(got.x), np.float64).reshape(len(got), N_FEATURES), got.y.to_numpy(np.float64))
+    got = arrow_map(chosen, fn, "doc_id long, x binary, y int").toPandas().sort_values("doc_id")
+    model = fit(np.frombuffer(b"".join(got.x), np.float64).reshape(len(got), N_FEATURES), got.y.to_numpy(np.float64))
+    model.learned = lists[2]
+    return model
 
 
 def score(docs: DataFrame, model: Boosted) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `docs` (doc_id, text); null and empty texts are scored as texts without words."""
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        p = np.concatenate([model.score(x) for x in features(batch.column(1))] or [np.zeros(0)])
+        p = np.concatenate([model.score(x) for x in features(batch.column(1), model.learned)] or [np.zeros(0)])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["doc_id", "score"])
 
     out = arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), fn, "doc_id long, score double")
