@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import iban_mod97, luhn_check_digit
+from ..plans.lineage import cut
 
 # Fixed values of the policy.
 TOLERANCE_S, LOOKBACK_H, MIN_EVENTS, LOWER_MINOR, UPPER_MINOR, WINDOW_DAYS, MIN_COUNT = 90, 24, 2, 900_000, 1_000_000, 3, 3
@@ -201,14 +202,14 @@ def dag_problems(nodes: DataFrame, edges: DataFrame, root: str, rounds: int = 64
     reached = nodes.filter(F.col("node_id") == root).select("node_id").distinct()
     front = reached
     for _ in range(rounds):
-        front = front.join(edges, front.node_id == edges.parent).select(F.col("child").alias("node_id")).distinct().join(reached, "node_id", "left_anti").checkpoint()
+        front = cut(front.join(edges, front.node_id == edges.parent).select(F.col("child").alias("node_id")).distinct().join(reached, "node_id", "left_anti"))
         if front.isEmpty():
             break
-        reached = reached.unionByName(front).checkpoint()
+        reached = cut(reached.unionByName(front))
     left = edges.select("parent", "child").distinct()
     for _ in range(rounds):
         n = left.count()
-        left = left.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("parent", "child").checkpoint()
+        left = cut(left.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("parent", "child"))
         if left.count() == n:
             break
     problems = twice.unionByName(lost).unionByName(say(leaves, "open_leaf")).unionByName(say(nodes.join(reached, "node_id", "left_anti"), "unreachable"))

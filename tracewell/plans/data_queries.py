@@ -151,7 +151,7 @@ def f27(spark, d):
 
 @query("f28_casts", "select o_orderkey, cast(o_custkey as smallint) as s, cast(o_orderkey as int) as i, cast(cast(o_orderdate as date) as string) as d, cast(cast(o_totalprice as decimal(18,2)) as double) as n, cast(o_orderkey as string) as t from orders")
 def f28(spark, d):
-    return table(spark, d, "orders").selectExpr("o_orderkey", "cast(o_custkey as smallint) as s", "cast(o_orderkey as int) as i", "cast(o_orderdate as date) as d", "cast(o_totalprice as decimal(18,2)) as n", "cast(o_orderkey as string) as t")
+    return table(spark, d, "orders").selectExpr("o_orderkey", "cast(o_custkey as smallint) as s", "cast(o_orderkey as int) as i", "cast(cast(o_orderdate as date) as string) as d", "cast(cast(o_totalprice as decimal(18,2)) as double) as n", "cast(o_orderkey as string) as t")
 
 
 @query("f29_network_roles", "select event_id, case when event_type = 'click' then user_id else user_id + 1 end as sender, case when event_type = 'click' then user_id + 1 else user_id end as receiver from events")

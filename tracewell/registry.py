@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries():
-    from .plans import data_queries, rule_queries  # noqa: F401 - they register themselves
+    from .plans import data_queries, more_queries, rule_queries  # noqa: F401 - they register themselves
 
     return dict(QUERIES)
 
