@@ -274,6 +274,17 @@ def r01(spark, d):
     return R.bm25(table(spark, d, "documents"), "the that", 20, key="doc_id")
 
 
+@query("r01_chunk_search")
+def r01_chunks(spark, d):
+    """X-03, R-01, J-01, P-09: documents in chunks, the best by BM25, joined with their records, each slice verified."""
+    docs = _docs(spark, d)
+    chunks = X.chunk_text(docs).withColumn("chunk_id", C.chunk_id(F.col("record_id"), F.col("char_start"), F.col("char_end")))
+    best = R.bm25(chunks, "the that", 20, text="chunk")
+    found = chunks.join(F.broadcast(best), "chunk_id").join(docs, "record_id")  # twenty rows
+    sound = F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) == F.col("chunk")
+    return found.filter(sound).select("rank", "chunk_id", "record_id", "score", "char_start", "char_end", "chunk")
+
+
 def _probe(spark, d):
     return table(spark, d, "embeddings").filter("vec_id = 0").select("embedding").first().embedding
 
