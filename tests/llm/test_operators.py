@@ -172,7 +172,7 @@ def luhn(s):
 
 
 def test_pseudonyms(spark):
-    texts = ["call +1 (499) 555-6503 or +1 (499) 555-6503", "ip 97.51.17.173.", "card 4111111111111111, number 9807915762804490!!", 'token = "1eb9c654e721b4f812088970e66a6345cee33dd6"', "born 1984-02-29, 31/12/1999 or 12/31/1999, not 2020-02-31", "GR16 0110 1250 0000 0001 2300 695 and DE89370400440532013000", "mail a.b@c.example and x@c.example", "plain 4.0 text 2.0 of 1234 words"]
+    texts = ["call +1 (499) 555-6503 or +1 (499) 555-6503", "ip 97.51.17.173.", "card 4111111111111111, number 9807915762804490!!", 'token = "1eb9c654e721b4f812088970e66a6345cee33dd6"', "born 1984-02-29, 31/12/1999 or 12/31/1999, not 2020-02-31", "GR16 0110 1250 0000 0001 2300 695 and DE89370400440532013000", "mail a.b@c.example and x@c.example", "plain 4.0 text 2.0 of 1234 words, 2020 2021 2022 2024 and 1 2 3 4 5 6 7 8 9 10 11 12 13 14", "card 4111 1111 1111 1111, 4111-1111-1111-1112"]
     d = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
     out = {r.doc_id: r.text for r in pii.with_pseudonyms(d, "k").collect()}
     a, b = re.findall(r"\+1 \(\d{3}\) \d{3}-\d{4}", out[0])
@@ -189,6 +189,7 @@ def test_pseudonyms(spark):
         i = i.replace(" ", "")
         assert int("".join(str(int(c, 36)) for c in i[4:] + i[:4])) % 97 == 1
     assert out[5] != texts[5] and len(out[5]) == len(texts[5]) and out[7] == texts[7]
+    assert luhn(re.sub(" ", "", re.search(r"card (\d{4}(?: \d{4}){3}),", out[8])[1])) and "4111 1111 1111 1111" not in out[8] and out[8].endswith(" 4111-1111-1111-1112")
     assert len({x.split("@")[1] for x in re.findall(r"\S+@\S+", out[6])}) == 1 and "c.example" not in out[6]
 
 

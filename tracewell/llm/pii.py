@@ -24,7 +24,7 @@ PATTERNS = {
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
     "phone": r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .\-]?\(?[0-9]{1,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}|\(?[0-9]{3}\)?[ .\-][0-9]{3}[.\-][0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
-    "number": r"(?<![A-Za-z0-9.])[0-9](?:[ \-]?[0-9]){12,18}(?![A-Za-z0-9])",
+    "number": r"(?<![A-Za-z0-9.])(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![A-Za-z0-9])",
 }
 ANY = "|".join(PATTERNS.values())
 #: Every pattern needs one of these signs, so a text without them is told by one plain search.
@@ -83,11 +83,12 @@ def luhn_sum(digits: Column, doubled: int) -> Column:
 
 
 def _number(key: str, m: Column) -> Column:
+    """A card number, by its check digit, in one piece or in groups; other long numbers only in one piece, as groups may be anything."""
     digits = F.regexp_replace(m, "[^0-9]", "")
 
     def card(d: Column) -> Column:
         body = let(permuted_digits(key, "card", d.substr(F.lit(1), F.length(d) - 1)), lambda b: F.concat(b, F.pmod(-luhn_sum(b, 0), F.lit(10)).cast("string")))
-        return F.when(luhn_sum(d, 1) % 10 == 0, body).otherwise(permuted_digits(key, "number", d))
+        return F.when(luhn_sum(d, 1) % 10 == 0, body).when(~m.rlike("[^0-9]"), permuted_digits(key, "number", d)).otherwise(d)
 
     return put_back(m, let(digits, card))
 
