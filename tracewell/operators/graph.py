@@ -14,17 +14,29 @@ from ..functions.scalar import label_slug, relationship_id
 from ..functions.text import grounded, identifier_key
 
 
+def united_refs(drafts: DataFrame, key: str) -> DataFrame:
+    """key, source_refs: distinct references in first-seen order.
+
+    Repeated references meet in a pre-aggregated minimum first, so what is gathered for a hot key is its result and no more.
+    """
+    first = drafts.select(key, "seq", F.posexplode("source_refs").alias("_p", "_ref")).groupBy(key, "_ref").agg(F.min(F.struct("seq", "_p")).alias("_at"))
+    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_ref"))), lambda x: x["_ref"]).alias("source_refs"))
+
+
 def merged_entities(drafts: DataFrame) -> DataFrame:
-    """A-01, A-02: one row per entity_id; the first draft by seq gives label and type, references unite in first-seen order."""
-    refs = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "source_refs"))), lambda x: x["source_refs"])))
-    return drafts.groupBy("entity_id").agg(F.min_by("entity_type", "seq").alias("entity_type"), F.min_by("label", "seq").alias("label"), F.min_by("normalized_key", "seq").alias("normalized_key"), refs.alias("source_refs"), F.count(F.lit(1)).alias("mentions"))
+    """A-01, A-02: one row per entity_id; the first draft by seq gives label, type and key, references unite in first-seen order."""
+    first = drafts.groupBy("entity_id").agg(F.min(F.struct("seq", "entity_type", "label", "normalized_key")).alias("_f"), F.count(F.lit(1)).alias("mentions"))
+    out = first.join(united_refs(drafts, "entity_id"), "entity_id", "left")
+    refs = F.coalesce("source_refs", F.array().cast(drafts.schema["source_refs"].dataType))
+    return out.select("entity_id", "_f.entity_type", "_f.label", "_f.normalized_key", refs.alias("source_refs"), "mentions")
 
 
 def merged_relationships(drafts: DataFrame) -> DataFrame:
     """A-03: one row per relationship_id, the first by seq, with the references of all."""
-    refs = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "source_refs"))), lambda x: x["source_refs"])))
     others = [c for c in drafts.columns if c not in ("relationship_id", "source_refs", "seq")]
-    return drafts.groupBy("relationship_id").agg(*[F.min_by(c, "seq").alias(c) for c in others], refs.alias("source_refs"))
+    first = drafts.groupBy("relationship_id").agg(*[F.min_by(c, "seq").alias(c) for c in others])
+    refs = F.coalesce("source_refs", F.array().cast(drafts.schema["source_refs"].dataType))
+    return first.join(united_refs(drafts, "relationship_id"), "relationship_id", "left").withColumn("source_refs", refs)
 
 
 def _entity(kind: Column, key: Column, label: Column, record: Column, field: str, seq: Column) -> Column:
@@ -206,7 +218,7 @@ class Connections:
 
 
 def find_connections(nodes: DataFrame, edges: DataFrame, seeds: Sequence[str], limits: Limits, server: Limits | None = None, targets: Sequence[str] = ()) -> Connections:
-    """G-01 to G-10: simple undirected paths from the seeds, hop by hop, within limits on everything.
+    """G-01 to G-10, O-05: simple undirected paths from the seeds, hop by hop, within limits on everything.
 
     Each hop loads its edges and missing nodes from Spark, ordered and limited to what is left of the row budget (256 at
     most by default), and the caps, which depend on order, are applied on the driver to those bounded rows.

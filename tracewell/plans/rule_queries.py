@@ -327,11 +327,15 @@ STATEMENTS = [
     ("SELECT * FROM agent_read.accounts_v1", "star_not_allowed"), ("SELECT record_id, content_hash, source_refs, secret FROM agent_read.accounts_v1", "column_not_allowed"), ("SELECT record_id, content_hash, source_refs, sha2(iban, $1) AS h FROM agent_read.accounts_v1", "function_not_allowed"),
     ("SELECT iban FROM agent_read.accounts_v1", "provenance_required"), ("SELECT record_id, content_hash, source_refs FROM agent_read.accounts_v1 WHERE iban = $2", "parameter_mismatch"), ("WITH RECURSIVE r AS (SELECT record_id FROM agent_read.accounts_v1) SELECT record_id FROM r", "recursive_cte"),
     ("SELECT record_id, content_hash, source_refs FROM agent_read.accounts_v1 WHERE iban RLIKE $1", "operator_not_allowed"), ("SELECT record_id, content_hash, source_refs, CAST(iban AS binary) AS b FROM agent_read.accounts_v1", "cast_not_allowed"),
+    # A-18, W-09, U-04: no grouping sets; windows only of the allowed aggregates; no set operations.
+    ("SELECT currency, sum(amount_minor) AS s FROM agent_read.transactions_v1 GROUP BY ROLLUP(currency)", "unknown_ast_node"), ("SELECT record_id, content_hash, source_refs, row_number() OVER (ORDER BY record_id) AS n FROM agent_read.transactions_v1", "function_not_allowed"),
+    ("SELECT record_id, content_hash, source_refs, sum(amount_minor) OVER (PARTITION BY currency) AS s FROM agent_read.transactions_v1", "ok"), ("SELECT record_id FROM agent_read.accounts_v1 INTERSECT SELECT record_id FROM agent_read.transactions_v1", "set_operation"), ("SELECT record_id FROM agent_read.accounts_v1 EXCEPT SELECT record_id FROM agent_read.transactions_v1", "set_operation"),
 ]
 
 
 @query("q01_policy_gate", " union all ".join(f"select {i} as id, '{c}' as code" for i, (_, c) in enumerate(STATEMENTS)))
 def q01(spark, d):
+    """Q-01 to Q-16, A-18, W-09, U-04: the first rule that each statement breaks."""
     kinds = [gate.Parameter(1, "integer", 5), gate.Parameter(2, "text", "EUR"), gate.Parameter(3, "integer", 10)]
     rows = []
     for i, (sql, _) in enumerate(STATEMENTS):

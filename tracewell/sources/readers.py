@@ -41,7 +41,7 @@ def mapped(value: Column, table: dict[str, str], what: str) -> Column:
 
 
 def envelope(df: DataFrame, system: str, local: str, kind: str, when: Column, original: Column, text: Column, normalized: dict[str, Column], raw: list[str]) -> DataFrame:
-    """P-01: the ten columns of a record; the payload keeps the raw fields and what was made of them."""
+    """P-01, T-18: the ten columns of a record; the payload keeps the raw fields and what was made of them."""
     payload = F.to_json(F.struct(*raw, F.struct(*[c.alias(n) for n, c in normalized.items()]).alias("normalized")))
     return df.select(
         record_id(F.lit(system), F.col(local)).alias("record_id"), F.lit(system).alias("source_system"), F.col(local).alias("source_record_id"), F.lit(kind).alias("record_type"), F.col("_path").alias("source_path"),
