@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .shared import arrow_map
 
 #: Words and fragments that a worker keeps; beyond that it starts anew. Longer words are not kept.
-KEPT, KEPT_LENGTH = 3 << 17, 64
+KEPT, KEPT_LENGTH = 1 << 17, 64
 
 
 def default_vocabulary() -> str:
@@ -82,10 +82,10 @@ class Encoder:
         self.base = max(v.values()) + 1
         key = a * self.base + b
         self.none = len(self.ranks)
-        bits = 22
+        bits = 20
         self.shift = np.uint64(64 - bits)
         slot = self._slot(key)
-        first = np.full(1 << bits, -1, np.int64)
+        first = np.full(1 << bits, -1, np.int32)
         order = np.argsort(slot, kind="stable")
         s = slot[order]
         start = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
@@ -107,7 +107,7 @@ class Encoder:
     def _ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair of symbols (none where they don't merge) and the symbol it makes."""
         key = left * self.base + right
-        at = self.first[self._slot(key)]
+        at = self.first[self._slot(key)].astype(np.int64)
         rank, made = np.full(len(key), self.none), np.full(len(key), -1)
         for d in range(self.deep):
             hit = np.flatnonzero((at >= 0) & (self.keys[at + d] == key))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; bounds a worker's memory whatever the size of an Arrow batch.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 U64 = np.uint64
 
 
