@@ -55,6 +55,14 @@ def test_knn_awkward(spark):
     assert knn.voronoi_knn(df.limit(0), df, 5).count() == 0 and knn.voronoi_knn(df, df.limit(0), 5).count() == 0
 
 
+def test_knn_blocks_without_data(spark):
+    centres = np.array([[900, 0, 0], [0, 900, 0], [0, 0, 900]])
+    v = [(i, [int(x) for x in centres[0 if i < 4 else 1 + i % 2] + np.array([i % 7, i % 5, i % 3])]) for i in range(400)]
+    df = spark.createDataFrame(v, "id long, v array<long>")
+    got = knn.voronoi_knn(df, df.filter("id < 4"), 2, pivots=40, query_block=4, data_block=10)
+    assert sorted(map(tuple, got.collect())) == brute(v, v[:4], 2)
+
+
 # 2 and 6
 def test_classifiers(spark):
     rng = np.random.default_rng(2)

@@ -72,7 +72,7 @@ def _top(left: pa.Table, right: pa.Table, dim: int, k: int) -> pa.Table:
     top = lambda m: math.sqrt(max(1.0, float((m.astype(np.float64) ** 2).sum(1).max(initial=0))))
     exact = top(q) * top(s) < EXACT
     s = s.astype(np.float64).T if exact else s.astype(object).T
-    for i in range(0, len(qid), 64):
+    for i in range(0, len(qid) if len(sid) else 0, 64):  # a block may have lost all its data to the bounds
         score = q[i : i + 64].astype(np.float64) @ s if exact else (q[i : i + 64].astype(object) @ s)
         if exact:
             lo, hi = np.searchsorted(sid, qid[i : i + 64], "left"), np.searchsorted(sid, qid[i : i + 64], "right")
