@@ -303,6 +303,14 @@ def test_bpe_forgets_and_goes_on(monkeypatch):
     assert [e.encode_texts([t])[0] for t in texts] == bpe.Encoder(bpe.default_vocabulary()).encode_texts(texts)
 
 
+def test_bpe_slice_beyond_the_cap(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT", 40)
+    e, texts = bpe.Encoder(bpe.default_vocabulary()), [" ".join(f"word{chr(97 + i)}{j}" for j in "abcdefghi") for i in range(26)]
+    e.encode_texts(texts[:2])
+    want = bpe.encoder(bpe.default_vocabulary()).encode_texts([*texts, "x" * 99])
+    assert e.encode_texts([*texts, "x" * 99]) == want and len(e.ids) <= 40 and e.encode_texts(texts[:2]) == want[:2]
+
+
 def test_bpe_awkward(spark):
     d = awkward(spark)
     got = bpe.encoded(d).collect()

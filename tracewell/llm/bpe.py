@@ -114,11 +114,10 @@ class Encoder:
             rank[hit], made[hit] = self.rank_of[at[hit] + d], self.made[at[hit] + d]
         return rank, made
 
-    def learn(self, words: list[str]) -> None:
-        """Encode words that are not kept yet: all are cut at the certain cuts, and their fragments merged side by side."""
-        short = [w for w in words if len(w) <= KEPT_LENGTH]
-        if len(self.ids) + len(short) > KEPT:
-            self.ids.clear(), self.shown.clear()
+    def learn(self, short: list[str]) -> tuple[dict[str, str], dict[str, str]]:
+        """Ids and tokens of words: all are cut at the certain cuts, and their fragments merged side by side."""
+        new_ids: dict[str, str] = {}
+        new_shown: dict[str, str] = {}
         raw = [w.encode() for w in short]
         lens = np.array([len(x) for x in raw])
         if len(raw):
@@ -153,8 +152,9 @@ class Encoder:
             bounds = np.searchsorted(owner, np.arange(len(raw) + 1)).tolist()
             sym, tokens = sym.tolist(), self.tokens
             for w, a, b in zip(short, bounds, bounds[1:], strict=False):
-                self.ids[w] = "".join([f" {x}" for x in sym[a:b]])
-                self.shown[w] = "".join([f" {tokens[x]}" for x in sym[a:b]])
+                new_ids[w] = "".join([f" {x}" for x in sym[a:b]])
+                new_shown[w] = "".join([f" {tokens[x]}" for x in sym[a:b]])
+        return new_ids, new_shown
 
     def _long(self, word: str) -> tuple[str, str]:
         """Ids and tokens of a word too long to keep, fragment by fragment."""
@@ -200,11 +200,17 @@ class Encoder:
         every = set()
         for parts in found:
             every.update(*parts[::2])
-        missing = [*(every - self.ids.keys())]
-        self.learn(missing)
+        missing = every - self.ids.keys()
         long = {w: self._long(w) for w in missing if len(w) > KEPT_LENGTH}
-        if len(missing) > len(long) and not every - long.keys() <= self.ids.keys():  # the kept words were cleared
-            self.learn([*(every - self.ids.keys() - long.keys())])
+        new_ids, new_shown = self.learn([*(missing - long.keys())])
+        known_ids, known_shown = self.ids, self.shown
+        if len(self.ids) + len(new_ids) > KEPT:
+            # The words of these texts stay at hand whatever their number; only what is kept for later texts starts anew.
+            old = every & self.ids.keys()
+            known_ids, known_shown = {w: self.ids[w] for w in old} | new_ids, {w: self.shown[w] for w in old} | new_shown
+            self.ids.clear(), self.shown.clear()
+        if len(new_ids) <= KEPT:
+            self.ids.update(new_ids), self.shown.update(new_shown)
         out = []
         for parts in found:
             ids, shown = [], []
@@ -212,11 +218,11 @@ class Encoder:
                 if k % 2:
                     ids.append(f" {self.special[p]}"), shown.append(f" {p}")
                 elif long:
-                    ids += [long[w][0] if w in long else self.ids[w] for w in p]
-                    shown += [long[w][1] if w in long else self.shown[w] for w in p]
+                    ids += [long[w][0] if w in long else known_ids[w] for w in p]
+                    shown += [long[w][1] if w in long else known_shown[w] for w in p]
                 else:
-                    ids += map(self.ids.__getitem__, p)
-                    shown += map(self.shown.__getitem__, p)
+                    ids += map(known_ids.__getitem__, p)
+                    shown += map(known_shown.__getitem__, p)
             out.append(("".join(ids)[1:], "".join(shown)[1:]))
         return out
 
