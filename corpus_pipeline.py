@@ -15,8 +15,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return neardup.drop_near_duplicates(docs)
+    """One document of each group of near-duplicates, of a similarity of 0.8 or more."""
+    return neardup.drop_near_duplicates(docs, percent=80)
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,3 +42,11 @@ def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_near_copies_from_four_fifths_on(spark, sf):
+    import corpus_pipeline as P
+
+    words = [f"w{i}" for i in range(104)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:50], "x", *words[51:72], "y", *words[73:]]))]  # 90 of 110 shingles: 0.818
+    assert [r.doc_id for r in P.drop_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()] == [1]

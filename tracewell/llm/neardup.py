@@ -13,6 +13,7 @@
 
 At similarity 0.85 a pair agrees in fewer than 12 of 32 posted coordinates with probability under 1e-9, and in fewer
 than 32 of all 64 under 1e-10, so the thresholds lose no link in practice; they are far below the expected 27 and 54.
+At 0.80, the pipeline's bound, the probabilities are 2.7e-8 and 2.0e-8.
 """
 
 from __future__ import annotations
