@@ -201,6 +201,21 @@ def test_pseudonyms(spark):
     assert len({x.split("@")[1] for x in re.findall(r"\S+@\S+", out[6])}) == 1 and "c.example" not in out[6]
 
 
+def test_pseudonyms_end_with_their_format(spark):
+    ibans = ["BE68 5390 0754 7034", "AT611904300234573201", "ES91 2100 0418 4502 0005 1332", "BE68539007547034", "SE45 5000 0000 0583 9825 7466", "PL61109010140000071219812874", "NO93 8601 1117 947"]
+    after = [" BIC: X", " EUR", " EUR 5", " 2024", " 12", " ABCD.", " AB"]
+    phones = ["+1 (425) 555-9684 42", "+1 (425) 555-9684", "+33 1 23 45 67 89 2024", "+33 1 23 45 67 89", "+44 20 7946 0958 2024", "+44 20 7946 0958"]
+    secrets = ["0123456789abcdef" * 16, "sk-" + "aB3_" * 60, "sk-" + "ab" * 100 + "1"]
+    texts = [*map("".join, zip(ibans, after, strict=True)), *phones, *secrets]
+    out = [r.text for r in pii.with_pseudonyms(docs(spark, [(i, f"x {t}", "s") for i, t in enumerate(texts)]), "k").orderBy("doc_id").collect()]
+    for t, tail, o in zip(ibans, after, out, strict=False):
+        new = o[2 : len(o) - len(tail)].replace(" ", "")
+        assert o.endswith(tail) and t not in o and len(o) == len(t + tail) + 2 and new[:2] == t[:2] and int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1
+    p = out[7:13]
+    assert p[0] == p[1] + " 42" and p[2] == p[3] + " 2024" and p[4] == p[5] + " 2024" and all(a[2:] != b for a, b in zip(p, phones, strict=True))
+    assert all(len(o) == len(t) + 2 and t not in o for t, o in zip(secrets, out[13:], strict=True))
+
+
 def test_permutations_are_bijections(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     got = sorted(r[0] for r in df.select(pii.permuted_digits("k", "t", F.col("d"))).collect())

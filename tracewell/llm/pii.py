@@ -14,15 +14,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-# Patterns begin at a fixed boundary and have bounded repeats, so a long text costs time in proportion to its length.
+# Patterns begin at a fixed boundary and have bounded repeats or ones that nothing takes back, so a long text costs time in proportion to its length.
+#: Length of an account number by country; other countries' are told by the check digits alone.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBANS = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items())
+#: Digits after a country code, for countries where all numbers are of one length.
+PHONE_DIGITS = {8: "45|47|65|852", 9: "31|33|34|41|48|61|351|380|420|421", 10: "1|7|30|52|90|91"}
+_PHONES = "|".join(rf"\+(?:{c})(?:[ .\-]?\(0\))?(?:[ .\-]?\(?[0-9]\)?){{{n}}}(?![0-9])" for n, c in PHONE_DIGITS.items())
+_PHONE = r"\+[0-9]{1,3}[ .\-]?\(?[0-9]{1,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}"
+_DIGIT = r"[ .\-()]{0,3}[0-9]"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?<![A-Za-z0-9])(?=[A-Za-z\-_]{0,128}[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|pk)[-_][A-Za-z0-9_\-]{20,128}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:(?=[A-Fa-f]{0,128}[0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)|(?=[A-Za-z\-_]{0,128}[0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})|(?:sk|pk)[-_](?=[A-Za-z\-_]{0,1024}[0-9])[A-Za-z0-9_\-]{20,}+)(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBANS}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))",
     "date": r"(?<![0-9/.\-])(?:(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])/(?:0[1-9]|[12][0-9]|3[01])/(?:19|20)[0-9]{2})(?![0-9/\-])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
-    "phone": r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .\-]?\(?[0-9]{1,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}|\(?[0-9]{3}\)?[ .\-][0-9]{3}[.\-][0-9]{4})(?![0-9])",
+    # A number of its country's length; else one of at most 15 digits (E.164); else as many as the groups give.
+    "phone": rf"(?<![A-Za-z0-9+])(?:{_PHONES}|{_PHONE}(?<![0-9]{_DIGIT * 15})(?![0-9])|{_PHONE}(?![0-9])|\(?[0-9]{{3}}\)?[ .\-][0-9]{{3}}[.\-][0-9]{{4}}(?![0-9]))",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "number": r"(?<![A-Za-z0-9.])(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![A-Za-z0-9])",
 }
@@ -157,7 +170,7 @@ def _hashed(key: str, kind: str, value: Column, length: Column, letters: bool) -
     """Signs of a keyed hash, as many as asked for."""
     base = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), value), 256)
     base = F.translate(base, "0123456789", "ghijklmnop") if letters else base
-    return let(base, lambda h: F.repeat(h, 3).substr(F.lit(1), length))
+    return let(base, lambda h: F.repeat(h, F.ceil(length / 64).cast("int")).substr(F.lit(1), length))
 
 
 def _secret(key: str, m: Column) -> Column:
