@@ -282,6 +282,19 @@ def test_licenses(spark):
     assert licenses.scan(nothing(spark)).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    labels = ["mit-long", "bsd", "mpl-2.0", "apache-2.0-long", "gpl-notice"]
+    lead = ["", "# ", " * ", "// ", "dnl "]
+    rows = [(i, "x = 1\n" + "\n".join(lead[i] + x for x in textwrap.wrap("Notice. " + licenses.TEMPLATES[label] + ", and so on.", 40)), "s") for i, label in enumerate(labels)]
+    far = "\n".join(f"{w} of one or two other words" for w in "permission hereby granted free charge to any person obtaining copy this software and associated documentation files is a".split())
+    rows += [(9, far, "s"), (10, "All of it\nhas its rights and all is\nreserved", "s"), (11, "all rights\r\nreserved", "s")]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs(spark, rows)).collect()}
+    assert [got[i] for i in range(5)] == [(label, 1.0) for label in labels] and got[9] == got[10] == ("", 0.0)
+    assert got[11] == ("reserved,rights-reserved", 1.0)
+
+
 def test_containment_join_is_exact(spark):
     rng = np.random.default_rng(4)
     templates = {f"t{i}": " ".join(rng.choice([f"v{x}" for x in range(12)], rng.integers(1, 8))) for i in range(12)}

@@ -1,4 +1,4 @@
-"""License scans: places of fixed phrases, and an exact containment join of text blocks with license templates."""
+"""License scans: places of fixed phrases, and an exact containment join of text blocks (lines, and windows of words across them) with license templates."""
 
 from __future__ import annotations
 
@@ -88,11 +88,38 @@ def template_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thre
     return pairs.select("doc_id", "block", "label", (F.col("common") / F.col("n")).alias("containment"))
 
 
+def wrapped_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.9) -> DataFrame:
+    """doc_id, label, containment (the largest) where a window of a text's words, whatever its lines, holds at least `threshold` of a template's distinct words.
+
+    A window has a quarter more words than its template, so that the leaders of comment lines have room. A text that
+    meets the threshold holds one of as many words of a template as it may miss and one more; the longest are taken, so
+    that few texts pass the search. Each passed text is worked on by itself, without a shuffle.
+    """
+    held, first, rows = set(), set(), []
+    for label, t in templates.items():
+        ws = list(dict.fromkeys(_words(t)))
+        least = max(1, -int(-threshold * len(ws) // 1))
+        first.update(sorted(ws, key=len)[-(len(ws) - least + 1) :])
+        held.update(ws)
+        rows.append(F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, ws)).alias("template"), F.lit(least).alias("least"), F.lit(-(-5 * len(_words(t)) // 4)).alias("width")))
+    low = F.translate("text", _UPPER, _LOWER)
+    passed = docs.filter("doc_id is not null").select("doc_id", low.alias("low")).filter(F.col("low").contains("\n") & F.col("low").rlike(rf"(?<![a-z0-9])(?:{'|'.join(sorted(first))})(?![a-z0-9])"))
+    common = passed.select("doc_id", "low", F.array_intersect(F.split("low", SEPARATORS), F.array(*map(F.lit, sorted(held)))).alias("common"))
+    meets = lambda t: F.size(F.array_intersect(t["template"], F.col("common"))) >= t["least"]
+    found = cut(common.select("doc_id", "low", F.explode(F.filter(F.array(*rows), meets)).alias("t")).select("doc_id", "low", "t.*"))
+    words = F.transform(F.split("low", SEPARATORS), lambda w, i: F.struct(i.alias("at"), w.alias("w")))
+    hits = found.withColumn("hits", F.filter(words, lambda x: F.array_contains("template", x["w"]))).drop("low")
+    # A window holds at most as many hits as words, so each hit looks at no more than `width` of them.
+    near = lambda h, i: F.filter(F.slice("hits", i + 1, F.col("width")), lambda x: x["at"] < h["at"] + F.col("width"))
+    most = F.array_max(F.transform("hits", lambda h, i: F.size(F.array_distinct(F.transform(near(h, i), lambda x: x["w"])))))
+    return hits.select("doc_id", "label", most.alias("most"), "least", F.size("template").alias("n")).filter("most >= least").select("doc_id", "label", (F.col("most") / F.col("n")).alias("containment"))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.9) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of `docs` (doc_id, text).
 
     score: the largest containment of a template, 1 where a base phrase stands, else 0. Null and empty texts have no
-    words, no labels and score 0. Rows that share a doc_id each get their own base values and the union of their
+    words, no labels and score 0. Blocks are lines and windows of words across lines. Rows that share a doc_id each get their own base values and the union of their
     templates' labels; a null doc_id gets base labels only.
     """
     docs = docs.select("doc_id", "text")
@@ -103,7 +130,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     every = F.flatten("_p")
     found = F.filter(F.array(*[F.when(F.size(F.col("_p")[i]) > 0, F.lit(label)) for i, label in enumerate(PHRASES.values())]), lambda x: x.isNotNull())
     base = base.select("doc_id", "n_words", F.coalesce(F.when(F.col("_p").isNotNull(), F.size(every)), F.lit(0)).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), F.coalesce(F.when(F.col("_p").isNotNull(), found), F.array().cast("array<string>")).alias("_base"))
-    more = cut(template_blocks(docs, templates, threshold).groupBy("doc_id").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_score")))
+    blocks = template_blocks(docs, templates, threshold).select("doc_id", "label", "containment").unionByName(wrapped_blocks(docs, templates, threshold))
+    more = cut(blocks.groupBy("doc_id").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_score")))
     out = base.join(F.broadcast(more) if small(more, BROADCAST_ROWS) else more, "doc_id", "left")
     both = F.array_sort(F.array_union("_base", F.coalesce("_more", F.array().cast("array<string>"))))
     score = F.greatest(F.coalesce("_score", F.lit(0.0)), F.when(F.col("n_base") > 0, 1.0).otherwise(0.0))
