@@ -359,3 +359,11 @@ def test_pages(spark):
     assert [out[10 + i] for i in range(4)] == [f"Words of page {i}." for i in range(4)]
     assert out[20] == out[21] == "" and out[None] == "a < bc" or out[None] == "a < b c"
     assert pages.extract(got.limit(0)).count() == 0 and pages.extract(got).count() == len(rows)
+
+
+def test_template_text_in_articles(spark):
+    page = lambda i: f"<body><article><h1>Head {i}</h1><p>Body of {i}.</p><div class=x1>Sign up for our letter</div><p>More {i}</p></article></body>"
+    rows = [(i, f"https://h.example/{i}", page(i)) for i in range(6)] + [(10 + i, f"https://c.example/{i}", page(7)) for i in range(4)]
+    out = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [out[i] for i in range(6)] == [f"Head {i} Body of {i}. More {i}" for i in range(6)]
+    assert all(out[10 + i] == "Head 7 Body of 7. Sign up for our letter More 7" for i in range(4))  # copies tell nothing of a template

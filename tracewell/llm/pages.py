@@ -5,7 +5,9 @@ pages of a host every token has an occurrence vector (how often it stands in eac
 keyed hashes, so that no task ever holds a host's pages. Tokens with equal vectors that stand in at least half of the
 pages form an equivalence class; the classes of two or more tokens, nested by their paths, are the host's template.
 What the template leaves open are slots. The text of the main slots is what is returned: what stands in an article (or
-main) element or, where a page has none, what no template text, list of links or page furniture takes.
+main) element, without texts of the same class as their element (which so holds that text wherever it stands), or,
+where a page has no such element, what no template text, list of links or page furniture takes. A page whose article is
+nothing but template text is a copy of its host's others and keeps it.
 """
 
 from __future__ import annotations
@@ -177,7 +179,7 @@ def occurrences(html: str) -> Counter:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, tokens: those in valid equivalence classes of each host."""
+    """host, tokens, labels: the tokens in valid equivalence classes of each host and the number of each one's class."""
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, int], list[int]] = {}
@@ -197,13 +199,23 @@ def templates(pages: DataFrame) -> DataFrame:
     frequent = tokens.filter("token <> 0").join(held, "host").filter(F.col("n") >= SHARE * F.col("pages"))
     # A class has at most the tokens that stand in half of a host's pages: twice the tokens of an average page.
     classes = frequent.groupBy("host", "vector").agg(F.collect_list("token").alias("class")).filter(F.size("class") >= 2)
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("class")).alias("tokens"))
+    held = classes.groupBy("host").agg(F.collect_list("class").alias("classes"))
+    labels = F.transform("classes", lambda c, i: F.array_repeat(i, F.size(c)))
+    return held.select("host", F.flatten("classes").alias("tokens"), F.flatten(labels).alias("labels"))
 
 
-def main_text(html: str, template: frozenset[int] | set[int]) -> str:
+def _fixed(path: str, text: str, template: dict[int, int]) -> bool:
+    """Whether text and element are of one class: wherever the element stands on the host's pages, it holds this text."""
+    label = template.get(_h("text", path, text))
+    return label is not None and label == template.get(_h("tag", path))
+
+
+def main_text(html: str, template: dict[int, int]) -> str:
     """Text of the main slots: blocks in page order, joined by one space."""
     _, found = blocks(html)
     kept = [b for b in found if not b[2] and b[3]]
+    if any(_h("text", b[0], b[1]) not in template for b in kept):
+        kept = [b for b in kept if not _fixed(b[0], b[1], template)]
     if not any(b[3] for b in found):
         kept = []
         share: dict[str, list[int]] = {}
@@ -233,10 +245,10 @@ def extract(pages: DataFrame) -> DataFrame:
     few = total[0] <= BROADCAST_HOSTS and (total[1] or 0) <= BROADCAST_TOKENS
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
-    joined = page.join(F.broadcast(found) if few else found, "host", "left").select("page_id", "url", "html", "host", "tokens")
+    joined = page.join(F.broadcast(found) if few else found, "host", "left").select("page_id", "url", "html", "host", "tokens", "labels")
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        known: dict[str, frozenset[int]] = {}
+        known: dict[str, dict[int, int]] = {}
         for a in range(0, len(batch), 256):
             part = batch.slice(a, 256)
             out = []
@@ -244,7 +256,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 if h not in known:
                     if len(known) > 64:
                         known.clear()
-                    known[h] = frozenset(part.column(4)[i].as_py() or ())
+                    known[h] = dict(zip(part.column(4)[i].as_py() or (), part.column(5)[i].as_py() or (), strict=True))
                 out.append(main_text(html or "", known[h]))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
