@@ -367,3 +367,14 @@ def test_template_text_in_articles(spark):
     out = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [out[i] for i in range(6)] == [f"Head {i} Body of {i}. More {i}" for i in range(6)]
     assert all(out[10 + i] == "Head 7 Body of 7. Sign up for our letter More 7" for i in range(4))  # copies tell nothing of a template
+
+
+def test_article_names(spark):
+    kept = ["<header class=entry-header><h1>Title</h1></header>", "<div class='section-header'>Part</div>", "<section id=related-work><p>Prior</p></section>", "<h2 id=navier-stokes-equations>Flow</h2>", "<section id=recommendations>Do</section>", "<div class=commentary>Say</div>", "<div id=share-of-costs>Costs</div>"]
+    gone = ["<div class='comments'>c</div>", "<div class=ad>Buy</div>", "<aside>a</aside>", "<div class=nav-x><a href=/>Next page</a></div>"]
+    out = pages.main_text("<body><article>" + "".join(kept + gone) + "</article></body>", {})
+    assert out == "Title Part Prior Flow Do Say Costs"
+    # A part of a name, confirmed by a text of the host's template.
+    rows = [(i, f"//h/{i}", f"<article><p>Text {i}</p><div class=x-related><h3>See also</h3><p>Other {i}</p></div></article>") for i in range(4)]
+    got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Text {i}" for i in range(4)}

@@ -35,6 +35,11 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 FURNITURE = set("head nav footer aside form script style noscript template button select svg iframe dialog menu object canvas textarea title".split())
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|alert|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|widget\w*|related|recommend\w*|shar(?:e|ing)|social|comment\w*|respond|disqus\w*|repl(?:y|ies)|footer|header|masthead|newsletter|subscri\w*|signup|login|popup|modal|overlay|toolbar|pagination|pager|skip\w*|copyright|disclaimer)(?:$|[\s_-])", re.I)
+# In an article only whole names tell furniture; parts of names need a template text or links to confirm them.
+_AD, _NEWS = r"ads?|advert(?:s|isements?|ising)?|adsense", r"newsletter|subscribe|signup"
+WHOLE = re.compile(rf"(?:^|\s)(?:(?:{_AD})(?:[_-](?:slot|container|wrapper|unit|banner|box|block))?|sponsored|promo|nav|navbar|navigation|breadcrumbs?|sidebar|widget|(?:post|entry)[_-](?:nav|navigation|share|comments)|related(?:[_-](?:posts?|articles?|stories|links|content))?|(?:share|sharing|social)(?:[_-](?:buttons?|links?|icons?|bar|share))?|comments?(?:[_-](?:area|list|section|body|content|wrapper|thread|form|respond))?|disqus(?:_thread)?|(?:{_NEWS})(?:[_-](?:signup|form|box))?|toolbar|pagination|pager)(?:$|\s)", re.I)
+PARTS = re.compile(rf"(?:^|[\s_-])(?:{_AD}|sponsor(?:s|ed)?|promo(?:s|ted|tions?)?|banners?|cookies?|consent|gdpr|notices?|alert|nav|navbar|navigation|menus?|breadcrumbs?|sidebar|widgets?|related|recommend(?:ed|ations?)|shar(?:e|ing)|social|comments?|respond|disqus|repl(?:y|ies)|footer|{_NEWS}|subscription|login|popup|modal|overlay|toolbar|pagination|pager|skip|copyright|disclaimer)(?:$|[\s_-])", re.I)
+SLUGGED = set("section h1 h2 h3 h4 h5 h6".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>|<[a-zA-Z/!?][^>]*+\Z", re.S)
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<![^\s])hidden(?![^\s/>])")
@@ -50,10 +55,10 @@ def host_of(url: str | None) -> str:
 
 
 class _Open:
-    __slots__ = ("furniture", "main", "name", "path")
+    __slots__ = ("furniture", "main", "name", "path", "suspect")
 
-    def __init__(self, name: str, path: str, furniture: bool, main: bool) -> None:
-        self.name, self.path, self.furniture, self.main = name, path, furniture, main
+    def __init__(self, name: str, path: str, furniture: bool, main: bool, suspect: int = 0) -> None:
+        self.name, self.path, self.furniture, self.main, self.suspect = name, path, furniture, main, suspect
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -73,15 +78,20 @@ def _is_furniture(name: str, attributes: dict[str, str], parent: _Open) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I):
         return True
-    return bool(NAMES.search(attributes.get("class", "")) or NAMES.search(attributes.get("id", "")))
+    return _named(WHOLE if parent.main else NAMES, name, attributes, parent)
 
 
-def blocks(html: str) -> tuple[Counter, list[tuple[str, str, bool, bool, int]]]:
-    """Structural tokens with their counts, and the blocks of text in page order: path, text, furniture, main, characters in links."""
+def _named(names: re.Pattern, name: str, attributes: dict[str, str], parent: _Open) -> bool:
+    """Whether the class or id says so; in an article the ids of sections and headings are slugs of their titles."""
+    return bool(names.search(attributes.get("class", "")) or (not (parent.main and name in SLUGGED) and names.search(attributes.get("id", ""))))
+
+
+def blocks(html: str) -> tuple[Counter, list[tuple[str, str, bool, bool, int, int]]]:
+    """Structural tokens with their counts, and the blocks of text in page order: path, text, furniture, main, characters in links, number of the element of an article that may be furniture."""
     root = _Open("", "", False, False)
     stack, tags, out = [root], Counter(), []
     text: list[str] = []
-    linked, in_link, hidden_inline = 0, False, 0
+    linked, in_link, hidden_inline, suspects = 0, False, 0, 0
 
     def flush() -> None:
         nonlocal linked
@@ -89,7 +99,7 @@ def blocks(html: str) -> tuple[Counter, list[tuple[str, str, bool, bool, int]]]:
             joined = " ".join("".join(text).split())
             if joined:
                 top = stack[-1]
-                out.append((top.path, joined, top.furniture, top.main, linked))
+                out.append((top.path, joined, top.furniture, top.main, linked, top.suspect))
             text.clear()
         linked = 0
 
@@ -165,7 +175,11 @@ def blocks(html: str) -> tuple[Counter, list[tuple[str, str, bool, bool, int]]]:
         if m[3].endswith("/") and name not in ("div", "p", "section", "article"):
             continue
         if len(stack) < 256:
-            stack.append(_Open(name, path, parent.furniture or _is_furniture(name, attributes, parent), parent.main or name in ("article", "main") or attributes.get("role") in ("main", "article")))
+            suspect = parent.suspect
+            if parent.main and not suspect and name not in ("article", "main") and _named(PARTS, name, attributes, parent):
+                suspects += 1
+                suspect = suspects
+            stack.append(_Open(name, path, parent.furniture or _is_furniture(name, attributes, parent), parent.main or name in ("article", "main") or attributes.get("role") in ("main", "article"), suspect))
     flush()
     return tags, out
 
@@ -214,12 +228,20 @@ def main_text(html: str, template: dict[int, int]) -> str:
     """Text of the main slots: blocks in page order, joined by one space."""
     _, found = blocks(html)
     kept = [b for b in found if not b[2] and b[3]]
+    parts: dict[int, list[int]] = {}
+    for path, text, _, _, linked, suspect in kept:
+        if suspect:
+            p = parts.setdefault(suspect, [0, 0, int(_fixed(path, text, template))])
+            p[0] += len(text)
+            p[1] += linked
+    confirmed = {k for k, (size, linked, known) in parts.items() if known or linked * 2 > size}
+    kept = [b for b in kept if b[5] not in confirmed]
     if any(_h("text", b[0], b[1]) not in template for b in kept):
         kept = [b for b in kept if not _fixed(b[0], b[1], template)]
     if not any(b[3] for b in found):
         kept = []
         share: dict[str, list[int]] = {}
-        for path, text, furniture, _, linked in found:
+        for path, text, furniture, _, linked, _ in found:
             if not furniture:
                 s = share.setdefault(path, [0, 0])
                 s[0] += len(text)
