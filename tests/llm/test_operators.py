@@ -378,3 +378,10 @@ def test_article_names(spark):
     rows = [(i, f"//h/{i}", f"<article><p>Text {i}</p><div class=x-related><h3>See also</h3><p>Other {i}</p></div></article>") for i in range(4)]
     got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in got} == {i: f"Text {i}" for i in range(4)}
+
+
+def test_deep_pages():
+    n = 300
+    assert pages.main_text("<article>a" + "<div>" * n + "b" + "</div>" * n + "c</article>", {}) == "a b c"
+    assert pages.main_text("<body><div>" * n + "x<article>y<nav>z</nav></article>" + "</div>" * n, {}) == "y"
+    assert pages.main_text("<div>" * 30_000 + "</span></section>" * 30_000 + "w", {}) == "w"

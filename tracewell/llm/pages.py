@@ -26,6 +26,7 @@ from .shared import arrow_map, cut
 
 #: A class needs this share of a host's pages and so many pages; hosts are broadcast up to BROADCAST_HOSTS and BROADCAST_TOKENS.
 SHARE, LEAST_PAGES, BROADCAST_HOSTS, BROADCAST_TOKENS = 0.5, 3, 20_000, 1_000_000
+DEEP = 256
 
 # Fixed values of HTML: elements without content, with raw content, inside a line, and those whose start ends an open one.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -90,6 +91,7 @@ def blocks(html: str) -> tuple[Counter, list[tuple[str, str, bool, bool, int, in
     """Structural tokens with their counts, and the blocks of text in page order: path, text, furniture, main, characters in links, number of the element of an article that may be furniture."""
     root = _Open("", "", False, False)
     stack, tags, out = [root], Counter(), []
+    opened: Counter = Counter()
     text: list[str] = []
     linked, in_link, hidden_inline, suspects = 0, False, 0, 0
 
@@ -103,6 +105,11 @@ def blocks(html: str) -> tuple[Counter, list[tuple[str, str, bool, bool, int, in
             text.clear()
         linked = 0
 
+    def close(k: int) -> None:
+        for x in stack[k:]:
+            opened[x.name] -= 1
+        del stack[k:]
+
     def add(raw: str) -> None:
         nonlocal linked
         if raw and not hidden_inline:
@@ -150,23 +157,25 @@ def blocks(html: str) -> tuple[Counter, list[tuple[str, str, bool, bool, int, in
         hidden_stack.clear()
         hidden_inline = 0
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    tags["/" + stack[k].path] += 1
-                    del stack[k:]
-                    break
+            if opened[name] > 0:
+                k = len(stack) - 1
+                while stack[k].name != name:
+                    k -= 1
+                tags["/" + stack[k].path] += 1
+                close(k)
             continue
         attributes = _attributes(m[3]) if m[3] else {}
         if stack[-1].name == "p":
-            stack.pop()
+            close(-1)
         ends = ENDS.get(name)
         if ends and stack[-1].name in ends:
-            stack.pop()
+            close(-1)
             if name == "tr" and stack[-1].name == "tr":
-                stack.pop()
+                close(-1)
         parent = stack[-1]
         mark = name + "".join("." + c for c in sorted(attributes.get("class", "").split())[:3])
-        path = f"{parent.path}/{mark}"
+        # From DEEP on paths grow no more, so a page of unclosed elements costs time and memory in proportion to its length.
+        path = f"{parent.path}/{mark}" if len(stack) < DEEP else parent.path
         tags[path] += 1
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)
@@ -174,12 +183,12 @@ def blocks(html: str) -> tuple[Counter, list[tuple[str, str, bool, bool, int, in
             continue
         if m[3].endswith("/") and name not in ("div", "p", "section", "article"):
             continue
-        if len(stack) < 256:
-            suspect = parent.suspect
-            if parent.main and not suspect and name not in ("article", "main") and _named(PARTS, name, attributes, parent):
-                suspects += 1
-                suspect = suspects
-            stack.append(_Open(name, path, parent.furniture or _is_furniture(name, attributes, parent), parent.main or name in ("article", "main") or attributes.get("role") in ("main", "article"), suspect))
+        suspect = parent.suspect
+        if parent.main and not suspect and name not in ("article", "main") and _named(PARTS, name, attributes, parent):
+            suspects += 1
+            suspect = suspects
+        stack.append(_Open(name, path, parent.furniture or _is_furniture(name, attributes, parent), parent.main or name in ("article", "main") or attributes.get("role") in ("main", "article"), suspect))
+        opened[name] += 1
     flush()
     return tags, out
 
