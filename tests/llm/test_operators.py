@@ -63,6 +63,17 @@ def test_knn_blocks_without_data(spark):
     assert sorted(map(tuple, got.collect())) == brute(v, v[:4], 2)
 
 
+@pytest.mark.parametrize("pivots", [16, 40])
+def test_knn_clusters_over_many_blocks(spark, pivots):
+    rng = np.random.default_rng(5)
+    v = [(i, [int(x) for x in np.array([4000 if i % 13 else -4000, 0, 900]) + rng.normal(0, 5, 3)]) for i in range(260)]
+    v += [(i, v[i][1]) for i in range(0, 60, 20)] * 4  # rows that share a query's id
+    df = spark.createDataFrame(v, "id long, v array<long>")
+    asked = df.filter("id % 20 = 0").withColumn("score", F.lit("clash"))
+    got = sorted(map(tuple, knn.voronoi_knn(df.withColumn("rank", F.lit(0)), asked, 3, pivots=pivots, query_block=5, data_block=5).collect()))
+    assert got == brute(v, sorted({(i, tuple(x)) for i, x in v if i % 20 == 0}), 3)
+
+
 # 2 and 6
 def test_classifiers(spark):
     rng = np.random.default_rng(2)

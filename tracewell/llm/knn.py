@@ -4,7 +4,8 @@ Inner product is turned into distance by one more component: data vectors s beco
 largest norm, queries become (q, 0), so that |q' - s'|^2 = |q|^2 + M^2 - 2 q.s and the nearest are the highest scores.
 Pivots part both sides into cells; summaries of the cells give each group of queries a bound on the distance of its
 k-th neighbour, and so for each cell of the data the least distance to the pivot from which a row can matter. Only such
-rows are sent to a group, in blocks, and each block is solved with one matrix product.
+rows are sent to a group, in blocks, and each block is solved with one matrix product. A group has as many blocks as
+the rows that the bounds left it need, and its queries go to those blocks and no others.
 """
 
 from __future__ import annotations
@@ -95,25 +96,31 @@ def _top(left: pa.Table, right: pa.Table, dim: int, k: int) -> pa.Table:
     return pa.table({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
 
 
-def voronoi_knn(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = 32, query_block: int = 2048, data_block: int = 16384) -> DataFrame:
+#: Pivots by default: a quarter of the square root of the rows, within these ends; all that the driver holds is at most MOST_PIVOTS squared.
+LEAST_PIVOTS, MOST_PIVOTS = 32, 512
+
+
+def voronoi_knn(vectors: DataFrame, queries: DataFrame, k: int, pivots: int | None = None, query_block: int = 2048, data_block: int = 16384) -> DataFrame:
     """The k rows of `vectors` (id, v) with the highest inner product for each row of `queries` (id, v), itself left out.
 
     Returns query_id, rank, vec_id, score; ties go to the smaller vec_id, and a query with fewer than k others gets all.
     v holds whole numbers; null v or null id takes no part, shorter vectors count as padded with zeros. Rows that share
     an id are candidates each; of queries that share an id the smallest vector stands. Scores beyond a long are cut to
-    its range. An empty side gives no rows. At most `pivots` rows, dealt by a hash of the id, serve as pivots: they
-    decide what is sent where, never the result.
+    its range. An empty side gives no rows; other columns of either table are left out. At most `pivots` rows, dealt by a
+    hash of the id, serve as pivots (their number grows with the rows where none is given): they decide what is sent
+    where, never the result.
     """
     spark = vectors.sparkSession
     data = vectors.filter("id is not null and v is not null").select("id", "v")
     queries = queries.filter("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v"))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    dim, most, wide = data.agg(F.max(F.size("v")), F.max(square), F.lit(0)).first()
+    dim, most, rows = data.agg(F.max(F.size("v")), F.max(square), F.count(F.lit(1))).first()
     out_schema = "query_id long, rank int, vec_id long, score long"
     dim = max(dim or 0, queries.agg(F.max(F.size("v"))).first()[0] or 0)
     if most is None:
         return spark.createDataFrame([], out_schema)
     dim = max(dim, 1)
+    pivots = pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, math.isqrt(rows) // 4))
     chosen = data.orderBy(F.xxhash64("id"), "id", "v").limit(pivots).collect()
     p = np.zeros((len(chosen), dim + 1))
     for i, row in enumerate(chosen):
@@ -123,15 +130,19 @@ def voronoi_knn(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = 32
     m = len(p)
 
     s, r = cut(_cells(data, p, dim, most)), cut(_cells(queries, p, dim, None))
-    near = s.withColumn("n", F.row_number().over(Window.partitionBy("cell").orderBy("d"))).filter(F.col("n") <= k + 1).select("cell", "d").collect()
+    near = s.withColumn("n", F.row_number().over(Window.partitionBy("cell").orderBy("d"))).filter(F.col("n") <= k + 1).select("cell", "d", "id").collect()
     far = {x.cell: (x.n, x.d) for x in r.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).collect()}
     if not far:
         return spark.createDataFrame([], out_schema)
     between = np.sqrt(np.maximum(0, (p**2).sum(1)[:, None] + (p**2).sum(1)[None] - 2 * p @ p.T))
     cells = sorted(far)
     least = np.full((m, m), np.inf)  # of a query's cell and a data cell: the distance to the pivot from which a row is sent
+    near_cell, near_d, near_id = (np.array([x[c] for x in near], t) for c, t in enumerate((np.int64, np.float64, np.int64)))
     for i in cells:
-        bounds = sorted(far[i][1] + between[i, x.cell] + x.d for x in near)
+        bound = far[i][1] + between[i, near_cell] + near_d
+        nearest = np.argsort(bound, kind="stable")
+        # A query's own id doesn't count, however many rows have it: the bound is that of the k-th other id.
+        bounds = np.sort(bound[nearest[np.unique(near_id[nearest], return_index=True)[1]]])
         theta = bounds[k] if len(bounds) > k else np.inf
         least[i] = (between[i] - far[i][1] - theta) - SLACK * (1 + abs(theta) if theta < np.inf else 1)
 
@@ -145,22 +156,20 @@ def voronoi_knn(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = 32
                 held, groups[c] = held + far[c][0], at
                 free.remove(c)
         at += 1
-    rows = []
-    for g in range(at):
-        own = [c for c in cells if groups[c] == g]
-        blocks = -(-sum(far[c][0] for c in own) // query_block)
-        rows += [(g, c, float(min(least[i, c] for i in own)), blocks) for c in range(m)]
-    total = {x.cell: x["count"] for x in s.groupBy("cell").count().collect()}
-    parts = -(-sum(total.values()) // data_block)
-    # m rows for each group, m and the groups at most `pivots`: bounded whatever the input.
-    plan = F.broadcast(spark.createDataFrame(rows, "g int, cell int, least double, blocks int"))
+    lows = [least[[c for c in cells if groups[c] == g]].min(0) for g in range(at)]
+    plan = [(g, c, float(low[c])) for g, low in enumerate(lows) for c in np.flatnonzero(low < np.inf).tolist()]
+    # At most m rows for each of at most m groups: bounded whatever the input.
+    plan = F.broadcast(spark.createDataFrame(plan, "g int, cell int, least double"))
+    sent = s.join(plan, "cell").filter("d >= least")
+    asks = {g: sum(far[c][0] for c in cells if groups[c] == g) for g in range(at)}
+    blocks = [(x.g, -(-asks[x.g] // query_block), -(-x["count"] // data_block)) for x in sent.groupBy("g").count().collect()]
+    blocks = F.broadcast(spark.createDataFrame(blocks, "g int, blocks int, parts int"))
     where = F.broadcast(spark.createDataFrame([(c, g) for c, g in groups.items()], "cell int, g int"))
-    blocks = F.broadcast(spark.createDataFrame(sorted({(g, b) for g, _, _, b in rows}), "g int, blocks int"))
 
-    sent = s.join(plan, "cell").filter("d >= least").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sent = sent.select("g", "qb", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("sb"), "id", "v")
-    asked = r.join(where, "cell").join(blocks, "g").withColumn("qb", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    asked = asked.withColumn("sb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("g", "qb", "sb", "id", "v")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    sent = sent.join(blocks, "g").select("g", spread("blocks").alias("qb"), dealt("parts").alias("sb"), "id", "v")
+    asked = r.join(where, "cell").join(blocks, "g").select("g", dealt("blocks").alias("qb"), spread("parts").alias("sb"), "id", "v")
 
     found = asked.groupBy("g", "qb", "sb").cogroup(sent.groupBy("g", "qb", "sb")).applyInArrow(lambda a, b: _top(a, b, dim, k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
