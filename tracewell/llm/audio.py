@@ -135,7 +135,9 @@ def features(codec: str, payload: np.ndarray, offsets: np.ndarray) -> tuple[list
 def telephony(docs: DataFrame, codec: str = "mulaw", keep_media: bool = True) -> DataFrame:
     """doc_id, the digest columns, and with keep_media the stored file and its resampled PCM, for each row of `docs` (doc_id, text).
 
-    A null text counts as empty and an empty one as 64 bytes of 0; no text is cut. Equal texts give equal values.
+    A null text counts as empty and an empty one as 64 bytes of 0; no text is cut. Equal texts give equal values, so
+    repeated rows give equal rows; a null doc_id stays null, an empty table gives an empty result, and other columns are
+    left out.
     Sounds are decoded together, about PIECE_BYTES at a time; a longer text goes alone.
     """
     others = [] if keep_media else [x for x in CODECS if x != codec]

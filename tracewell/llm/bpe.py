@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_map
+from .shared import arrow_map, runs_of_rows
 
 #: Words and fragments that a worker keeps; beyond that it starts anew. Longer words are not kept.
 KEPT, KEPT_LENGTH = 1 << 17, 64
@@ -242,19 +242,21 @@ def encoder(path: str) -> Encoder:
 def encoded(docs: DataFrame, vocabulary: str | None = None, keep_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and with keep_ids the ids, for each row of `docs` (doc_id, text).
 
-    Null counts as empty: no tokens, the digests of the empty string. No text is cut. The vocabulary's file must be
-    readable at the same path on every executor.
+    Null counts as empty: no tokens, the digests of the empty string. No text is cut: texts are worked on about
+    PIECE_BYTES at a time, a longer one by itself. Repeated rows give equal rows, a null doc_id stays null, an empty
+    table gives an empty result, and other columns are left out. The vocabulary's file must be readable at the same path
+    on every executor.
     """
     path = vocabulary or default_vocabulary()
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for a in range(0, len(batch), 256):
-            pairs = e.encode_texts([t.as_py() or "" for t in batch.column(1).slice(a, 256)])
+        for a, end in runs_of_rows(batch.column(1)):
+            pairs = e.encode_texts([t.as_py() or "" for t in batch.column(1).slice(a, end - a)])
             n = pa.array([ids.count(" ") + (ids != "") for ids, _ in pairs], pa.int64())
             one, two = (pa.array([hashlib.sha256(p[k].encode()).hexdigest() for p in pairs], pa.string()) for k in (0, 1))
-            columns, names = [batch.column(0).slice(a, 256), n, one, two], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            columns, names = [batch.column(0).slice(a, end - a), n, one, two], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
                 columns.append(pa.array([np.array(ids.split(), np.int32) for ids, _ in pairs], pa.list_(pa.int32())))
                 names.append("ids")
@@ -264,6 +266,7 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, keep_ids: bool = Tru
 
 
 def op9_bpe(spark, sf_dir: str) -> DataFrame:
+    """Every document with the public vocabulary; the ids themselves are left out."""
     from .shared import table
 
     return encoded(table(spark, sf_dir, "documents"), keep_ids=False)

@@ -16,12 +16,16 @@ TEMPLATES = {
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0",
+    "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
     "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "lgpl": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
     "mit": "Released under the MIT License",
     "mit-long": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "rights-reserved": "All rights reserved",
+    "unlicense": "This is free and unencumbered software released into the public domain",
 }
 BROADCAST_ROWS = 1_000_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -43,40 +47,58 @@ def _words(text: str) -> list[str]:
     return [w for w in re.split(SEPARATORS, text.translate(str.maketrans(_UPPER, _LOWER))) if w]
 
 
-def phrase_places(s: Column, phrase: str) -> Column:
-    """Word numbers at which the phrase starts; `s` is spaced text. Each piece before a place tells how many words precede it."""
-    pieces = F.split(F.regexp_replace(s, f" (?={phrase} )", "\n"), "\n")
-    counts = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit(""))))
-    step = lambda a, n: F.concat(a, F.array(F.when(F.size(a) > 0, F.element_at(a, -1) + 1).otherwise(F.lit(0)) + n))
-    return F.aggregate(counts, F.array().cast("array<int>"), step)
+def phrase_places(s: Column, phrase: str) -> tuple[Column, Column, Column]:
+    """How many places the phrase has in spaced text, and the word numbers of the first and the last (null where none).
 
-
-def template_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.9) -> DataFrame:
+    Each is one or two passes over the text, however many places there are.
+    """
+    words_before = lambda at: at - F.length(F.replace(s.substr(F.lit(1), at), F.lit(" "), F.lit(""))) - 1
+    n = F.length(s) - F.length(F.regexp_replace(s, f" (?={phrase} )", ""))
+    spaced_phrase = f" {phrase} "
+    first, back = F.locate(spaced_phrase, s), F.locate(spaced_phrase[::-1], F.reverse(s))
+    last = F.length(s) - back - len(spaced_phrase) + 2
+    return n, F.when(first > 0, words_before(first)), F.when(back > 0, words_before(last))
+
+
+class _Plan:
+    """Templates as words, ordered by how many documents hold them, rarest first, and the texts that can meet the threshold."""
+
+    def __init__(self, docs: DataFrame, templates: dict[str, str], threshold: float) -> None:
+        words = {label: list(dict.fromkeys(_words(t))) for label, t in templates.items()}
+        self.vocabulary = sorted({w for ws in words.values() for w in ws})
+        self.least = {label: max(1, -int(-threshold * len(ws) // 1)) for label, ws in words.items()}
+        self.width = {label: -(-5 * len(_words(t)) // 4) for label, t in templates.items()}
+        low = docs.filter("doc_id is not null").select("doc_id", F.translate("text", _UPPER, _LOWER).alias("low"))
+        # At most one row for each word of the templates comes to the driver.
+        held = low.select(F.explode(F.array_intersect(F.split("low", SEPARATORS), self.these(self.vocabulary))).alias("w"))
+        counts = {r.w: r["count"] for r in held.groupBy("w").count().collect()}
+        self.order = {w: i for i, w in enumerate(sorted(self.vocabulary, key=lambda w: (counts.get(w, 0), w)))}
+        self.ranked = {label: sorted(ws, key=self.order.__getitem__) for label, ws in words.items()}
+        self.first = {label: ws[: len(ws) - self.least[label] + 1] for label, ws in self.ranked.items()}
+        #: A search for the words that a block with enough of a template must hold one of; the boundaries let more through, never less.
+        self.search = rf"(?<![a-z0-9])(?:{'|'.join(sorted({w for ws in self.first.values() for w in ws}))})(?![a-z0-9])"
+        self.passed = cut(low.filter(F.col("low").rlike(self.search)))
+
+    @staticmethod
+    def these(words: list[str]) -> Column:
+        return F.array(*map(F.lit, words))
+
+
+def template_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.9, plan: _Plan | None = None) -> DataFrame:
     """doc_id, block, label, containment for every line of a text that holds at least `threshold` of a template's distinct words.
 
-    The join is exact. Template words are put in the order of their frequency over the lines of all documents, rarest
-    first; a line that meets the threshold holds one of a template's first words (prefix), has enough words of any
-    template (length), and at its first common word has enough of them left (position); what passes is compared in full.
+    The join is exact. Template words are put in the order of their frequency over all documents, rarest first; a line
+    that meets the threshold holds one of a template's first words (prefix; other texts and lines leave after one
+    search), has enough words of any template (length), and at its first common word has enough of them left
+    (position); what passes is compared in full. Rows without a doc_id or text have no blocks.
     """
-    words = {label: list(dict.fromkeys(_words(t))) for label, t in templates.items()}
-    vocabulary = sorted({w for ws in words.values() for w in ws})
-    least = {label: max(1, -int(-threshold * len(ws) // 1)) for label, ws in words.items()}
-    blocks = docs.select(F.col("doc_id"), F.posexplode(F.split(F.translate("text", _UPPER, _LOWER), "\n")).alias("block", "line"))
-    # A line without any template's rarest possible word costs one search here and nothing later.
-    common = F.array_intersect(F.split("line", SEPARATORS), F.array(*map(F.lit, vocabulary)))
-    any_word = "(?:" + "|".join(vocabulary) + ")"
-    held = blocks.filter(F.col("line").rlike(rf"(?<![a-z0-9]){any_word}(?![a-z0-9])")).select("doc_id", "block", common.alias("words"))
-    held = held.filter(F.size("words") >= min(least.values()))
-    held = cut(held)
-    # At most one row for each word of the templates comes to the driver.
-    counts = {r.w: r["count"] for r in held.select(F.explode("words").alias("w")).groupBy("w").count().collect()}
-    order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
-    index = []
-    for label, ws in words.items():
-        ranked = sorted(ws, key=order.__getitem__)
-        index += [(w, label, i, len(ws), least[label], ranked) for i, w in enumerate(ranked[: len(ws) - least[label] + 1])]
-    rows = held.sparkSession.createDataFrame(index, "w string, label string, i int, n int, least int, template array<string>")
-    ranks = F.create_map(*[F.lit(x) for w, i in order.items() for x in (w, i)])
+    plan = plan or _Plan(docs, templates, threshold)
+    blocks = plan.passed.select("doc_id", F.posexplode(F.split("low", "\n")).alias("block", "line")).filter(F.col("line").rlike(plan.search))
+    held = blocks.select("doc_id", "block", F.array_intersect(F.split("line", SEPARATORS), plan.these(plan.vocabulary)).alias("words"))
+    held = held.filter(F.size("words") >= min(plan.least.values()))
+    index = [(w, label, i, len(ws), plan.least[label], ws) for label, ws in plan.ranked.items() for i, w in enumerate(plan.first[label])]
+    rows = docs.sparkSession.createDataFrame(index, "w string, label string, i int, n int, least int, template array<string>")
+    ranks = F.create_map(*[F.lit(x) for w, i in plan.order.items() for x in (w, i)])
     ranked = F.transform(F.array_sort(F.transform("words", lambda w: F.struct(F.element_at(ranks, w).alias("r"), w.alias("w")))), lambda x: x["w"])
     posted = held.select("doc_id", "block", ranked.alias("words")).select("doc_id", "block", "words", F.posexplode("words").alias("j", "w"))
     # The index holds a few words of each template: its size is that of the templates given, whatever the corpus.
@@ -88,25 +110,18 @@ def template_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thre
     return pairs.select("doc_id", "block", "label", (F.col("common") / F.col("n")).alias("containment"))
 
 
-def wrapped_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.9) -> DataFrame:
+def wrapped_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.9, plan: _Plan | None = None) -> DataFrame:
     """doc_id, label, containment (the largest) where a window of a text's words, whatever its lines, holds at least `threshold` of a template's distinct words.
 
-    A window has a quarter more words than its template, so that the leaders of comment lines have room. A text that
-    meets the threshold holds one of as many words of a template as it may miss and one more; the longest are taken, so
-    that few texts pass the search. Each passed text is worked on by itself, without a shuffle.
+    A window has a quarter more words than its template, so that the leaders of comment lines have room. Texts pass the
+    same search for a template's first words as lines do, and each that passes is worked on by itself, without a shuffle.
     """
-    held, first, rows = set(), set(), []
-    for label, t in templates.items():
-        ws = list(dict.fromkeys(_words(t)))
-        least = max(1, -int(-threshold * len(ws) // 1))
-        first.update(sorted(ws, key=len)[-(len(ws) - least + 1) :])
-        held.update(ws)
-        rows.append(F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, ws)).alias("template"), F.lit(least).alias("least"), F.lit(-(-5 * len(_words(t)) // 4)).alias("width")))
-    low = F.translate("text", _UPPER, _LOWER)
-    passed = docs.filter("doc_id is not null").select("doc_id", low.alias("low")).filter(F.col("low").contains("\n") & F.col("low").rlike(rf"(?<![a-z0-9])(?:{'|'.join(sorted(first))})(?![a-z0-9])"))
-    common = passed.select("doc_id", "low", F.array_intersect(F.split("low", SEPARATORS), F.array(*map(F.lit, sorted(held)))).alias("common"))
+    plan = plan or _Plan(docs, templates, threshold)
+    rows = [F.struct(F.lit(label).alias("label"), plan.these(ws).alias("template"), F.lit(plan.least[label]).alias("least"), F.lit(plan.width[label]).alias("width")) for label, ws in plan.ranked.items()]
+    passed = plan.passed.filter(F.col("low").contains("\n"))
+    common = passed.select("doc_id", "low", F.array_intersect(F.split("low", SEPARATORS), plan.these(plan.vocabulary)).alias("common"))
     meets = lambda t: F.size(F.array_intersect(t["template"], F.col("common"))) >= t["least"]
-    found = cut(common.select("doc_id", "low", F.explode(F.filter(F.array(*rows), meets)).alias("t")).select("doc_id", "low", "t.*"))
+    found = common.select("doc_id", "low", F.explode(F.filter(F.array(*rows), meets)).alias("t")).select("doc_id", "low", "t.*")
     words = F.transform(F.split("low", SEPARATORS), lambda w, i: F.struct(i.alias("at"), w.alias("w")))
     hits = found.withColumn("hits", F.filter(words, lambda x: F.array_contains("template", x["w"]))).drop("low")
     # A window holds at most as many hits as words, so each hit looks at no more than `width` of them.
@@ -119,24 +134,27 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of `docs` (doc_id, text).
 
     score: the largest containment of a template, 1 where a base phrase stands, else 0. Null and empty texts have no
-    words, no labels and score 0. Blocks are lines and windows of words across lines. Rows that share a doc_id each get their own base values and the union of their
-    templates' labels; a null doc_id gets base labels only.
+    words, no labels and score 0. Blocks are lines and windows of words across lines, of whole texts of any length. Rows
+    that share a doc_id each get their own base values and the union of their templates' labels; a null doc_id gets base
+    labels only; an empty table gives an empty result, and other columns are left out.
     """
-    docs = docs.select("doc_id", "text")
-    s = F.col("_s")
-    pattern = " (?:" + "|".join(PHRASES) + ") "
-    places = F.array(*[phrase_places(s, p) for p in PHRASES])
-    base = docs.withColumn("_s", spaced(F.col("text"))).select("doc_id", n_words(s).alias("n_words"), F.when(s.rlike(pattern), places).alias("_p"))
-    every = F.flatten("_p")
-    found = F.filter(F.array(*[F.when(F.size(F.col("_p")[i]) > 0, F.lit(label)) for i, label in enumerate(PHRASES.values())]), lambda x: x.isNotNull())
-    base = base.select("doc_id", "n_words", F.coalesce(F.when(F.col("_p").isNotNull(), F.size(every)), F.lit(0)).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), F.coalesce(F.when(F.col("_p").isNotNull(), found), F.array().cast("array<string>")).alias("_base"))
-    blocks = template_blocks(docs, templates, threshold).select("doc_id", "label", "containment").unionByName(wrapped_blocks(docs, templates, threshold))
-    more = cut(blocks.groupBy("doc_id").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_score")))
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    s = F.col("s")
+    hit = s.rlike(" (?:" + "|".join(PHRASES) + ") ")
+    places = [phrase_places(s, p) for p in PHRASES]
+    found = F.array_compact(F.array(*[F.when(n > 0, F.lit(label)) for (n, _, _), label in zip(places, PHRASES.values(), strict=True)]))
+    best = F.when(hit, F.struct(sum((n for n, _, _ in places), F.lit(0)).alias("n"), F.least(*[a for _, a, _ in places]).alias("first"), F.greatest(*[b for _, _, b in places]).alias("last"), found.alias("labels")))
+    base = docs.select("doc_id", spaced(F.col("text")).alias("s")).select("doc_id", n_words(s).alias("n_words"), best.alias("b"))
+    none = F.array().cast("array<string>")
+    base = base.select("doc_id", "n_words", F.coalesce("b.n", F.lit(0)).cast("long").alias("n_base"), F.col("b.first").cast("long").alias("first_word"), F.col("b.last").cast("long").alias("last_word"), F.coalesce("b.labels", none).alias("base"))
+    plan = _Plan(docs, templates, threshold)
+    blocks = template_blocks(docs, templates, threshold, plan).select("doc_id", "label", "containment").unionByName(wrapped_blocks(docs, templates, threshold, plan))
+    more = cut(blocks.groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("most")))
     out = base.join(F.broadcast(more) if small(more, BROADCAST_ROWS) else more, "doc_id", "left")
-    both = F.array_sort(F.array_union("_base", F.coalesce("_more", F.array().cast("array<string>"))))
-    score = F.greatest(F.coalesce("_score", F.lit(0.0)), F.when(F.col("n_base") > 0, 1.0).otherwise(0.0))
+    both = F.array_union("base", F.coalesce("more", none))
+    score = F.greatest(F.coalesce("most", F.lit(0.0)), F.when(F.col("n_base") > 0, 1.0).otherwise(0.0))
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
-    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined(F.col("_base")).alias("base_labels"), joined(both).alias("labels"), score.alias("score"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined(F.col("base")).alias("base_labels"), joined(both).alias("labels"), score.alias("score"))
 
 
 def op8_license_scan(spark, sf_dir: str) -> DataFrame:

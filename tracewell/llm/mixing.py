@@ -55,36 +55,37 @@ def copies(rate, doc_id, seed: int = 7):
 
 
 def mix_rates(docs: DataFrame, most: int = 3) -> DataFrame:
-    """`docs` with _size, _source_size, _target and _copies.
+    """row (a row of `docs`, whole), size, source_size, target and copies.
 
-    Null text has size 0, a null source is a source of its own, rows of one doc_id and source get equal numbers of
-    copies, and an empty table stays empty.
+    Rows are carried as one struct, so no name of a column of `docs` is in the way. Null text has size 0, a null source
+    is a source of its own, rows of one doc_id and source get equal numbers of copies, and an empty table stays empty.
     """
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    per = cut(source_targets(sized.select("source", F.col("_size").alias("size")), most=most))
-    per = per.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"))
+    sized = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), word_count(docs["text"]).alias("size"))
+    source, doc_id = F.col("row")["source"], F.col("row")["doc_id"]
+    per = cut(source_targets(sized.select(source.alias("source"), "size"), most=most))
     if small(per, BROADCAST_SOURCES):
-        out = sized.join(F.broadcast(per), F.col("source").eqNullSafe(F.col("_source")))
+        out = sized.join(F.broadcast(per), source.eqNullSafe(F.col("source")))
     else:
-        spread = per.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = sized.withColumn("_key", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)))
-        out = salted.join(spread, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_key") == F.col("_salt"))).drop("_salt", "_key")
-    return out.withColumn("_copies", copies(F.col("_rate"), F.col("doc_id"))).drop("_source", "_rate")
+        spread = per.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = sized.withColumn("key", F.pmod(F.xxhash64(doc_id, F.col("row")["text"]), F.lit(SALTS)))
+        out = salted.join(spread, source.eqNullSafe(F.col("source")) & (F.col("key") == F.col("salt")))
+    return out.select("row", "size", "source_size", "target", copies(F.col("rate"), doc_id).alias("copies"))
 
 
 def mixed(docs: DataFrame, most: int = 3) -> DataFrame:
-    """The mix itself: each row of `docs`, with its columns, as many times as its source's rate says."""
-    columns = docs.columns
-    out = mix_rates(docs, most).filter("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*columns)
+    """The mix itself: each row of `docs`, with its columns, as many times as its source's rate says.
+
+    Nulls, repeated rows, empty tables and other columns: as `mix_rates`; a text of any length is one row.
+    """
+    out = mix_rates(docs, most).filter("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     from .shared import table
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    taken = (F.col("_size") * F.col("_copies")).alias("taken")
-    return mix_rates(docs).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken, F.col("_copies").alias("copies"))
+    rates = mix_rates(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return rates.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 OP7_SQL = r"""

@@ -1,35 +1,39 @@
 """Near-duplicates by a signature-coordinate inverted join, each link confirmed on the full shingle sets.
 
-1. Every document gets the hashes of its distinct word shingles, a 128-bit digest of that set and a MinHash signature.
-   Documents with equal sets form a class; only its smallest doc_id goes on.
-2. Classes are posted under (coordinate, value) for the first half of the coordinates. A class that shares fewer than
-   MIN_SHARED posted pairs with others can have no link and leaves here (its postings are never merged).
-3. The survivors are posted again under a prefix of the coordinates only: two signatures that agree in MIN_SHARED of
-   the posted coordinates agree in one of the first POSTED - MIN_SHARED + 1. Each list is merged with skips: classes
-   already joined to the one at hand are not compared again, and a list gives out a spanning forest of the pairs with
-   MIN_MATCHES or more equal coordinates, never all its pairs. Lists beyond LIST_BLOCK go out in pairs of blocks.
-4. Within the components of those forests the full shingle sets are compared, again in blocks and with skips, and the
-   confirmed links are what the result's components are made of.
-
-At similarity 0.85 a pair agrees in fewer than 12 of 32 posted coordinates with probability under 1e-9, and in fewer
-than 32 of all 64 under 1e-10, so the thresholds lose no link in practice; they are far below the expected 27 and 54.
-At 0.80, the pipeline's bound, the probabilities are 2.7e-8 and 2.0e-8.
+1. Every row gets the hashes of its distinct word shingles, a 128-bit digest of that set and a MinHash signature. Rows
+   with equal sets form a class; one member of each class goes on.
+2. Classes are posted under (coordinate, value) for the first half of the coordinates. A class that shares too few
+   posted pairs with others can have no link and leaves here (its postings are never merged).
+3. The survivors' postings under a prefix of the coordinates are kept: two signatures that agree in `t` of the posted
+   coordinates agree in one of the first POSTED - t + 1. First each class meets only one leader, the smallest class
+   that heads most of its lists. Leaders and members whose full sets are similar are stars, and the stars' components
+   leave the lists that they fill alone, so a large group of copies costs one comparison each.
+4. What is left of the lists (two or more components) is merged in full, with skips: classes of one component are not
+   compared, nor are pairs that an earlier list has compared. Pairs with enough equal coordinates are candidates. A
+   list beyond LIST_BLOCK classes is posted again under a second coordinate, whose prefix keeps every pair, and only
+   what is still larger goes out in pairs of blocks.
+5. Each candidate pair's full sets are compared, in parts of CHUNK partners, and the confirmed links give the components.
+
+The thresholds are those that a pair at the least similarity misses with a probability of at most MISS each, given
+POSTED (for sharing) and COORDINATES (for matching) coordinates; `least_agreeing` computes them for any similarity.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import U64, arrow_map, components, cut, mix, small, text_pieces, words
 
-COORDINATES, POSTED, MIN_SHARED, MIN_MATCHES = 64, 32, 12, 32
-#: Classes in a block of a posting list, and in a block of a candidate component (also bounded by BLOCK_SHINGLES).
-LIST_BLOCK, SET_BLOCK, BLOCK_SHINGLES = 2048, 128, 1 << 20
+COORDINATES, POSTED, MISS = 64, 32, 1e-9
+#: Classes in a block of a posting list, and partners that one copy of a class's set is compared with.
+LIST_BLOCK, CHUNK = 1024, 256
 #: Ids are broadcast up to this number (16 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -67,6 +71,13 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32).view(np.int32)
 
 
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell a set."""
+    if not len(s):
+        return 0, 0
+    return int(np.add.reduce(mix(s), dtype=U64).view(np.int64)), int(np.add.reduce(mix(s ^ U64(0x5851F42D4C957F2D)), dtype=U64).view(np.int64))
+
+
 def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
     """doc_id, n_shingles, h1, h2 (the set's digest), sig."""
 
@@ -74,9 +85,7 @@ def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
         rows = []
         with np.errstate(over="ignore"):
             for _, s in shingle_sets(batch.column(1), size):
-                h1 = np.add.reduce(mix(s), dtype=U64) if len(s) else U64(0)
-                h2 = np.add.reduce(mix(s ^ U64(0x5851F42D4C957F2D)), dtype=U64) if len(s) else U64(0)
-                rows.append((len(s), h1.view(np.int64), h2.view(np.int64), signature(s)))
+                rows.append((len(s), *_digest(s), signature(s)))
         n, h1, h2, sig = zip(*rows, strict=True) if rows else ((), (), (), ())
         flat = pa.array(np.concatenate(sig) if sig else np.zeros(0, np.int32))
         sigs = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * COORDINATES), flat)
@@ -85,156 +94,239 @@ def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), fn, "doc_id long, n_shingles long, h1 long, h2 long, sig array<int>")
 
 
-def forest(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of n items; linked(i, others) says which others i is linked with. Joined items are skipped."""
-    left, edges = np.arange(n), []
-    while len(left):
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            i = queue.pop()
-            hit = linked(i, left)
-            if hit.any():
-                found = left[hit].tolist()
-                edges += [(i, j) for j in found]
-                queue += found
-                left = left[~hit]
-    return edges
-
-
-def grouped(df: DataFrame, key: list[str], columns: list[str], fn: Callable[[list[np.ndarray | pa.Array]], list[tuple[int, int]]]) -> DataFrame:
-    """Edges (a, b) that fn finds within each group. Groups are bounded by their makers; they come sorted, so one is held at a time."""
-    dealt = df.select(*key, *columns).repartition(*key).sortWithinPartitions(*key)
+def least_agreeing(percent: int, n: int, miss: float = MISS) -> int:
+    """The largest t such that of n coordinates, each equal with probability percent / 100, fewer than t agree with probability at most `miss`."""
+    p, below = percent / 100, 0.0
+    for t in range(n + 1):
+        below += math.comb(n, t) * p**t * (1 - p) ** (n - t)
+        if below > miss:
+            return max(1, t)
+    return n
+
+
+def _merged(posted: DataFrame, least: int, percent: int) -> DataFrame:
+    """(a, b): pairs of the lists' classes, of different components, whose signatures agree in `least` coordinates.
+
+    posted: pos, val, pos2, val2 (-1 where there is no second coordinate), bi, bj and of each class rep, comp, n, sig.
+    Lists are bounded by their maker and come sorted, so one is held at a time. A pair comes out only of the list of
+    its first common coordinate (and first second one), and of two blocks only from across them.
+    """
+    key = ["pos", "val", "pos2", "val2", "bi", "bj"]
+    dealt = posted.select(*key, "rep", "comp", "n", "own", "sig").repartition(*key).sortWithinPartitions(*key)
     k = len(key)
 
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        pos, pos2, bi, bj = (t[c][0].as_py() for c in ("pos", "pos2", "bi", "bj"))
+        rep, comp, n, own = (t[c].to_numpy() for c in ("rep", "comp", "n", "own"))
+        sig = t["sig"].combine_chunks().flatten().to_numpy().reshape(len(rep), COORDINATES)
+        before = [c for c in range(pos2) if c != pos] if pos2 >= 0 else []
+        for i in range(len(rep) - 1):
+            j = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i])))
+            j = j[own[j] != own[i]] if bi != bj else j
+            equal = sig[j] == sig[i]
+            ok = (equal.sum(1) >= least) & ~equal[:, :pos].any(1)
+            ok &= ~equal[:, before].any(1) if before else True
+            if ok.any():
+                j = j[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], ["a", "b"])
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
-
-        def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            t = t.combine_chunks()
-            keys = np.column_stack([t[i].to_numpy() for i in range(k)])
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            edges = []
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
-                if b - a > 1:
-                    edges += fn([t[i].slice(a, b - a) for i in range(k, t.num_columns)])
-            if edges:
-                e = np.array(edges, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
-
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = pa.concat_tables([rest, t]) if rest is not None else t
-            keys = [t[i].to_numpy() for i in range(k)]
-            last = np.ones(len(t), bool)
-            for c in keys:
-                last &= c == c[-1]
-            start = len(t) - int(last[::-1].argmin()) if not last.all() else 0
-            rest = t.slice(start)
-            if start:
-                yield from run(t.slice(0, start))
-        if rest is not None and len(rest):
-            yield from run(rest)
+            keys = np.column_stack([t[i].to_numpy() for i in range(k)])
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist()]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield from pairs(t.slice(a, b - a)) if b - a > 1 else ()
+            rest = t.slice(cuts[-1])
+        if rest is not None and len(rest) > 1:
+            yield from pairs(rest)
 
     return dealt.mapInArrow(each, "a long, b long")
 
 
-def _signature_forest(columns: list[pa.ChunkedArray]) -> list[tuple[int, int]]:
-    rep = columns[0].to_numpy()
-    sig = columns[1].combine_chunks().flatten().to_numpy().reshape(len(rep), COORDINATES)
-    return [(int(rep[i]), int(rep[j])) for i, j in forest(len(rep), lambda i, others: (sig[others] == sig[i]).sum(1) >= MIN_MATCHES)]
-
+def _candidates(posts: DataFrame, sigs: DataFrame, stars: DataFrame | None, percent: int, shared: int) -> DataFrame:
+    """Candidate pairs of the lists that hold two or more components. posts: pos, val, rep; sigs: rep, n, sig; stars: node, component."""
+    if stars is not None:
+        comps = stars.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+        posts = posts.join(F.broadcast(comps) if small(comps, BROADCAST_IDS) else comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    else:
+        posts = posts.withColumn("comp", F.col("rep"))
+    lists = posts.groupBy("pos", "val").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low <> _high").select("pos", "val", "m")
+    mixed = cut(posts.join(lists, ["pos", "val"]))
+    none = [F.lit(-1).alias("pos2"), F.lit(0).alias("val2")]
+    short = mixed.filter(F.col("m") <= LIST_BLOCK).join(sigs, "rep").select("*", *none)
+    long = mixed.filter(F.col("m") > LIST_BLOCK)
+    if long.isEmpty():
+        parts = short.withColumn("blocks", F.lit(1))
+    else:
+        # A pair that agrees here agrees in shared - 1 of the other posted coordinates, so in one of this many of them.
+        second = F.filter(F.sequence(F.lit(0), F.lit(POSTED - 1)), lambda c: c != F.col("pos"))
+        second = F.slice(second, 1, POSTED - shared + 1)
+        long = long.join(sigs, "rep").withColumn("pos2", F.explode(second)).withColumn("val2", F.element_at("sig", F.col("pos2") + 1))
+        sub = long.groupBy("pos", "val", "pos2", "val2").agg(F.count(F.lit(1)).alias("m2"), F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low <> _high").drop("_low", "_high")
+        long = long.join(sub, ["pos", "val", "pos2", "val2"]).withColumn("blocks", F.ceil(F.col("m2") / LIST_BLOCK).cast("int")).drop("m2")
+        parts = short.withColumn("blocks", F.lit(1)).unionByName(long)
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = parts.withColumn("own", own).withColumn("_other", F.explode(other))
+    return _merged(dealt.withColumn("bi", F.least("own", "_other")).withColumn("bj", F.greatest("own", "_other")), least_agreeing(percent, COORDINATES), percent)
+
+
+def _sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """node, set: the full shingle set of each class (node, rep, h1, h2), from a row of its smallest id that has it."""
+    wanted = classes.select(F.col("rep").alias("id"), "node", "h1", "h2")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    chosen = texts.join(F.broadcast(wanted) if small(wanted, BROADCAST_IDS) else wanted, "id").select("node", "text", "h1", "h2")
 
-def _set_forest(percent: int) -> Callable[[list[pa.ChunkedArray]], list[tuple[int, int]]]:
-    def fn(columns: list[pa.ChunkedArray]) -> list[tuple[int, int]]:
-        rep = columns[0].to_numpy()
-        sets = [np.frombuffer(x.as_py(), U64) for x in columns[1]]
-        size = np.array([len(s) for s in sets])
-        local = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        at = np.append(0, np.cumsum(size))
-        mark = np.zeros(int(local.max(initial=0)) + 1, bool)
+    def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        h1, h2, node = (batch.column(i).to_numpy() for i in (2, 3, 0))
+        keep, packed = [], []
+        with np.errstate(over="ignore"):
+            for i, s in shingle_sets(batch.column(1), size):
+                if _digest(s) == (h1[i], h2[i]):
+                    keep.append(node[i]), packed.append(s.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(packed, pa.binary())], ["node", "set"])
 
-        def linked(i: int, others: np.ndarray) -> np.ndarray:
-            fits = others[(100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i]))]
-            mark[local[at[i] : at[i + 1]]] = True
-            hit = np.isin(others, fits[[(100 * (x := int(mark[local[at[j] : at[j + 1]]].sum())) >= percent * (size[i] + size[j] - x)) for j in fits]]) if len(fits) else np.zeros(len(others), bool)
-            mark[local[at[i] : at[i + 1]]] = False
-            return hit
+    return arrow_map(chosen, fn, "node long, set binary")
 
-        return [(int(rep[i]), int(rep[j])) for i, j in forest(len(rep), linked)]
 
-    return fn
+def _confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int, size: int) -> DataFrame:
+    """(a, b): those of the candidate pairs whose full sets are similar enough; None where there is no pair.
 
+    A set goes once to each pair that it is the b of, and once to each CHUNK of pairs that it is the a of, so a hub's
+    pairs are dealt to many tasks and no task holds more than one set and the rows at hand.
+    """
+    pairs = cut(pairs)
+    if pairs.isEmpty():
+        return None
+    chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("_c"))
+    dealt = cut(pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_c")).alias("part"), "b"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = cut(_sets(docs, cut(classes.join(ids, "node")), size))
+    heads = dealt.select("a", "part").distinct().join(sets, F.col("a") == F.col("node")).select("a", "part", F.lit(0).alias("turn"), "node", "set")
+    rows = heads.unionByName(dealt.join(sets, F.col("b") == F.col("node")).select("a", "part", F.lit(1).alias("turn"), "node", "set"))
 
-def _in_blocks(df: DataFrame, blocks: str, rep: str = "rep") -> DataFrame:
-    """bi, bj: each pair of blocks that a row's block belongs to; one block alone is paired with itself."""
-    own = F.pmod(F.xxhash64(rep), F.col(blocks)).cast("int")
-    other = F.when(F.col(blocks) == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col(blocks) - 1), lambda j: j != own))
-    df = df.withColumn("_other", F.explode(other))
-    return df.withColumn("bi", F.least(own, F.col("_other"))).withColumn("bj", F.greatest(own, F.col("_other"))).drop("_other")
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, of = None, None
+        for batch in batches:
+            a, part, turn, node = (batch.column(i).to_pylist() for i in range(4))
+            found = []
+            for i in range(len(a)):
+                s = np.frombuffer(batch.column(4)[i].as_buffer(), U64)
+                if turn[i] == 0:
+                    head, of = s.copy(), (a[i], part[i])
+                elif of == (a[i], part[i]):
+                    at = np.minimum(np.searchsorted(head, s), len(head) - 1)
+                    x = int((head[at] == s).sum())
+                    if 100 * x >= percent * (len(head) + len(s) - x):
+                        found.append((a[i], node[i]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    key = ["a", "part"]
+    return cut(rows.repartition(*key).sortWithinPartitions(*key, "turn").mapInArrow(each, "a long, b long"))
+
+
+def _classes(base: DataFrame) -> DataFrame:
+    """node, rep, h1, h2, n, sig of each class of equal sets; rep is its smallest doc_id and node its name.
+
+    The name is the smallest id. Only where an id is the smallest of two classes (rows that share an id and not a
+    text) the name is a hash of the digest, made negative.
+    """
+    reps = base.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
+    reps = cut(reps)
+    twice = reps.groupBy("rep").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("rep", F.lit(True).alias("_twice"))
+    if twice.isEmpty():
+        return reps.select(F.col("rep").alias("node"), "rep", "h1", "h2", "n", "sig")
+    node = F.when(F.col("_twice"), -1 - F.shiftrightunsigned(F.xxhash64("h1", "h2"), 1)).otherwise(F.col("rep"))
+    return cut(reps.join(twice, "rep", "left").select(node.alias("node"), "rep", "h1", "h2", "n", "sig"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text).
+def _labelled(docs: DataFrame, percent: int, size: int) -> DataFrame:
+    """doc_id, n_shingles, h1, h2, component_id of every row of docs, and component: its key, null for a class without links and copies.
 
-    Two documents are linked where 100 * |intersection| >= percent * |union| of their sets of distinct word shingles;
-    component_id is the smallest doc_id that links lead to. Null and empty texts, and texts of white space, have no
-    shingles and no links. Rows that share a doc_id count as one document and so share a component; a null doc_id
-    is linked with nothing, its component_id is null and it is kept. An empty table gives an empty result.
+    Two components may share their smallest id, where rows share an id; their keys differ.
     """
-    if percent < 75:
-        raise ValueError("the match thresholds hold from a similarity of 0.75 on")
     base = cut(signatures(docs, size))
-    reps = base.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
-    reps = cut(reps)
-    posts = reps.select("rep", F.posexplode(F.slice("sig", 1, POSTED)).alias("pos", "val"))
-    lists = posts.groupBy("pos", "val").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    live = cut(posts.join(lists, ["pos", "val"]))
-    shared = live.groupBy("rep").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= MIN_SHARED).select("rep")
-    alive = reps.join(shared, "rep").select("rep", "sig")
-    prefix = live.filter(F.col("pos") <= POSTED - MIN_SHARED).withColumn("blocks", F.ceil(F.col("m") / LIST_BLOCK).cast("int"))
-    posted = _in_blocks(prefix.join(alive, "rep"), "blocks")
-    near = components(grouped(posted, ["pos", "val", "bi", "bj"], ["rep", "sig"], _signature_forest))
-
-    members = cut(near.join(reps.select(F.col("rep").alias("node"), "n"), "node"))
-    held = members.groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("all"))
-    held = held.select("component", F.greatest(F.ceil(F.col("docs") / SET_BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = cut(members.join(held, "component").select(F.col("node").alias("rep"), F.col("component").alias("_component"), "blocks"))
-    few = small(members, BROADCAST_IDS)
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    chosen = texts.join(F.broadcast(members) if few else members, "rep").select("rep", "text", "_component", "blocks")
-
-    def sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            packed = pa.array([s.tobytes() for _, s in shingle_sets(batch.column(1), size)], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), packed, batch.column(2), batch.column(3)], ["rep", "set", "_component", "blocks"])
+    classes = _classes(base)
+    shared = least_agreeing(percent, POSTED)
+    posts = classes.select("node", F.posexplode(F.slice("sig", 1, POSTED)).alias("pos", "val"))
+    lists = posts.groupBy("pos", "val").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("pos", "val")
+    live = cut(posts.join(lists, ["pos", "val"]).withColumnRenamed("node", "rep"))
+    alive = cut(live.groupBy("rep").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= shared).select("rep"))
+    prefix = live.filter(F.col("pos") <= POSTED - shared)
+    posts = cut(prefix.join(F.broadcast(alive) if small(alive, BROADCAST_IDS) else alive, "rep").select("pos", "val", "rep"))
+
+    # Leaders, which decide what is compared first and never the result: each class's is the smallest class of at least
+    # a third of its lists. The sums meet before the shuffle, so a long list is never in one task.
+    heads = posts.groupBy("pos", "val").agg(F.min("rep").alias("a"))
+    led = posts.join(heads, ["pos", "val"]).filter("a <> rep").groupBy("rep", "a").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= max(1, (POSTED - shared + 1) // 3))
+    led = led.groupBy("rep").agg(F.max_by("a", F.struct("_c", -F.col("a"))).alias("a")).select("a", F.col("rep").alias("b"))
+    keys = classes.select("node", "rep", "h1", "h2")
+    links = _confirmed(docs, led, keys, percent, size)
+    stars = components(links) if links is not None else None
+    sigs = classes.select(F.col("node").alias("rep"), "n", "sig")
+    more = _confirmed(docs, _candidates(posts, sigs, stars, percent, shared), keys, percent, size)
+    linked = stars if more is None else components(more if links is None else links.unionByName(more))
+
+    # A component is named by its smallest id; its nodes are that but for the hashed ones.
+    named = keys.withColumn("component", F.col("node")) if linked is None else keys.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("_c"))
+    # Only classes that have copies or links need to be looked up; every other document is its own component.
+    copied = base.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    found = named.join(least, "component").join(copied, ["h1", "h2"], "left").filter("_c > 1 or _n > 1").select("h1", "h2", "component", "component_id")
+    found = cut(found)
+    out = base.select("doc_id", "n_shingles", "h1", "h2").join(F.broadcast(found) if small(found, BROADCAST_IDS) else found, ["h1", "h2"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "n_shingles", "h1", "h2", "component", component.alias("component_id"))
 
-    full = _in_blocks(arrow_map(chosen, sets, "rep long, set binary, _component long, blocks int"), "blocks")
-    linked = components(grouped(full, ["_component", "bi", "bj"], ["rep", "set"], _set_forest(percent)))
 
-    named = reps.join(linked.withColumnRenamed("node", "rep"), "rep").select("h1", "h2", "component")
-    classes = reps.select("h1", "h2", "rep").join(named, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    # Only classes that have copies or links need to be looked up; every other document is its own component.
-    more = base.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h1", "h2")
-    more = cut(classes.join(more.unionByName(named.select("h1", "h2")).distinct(), ["h1", "h2"]))
-    out = base.select("doc_id", "n_shingles", "h1", "h2").join(F.broadcast(more) if small(more, BROADCAST_IDS) else more, ["h1", "h2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text); other columns are left out.
+
+    Two rows are linked where 100 * |intersection| >= percent * |union| of their sets of distinct word shingles;
+    component_id is the smallest doc_id of the rows that links lead to. Null and empty texts, and texts of white space,
+    have no shingles and no links. Rows that share a doc_id are rows of their own: an id joins nothing, only texts do, so
+    such rows may stand in different components. A null doc_id is linked with nothing, its component_id is null and it
+    is kept. Long texts count whole. An empty table gives an empty result.
+    """
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be from 50 to 100: below, the lists prune too little")
+    out = _labelled(docs, percent, size)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """`docs` with all its columns but only one document of each group of near-duplicates, that of the smallest doc_id.
+    """`docs` with all its columns but only one row of each component of near-duplicates: one with the smallest doc_id.
 
-    Of rows that share a doc_id one is left; rows without a doc_id, and documents without words, stay.
+    Where several rows of a component have that id, the one with the smallest hash of its columns stays. Rows without
+    a doc_id, and rows without words, all stay. No name of a column of `docs` is in the way: rows are carried whole.
     """
-    found = cut(near_duplicates(docs, percent))
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = cut(gone)
-    left = docs.join(F.broadcast(gone) if small(gone, BROADCAST_IDS) else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    twice = cut(found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("doc_id").alias("_twice")))
+    found = cut(_labelled(docs, percent, 5).filter("doc_id is not null"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    # Ids of more than one row, whose rows are told apart by their sets; all others are told by the id.
+    twice = cut(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select(F.col("doc_id").alias("id")))
+    gone = cut(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("id")).unionByName(twice).distinct())
+    by_id = lambda ids: F.broadcast(ids) if small(ids, BROADCAST_IDS) else ids
     if twice.isEmpty():
-        return left
-    repeated = left.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti").unionByName(repeated)
+        return rows.join(by_id(gone), "id", "left_anti").select("row.*")
+
+    def digests(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            d = [(len(s), *_digest(s)) for _, s in shingle_sets(batch.column(1), 5)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[c] for x in d], pa.int64()) for c in range(3)], batch.column(2)], ["id", "n", "h1", "h2", "row"])
+
+    long = T.LongType()
+    schema = T.StructType([T.StructField(c, long) for c in ("id", "n", "h1", "h2")] + [T.StructField("row", rows.schema["row"].dataType)])
+    again = cut(arrow_map(rows.join(by_id(twice), "id", "left_semi").select("id", "text", "row"), digests, schema))
+    named = found.filter("doc_id = component_id").select(F.col("doc_id").alias("id"), "h1", "h2", "component").distinct()
+    held = again.filter("n > 0").join(named, ["id", "h1", "h2"])
+    alone = lambda c: F.when(F.col("component").isNull(), F.col(c)).alias(f"alone_{c}")
+    one = held.groupBy("component", alone("h1"), alone("h2")).agg(F.min_by("row", F.struct(F.xxhash64("row"), "h1", "h2")).alias("row")).select("row")
+    # Wordless rows that share their id with others stay, as all wordless rows do.
+    return rows.join(by_id(gone), "id", "left_anti").select("row").unionByName(one).unionByName(again.filter("n = 0").select("row")).select("row.*")
 
 
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -1,16 +1,19 @@
 """Format-preserving pseudonyms for personal data, in DataFrame functions only.
 
 Numbers and dates that pass their format's check are permuted by a keyed Feistel network within that format: a card
-number stays a valid card number, an IBAN a valid IBAN, an IPv4 address one, a date a date. The permutation depends on the key and the kind alone,
-so equal values get equal pseudonyms in every document, and different values different ones. Addresses and secrets have no fixed-size
-format and become keyed hashes of the same alphabet.
+number stays a valid card number, an IBAN a valid IBAN, an IPv4 address one, a date a date of its own notation. The
+permutation depends on the key and the kind alone, so equal values get equal pseudonyms in every document, and
+different values of a kind different ones. Numbers that fail their check digit keep failing it by as much, so none
+meets the pseudonym of one that passes. E-mail addresses (whatever their capitals) and secrets have no fixed-size format
+and become keyed hashes: 104 bits for an address and 80 for its domain, and for a secret as many hexadecimal signs as
+it has, at least 20.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 10
@@ -30,7 +33,7 @@ _DIGIT = r"[ .\-()]{0,3}[0-9]"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?<![A-Za-z0-9])(?:(?=[A-Fa-f]{0,128}[0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)|(?=[A-Za-z\-_]{0,128}[0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})|(?:sk|pk)[-_](?=[A-Za-z\-_]{0,1024}[0-9])[A-Za-z0-9_\-]{20,}+)(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:(?=[A-Fa-f]*+[0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)|(?=[A-Za-z_]{0,40}[0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})|(?:sk|pk)[-_](?=[A-Za-z\-_]{0,1024}[0-9])[A-Za-z0-9_\-]{20,}+)(?![A-Za-z0-9])",
     "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBANS}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))",
     "date": r"(?<![0-9/.\-])(?:(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])/(?:0[1-9]|[12][0-9]|3[01])/(?:19|20)[0-9]{2})(?![0-9/\-])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
@@ -96,12 +99,17 @@ def luhn_sum(digits: Column, doubled: int) -> Column:
 
 
 def _number(key: str, m: Column) -> Column:
-    """A card number, by its check digit, in one piece or in groups; other long numbers only in one piece, as groups may be anything."""
+    """A card number, by its check digit, in one piece or in groups; other long numbers only in one piece, as groups may be anything.
+
+    The digits before the check digit are permuted, and what the check digit is off by (0 for a card) is kept.
+    """
     digits = F.regexp_replace(m, "[^0-9]", "")
 
     def card(d: Column) -> Column:
-        body = let(permuted_digits(key, "card", d.substr(F.lit(1), F.length(d) - 1)), lambda b: F.concat(b, F.pmod(-luhn_sum(b, 0), F.lit(10)).cast("string")))
-        return F.when(luhn_sum(d, 1) % 10 == 0, body).when(~m.rlike("[^0-9]"), permuted_digits(key, "number", d)).otherwise(d)
+        body = d.substr(F.lit(1), F.length(d) - 1)
+        off = F.pmod(luhn_sum(d, 1), F.lit(10))
+        kind = lambda name: let(permuted_digits(key, name, body), lambda b: F.concat(b, F.pmod(off - luhn_sum(b, 0), F.lit(10)).cast("string")))
+        return F.when(off == 0, kind("card")).when(~m.rlike("[^0-9]"), kind("number")).otherwise(d)
 
     return put_back(m, let(digits, card))
 
@@ -123,20 +131,32 @@ def _ip(key: str, m: Column) -> Column:
     return let(both, lambda h: F.concat_ws(".", *[F.floor(x / 256).cast("bigint").cast("string") if high else (x % 256).cast("string") for x in (h["l"], h["r"]) for high in (1, 0)]))
 
 
-def _day(key: str, day: Column) -> Column:
-    """Days from FIRST_DAY, permuted; what falls beyond DAYS walks on until it is inside."""
+def _day(key: str, day: Column, inside: Callable[[Column], Column], kind: str = "date", steps: int = 64) -> Column:
+    """Days from FIRST_DAY, permuted; what falls outside walks on until it is inside, which leaves a permutation of the inside.
+
+    A day that needs more than `steps` steps would stay outside; with two fifths of all inside that is 1 in 10^14.
+    """
     side = F.lit(SIDE).cast("bigint")
-    once = lambda x: let(feistel(key, "date", F.floor(x / SIDE), x % SIDE, side, side), lambda h: h["l"] * SIDE + h["r"])
-    return F.aggregate(F.sequence(F.lit(1), F.lit(24)), once(day), lambda x, _: F.when(x < DAYS, x).otherwise(once(x)))
+    once = lambda x: let(feistel(key, kind, F.floor(x / SIDE), x % SIDE, side, side), lambda h: h["l"] * SIDE + h["r"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), once(day), lambda x, _: F.when((x < DAYS) & inside(x), x).otherwise(once(x)))
+
+
+def _on(day: Column) -> Column:
+    return F.date_add(F.to_date(F.lit(FIRST_DAY)), day.cast("int"))
 
 
 def _date(key: str, m: Column) -> Column:
-    """A valid date in its own format; anything else stays. With slashes the day comes first where that is a date."""
+    """A valid date in its own notation; anything else stays.
+
+    With slashes the day comes first where that is a date; where it is not, the month does, and then days up to the
+    12th are passed over, so that no pseudonym reads as a date of the other order: each notation maps to itself.
+    """
     out = m
-    for form in ("MM/dd/yyyy", "dd/MM/yyyy", "yyyy-MM-dd"):
+    anything, late = lambda x: F.lit(True), lambda x: F.dayofmonth(_on(x)) > 12
+    for form, inside in (("MM/dd/yyyy", late), ("dd/MM/yyyy", anything), ("yyyy-MM-dd", anything)):
         parsed = F.to_date(F.try_to_timestamp(m, F.lit(form)))
         day = F.datediff(parsed, F.to_date(F.lit(FIRST_DAY))).cast("bigint")
-        new = F.date_format(F.date_add(F.to_date(F.lit(FIRST_DAY)), _day(key, day).cast("int")), form)
+        new = F.date_format(_on(_day(key, day, inside)), form)
         fits = m.rlike("-") if "-" in form else m.rlike("/")
         out = F.when(fits & parsed.isNotNull(), new).otherwise(out)
     return out
@@ -179,9 +199,9 @@ def _secret(key: str, m: Column) -> Column:
 
 
 def _email(key: str, m: Column) -> Column:
-    """Local part and domain become letters of keyed hashes, so addresses of one domain stay together."""
-    local, domain = F.substring_index(m, "@", 1), F.lower(F.substring_index(m, "@", -1))
-    return F.concat(_hashed(key, "local", F.lower(m), F.length(local), True), F.lit("@"), _hashed(key, "domain", domain, F.lit(8), True), F.lit(".invalid"))
+    """Local part and domain become letters of keyed hashes, of one length for all, so addresses of one domain stay together."""
+    domain = F.lower(F.substring_index(m, "@", -1))
+    return F.concat(_hashed(key, "local", F.lower(m), F.lit(26), True), F.lit("@"), _hashed(key, "domain", domain, F.lit(20), True), F.lit(".invalid"))
 
 
 MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ip": _ip, "phone": _phone, "ssn": lambda key, m: put_back(m, permuted_digits(key, "ssn", F.regexp_replace(m, "[^0-9]", ""))), "number": _number}
@@ -205,31 +225,42 @@ def pseudonym(key: str, m: Column) -> Column:
     return let(kind_of(m), make)
 
 
-def with_pseudonyms(docs: DataFrame, key: str = "tracewell") -> DataFrame:
+#: Where the session names the key. Without one, the queries over synthetic tables take PUBLIC_KEY, which hides nothing.
+KEY_SETTING, PUBLIC_KEY = "spark.tracewell.pseudonymKey", "public key of the synthetic tables"
+
+
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, "") or PUBLIC_KEY
+
+
+def with_pseudonyms(docs: DataFrame, key: str) -> DataFrame:
     """`docs` with its columns, private data in text replaced, and n_chars (where there is such a column) made to fit changed texts.
 
-    Null stays null and empty stays empty; texts without private data are unchanged to the byte. The text is divided
-    at the matches, which are replaced and woven in again.
+    key: a secret of the owner's; who has it can turn numbers and dates back, so it has no default. Null stays null and
+    empty stays empty; texts without private data are unchanged to the byte. The text, however long, is divided at the
+    matches, which are replaced and woven in again. Equal rows give equal rows, an empty table an empty one, and other
+    columns stay, whatever their names.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     text = F.col("text")
     parts, found = F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     woven = F.zip_with(parts, F.transform(found, lambda m: pseudonym(key, m)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     hit = text.rlike(NEEDED) & text.rlike(ANY)
     new = F.when(hit, F.array_join(woven, "")).otherwise(text)
-    out = docs.withColumn("text", new)
-    if "n_chars" in docs.columns:
-        fits = F.when(hit, F.length(new)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-        out = docs.withColumns({"text": new, "n_chars": fits})
-    return out
+    if "n_chars" not in docs.columns:
+        return docs.withColumn("text", new)
+    fits = F.when(hit, F.length(new)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return docs.withColumns({"text": new, "n_chars": fits})
 
 
-def op5_pii_pseudonyms(spark, sf_dir: str, key: str = "tracewell") -> DataFrame:
+def op5_pii_pseudonyms(spark, sf_dir: str) -> DataFrame:
     """doc_id, text with pseudonyms, and how many of each kind the text held."""
     from .shared import table
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    text = F.col("_was")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("was"))
+    text = F.col("was")
     found = F.when(text.rlike(NEEDED) & text.rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    out = with_pseudonyms(docs.withColumn("_was", F.col("text")), key).withColumn("_kinds", F.transform(found, kind_of))
-    count = lambda kind: F.size(F.filter("_kinds", lambda k: k == kind)).cast("long")
+    out = with_pseudonyms(docs, session_key(spark)).withColumn("kinds", F.transform(found, kind_of))
+    count = lambda kind: F.size(F.filter("kinds", lambda k: k == kind)).cast("long")
     return out.select("doc_id", "text", *[count(kind).alias(f"n_{kind}") for kind in PATTERNS])

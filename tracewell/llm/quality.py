@@ -133,29 +133,40 @@ def predict(model: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, out: bool, size: int) -> DataFrame:
-    """text, y of at most `size` labelled documents whose id's crc32 has (out=False) or has not (out=True) the remainder."""
+    """doc_id, text, y of at most `size` labelled documents whose id's crc32 has (out=False) or has not (out=True) the remainder; one row for each id."""
     ids = labels.select(F.col("doc_id").alias("_id"), F.col(label).alias("y")).filter("_id is not null and y in (0, 1)").groupBy("_id").agg(F.max("y").alias("y"))
     fold = held(F.col("_id"), modulus, remainder)
     chosen = cut(ids.filter(~fold if out else fold).orderBy(F.xxhash64("_id"), "_id").limit(size))
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Word vectors over all documents, and the network fitted on labels whose fold is not held out."""
+    """Word vectors over all documents, and the network fitted on labels whose fold is not held out.
+
+    Documents without a label, and labels without a document, shape the vectors alone or nothing; of documents that share
+    an id the one with the smallest text is fitted on, of labels that share an id the largest stands; without both labels
+    (an empty table, too) the score is a constant.
+    """
     vectors = word_vectors(docs)
 
     def features(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         x = np.concatenate([*pooled(batch.column(1), vectors), np.zeros((0, 2 * DIM + 4))])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x.tobytes() and [r.tobytes() for r in x] or [], pa.binary()), batch.column(2).cast(pa.int32())], ["doc_id", "x", "y"])
 
-    # At most `sample` ids, and as many rows unless an id repeats.
-    got = arrow_map(labelled_sample(docs, labels, "quality", 3, 1, True, sample), features, "doc_id long, x binary, y int").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    # At most `sample` rows.
+    got = arrow_map(labelled_sample(docs, labels, "quality", 3, 1, True, sample), features, "doc_id long, x binary, y int").toPandas().sort_values("doc_id")
     x = np.frombuffer(b"".join(got.x), np.float64).reshape(len(got), 2 * DIM + 4)
     return vectors, fit_network(x, got.y.to_numpy(np.float64))
 
 
 def score(docs: DataFrame, vectors: np.ndarray, model: dict[str, np.ndarray]) -> DataFrame:
-    """`docs` rows as doc_id, held_out, score, predicted; null and empty texts are scored as texts without tokens."""
+    """doc_id, held_out, score, predicted for every row of `docs` (doc_id, text).
+
+    Null and empty texts are scored as texts without tokens, and texts of any length as a whole. Equal texts (repeated
+    rows, too) have equal scores, a null doc_id stays null and is not held out, an empty table gives an empty result,
+    and other columns are left out.
+    """
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         p = np.concatenate([predict(model, x) for x in pooled(batch.column(1), vectors)] or [np.zeros(0)])

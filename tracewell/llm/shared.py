@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,28 +21,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables that this process has written by `cut` and not dropped, oldest first.
+WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", "") or "/tmp/tracewell-checkpoints").rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of our own in local mode (tests) alone."""
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or os.path.join(tempfile.gettempdir(), "tracewell-checkpoints")).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows as a table in the shared folder and read them back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, keep: int = 0, last: int = 0) -> None:
+    """Delete the tables that `cut` wrote, but for the first `keep` and the `last` of them. Nothing may still read them."""
+    gone = WRITTEN[keep : len(WRITTEN) - last]
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        WRITTEN.remove(path)
+
+
 def small(df: DataFrame, limit: int) -> bool:
     """Whether a (written) table has at most so many rows; reads no more than it needs to tell."""
     return df.limit(limit + 1).count() <= limit
 
 
-def bucket(df: DataFrame, key: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n))
-
-
 def held(doc_id: Column, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text has this remainder; an id of null has not."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == remainder, F.lit(False))
@@ -68,6 +82,12 @@ def text_pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[in
         i = j
 
 
+def runs_of_rows(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of rows with about `limit` bytes of text in all; a longer text is a run of its own."""
+    for first, _, offsets in text_pieces(column, limit):
+        yield first, first + len(offsets) - 1
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
@@ -142,6 +162,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     Every round is a pair of joins with a pre-aggregated minimum, so a hub's rows meet only in sums and in joins that
     can be split; a written table ends each round's lineage.
     """
+    spark, first = edges.sparkSession, len(WRITTEN)
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     seen = None
     for _ in range(rounds):
@@ -152,6 +173,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         stars = large.join(low, "u")
         small_star = stars.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(stars.select("u", F.col("m").alias("v")))
         now = cut(small_star.filter("u <> v").distinct())
+        drop_tables(spark, keep=first, last=1)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
             break
@@ -160,12 +182,3 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-
-
-def local_spark(app: str = "tracewell") -> SparkSession:
-    """The session of tests and the benchmark."""
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    return (
-        SparkSession.builder.master(f"local[{cpus}]").appName(app).config("spark.sql.shuffle.partitions", cpus).config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
-    )

@@ -33,8 +33,8 @@ ODD[[*b"0134578@$!|+*#%&_.-"]] = True
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 N_FEATURES = 20
-#: Words of the learned lexicon at most, the toxic documents that each needs, and the least log-odds (one standard error off).
-LEARNED, LEAST_DOCS, LEAST_ODDS = 4096, 3, 1.5
+#: Toxic documents that a word of the learned lexicon needs, and the least log-odds (one standard error off).
+LEAST_DOCS, LEAST_ODDS = 3, 1.5
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -209,7 +209,7 @@ def _fold(batch: pa.RecordBatch) -> np.ndarray:
 def learned_words(sample: DataFrame) -> list[np.ndarray]:
     """Sorted hashes of the words that mark toxic documents of the sample: learned without its half 0, without its half 1, and from all.
 
-    Words are counted once a document and summed by Spark; at most LEARNED words of each list come to the driver.
+    Words are counted once a document and summed by Spark; the sample bounds their number.
     """
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -231,7 +231,7 @@ def learned_words(sample: DataFrame) -> list[np.ndarray]:
         toxic, clean = (sum(n.get((f, y), 0) for f in folds) for y in (1, 0))
         a, b = (sum((F.col(f"c{f}{y}") for f in folds), F.lit(0)) for y in (1, 0))
         odds = F.log((a + 0.5) / (toxic + 1)) - F.log((b + 0.5) / (clean + 1)) - F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        best = by.filter(a >= LEAST_DOCS).select("h", odds.alias("odds")).filter(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("odds"), "h").limit(LEARNED)
+        best = by.filter(a >= LEAST_DOCS).select("h", odds.alias("odds")).filter(F.col("odds") >= LEAST_ODDS)
         out.append(np.sort(np.array([r.h for r in best.collect()], np.int64).view(U64)))
     return out
 
@@ -239,9 +239,11 @@ def learned_words(sample: DataFrame) -> list[np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Boosted:
     """Fitted on at most `sample` labelled documents, none of the held-out fold.
 
-    While fitting, a document's learned words come from the half of the sample that it is not in.
+    While fitting, a document's learned words come from the half of the sample that it is not in. Documents without a
+    label, and labels without a document, take no part; of documents that share an id the one with the smallest text
+    stands, of labels that share an id the largest; without both labels (an empty table, too) the score is a constant.
     """
-    chosen = labelled_sample(docs, labels, "toxic", 5, 0, True, sample).dropDuplicates(["doc_id"])
+    chosen = cut(labelled_sample(docs, labels, "toxic", 5, 0, True, sample))
     lists = learned_words(chosen)
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -257,7 +259,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Boosted:
 
 
 def score(docs: DataFrame, model: Boosted) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of `docs` (doc_id, text); null and empty texts are scored as texts without words."""
+    """doc_id, held_out, score, predicted for every row of `docs` (doc_id, text).
+
+    Null and empty texts are scored as texts without words, and texts of any length as a whole. Equal texts (repeated
+    rows, too) have equal scores, a null doc_id stays null and is not held out, an empty table gives an empty result,
+    and other columns are left out.
+    """
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         p = np.concatenate([model.score(x) for x in features(batch.column(1), model.learned)] or [np.zeros(0)])
