@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tracewell.llm import bpe, mixing, neardup, pii, quality
-from tracewell.llm.shared import cut, table
+from tracewell.llm.shared import WRITTEN, cut, drop_tables, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +19,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pseudonyms in place of private data."""
-    return pii.with_pseudonyms(docs)
+    """Pseudonyms in place of private data, by the session's key."""
+    return pii.with_pseudonyms(docs, pii.session_key(spark))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,16 +35,27 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", keep_good), ("near_duplicates", drop_copies), ("pii", hide_private), ("mixing", mix_sources), ("bpe", encode)]
 
-#: No stage but the mix can be put in SQL (a trained network, Feistel networks, byte pairs); tests hold each against a brute-force version.
+#: No stage but the mix can be put in SQL (a trained network, Feistel networks, byte pairs). tests/llm hold the near-duplicates,
+#: the pseudonyms, the mix and the encoding against brute-force versions, and the classifier against labels held out.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after another over the whole table documents: doc_id, ids and their digests of what is left.
+
+    Each stage's rows are written to the shared folder before the next reads them, and then what the stage itself had
+    written there is deleted. Null and empty texts have no words: they are kept by the classifier and the deduplication,
+    and the mix gives them their source's copies. Rows without a doc_id stay apart from all others, of rows that share an
+    id each stands for itself, long texts are worked on whole, other columns are carried to the last stage whatever
+    their names, and an empty table gives an empty result.
+    """
+    docs, first = table(spark, sf_dir, "documents"), len(WRITTEN)
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        docs = cut(docs) if i < len(STAGES) - 1 else docs
+        if i < len(STAGES) - 1:
+            docs = cut(docs)
+            drop_tables(spark, keep=first, last=1)
     return docs
 
 
-__all__ = ["F", "ORACLE_SQL", "STAGES", "run"]
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
