@@ -174,7 +174,7 @@ def test_near_duplicates_awkward(spark):
     left = neardup.drop_near_duplicates(d)
     assert left.columns == d.columns and sorted((r.doc_id or 0) for r in left.collect()) == [0, 1, 3, 4, 5, 7, 8, 9]
     assert neardup.near_duplicates(nothing(spark)).count() == 0 and neardup.drop_near_duplicates(nothing(spark)).count() == 0
-    for names in (["_gone", "_twice", "id", "row", "h1", "h2"], ["n", "component_id", "kept", "node", "rep", "_c"]):
+    for names in (["_gone", "_twice", "id", "row", "h1", "h2"], ["n", "component_id", "component", "node", "_c"]):
         clash = d.select("*", *[F.col("doc_id").alias(c) for c in names])
         left = neardup.drop_near_duplicates(clash)
         assert left.columns == clash.columns and all(r[c] == r.doc_id for r in left.collect() for c in names)
