@@ -42,16 +42,57 @@ def graph(spark):
     return nodes, edges
 
 
+def found(c):
+    return sorted((tuple(r.nodes), tuple(r.edges)) for r in c.paths.collect())
+
+
 def test_paths(spark):
     nodes, edges = graph(spark)
     a = G.find_connections(nodes, edges, ["a"], G.Limits(depth=3))
     b = G.find_connections(nodes.orderBy(F.desc("entity_id")), edges.orderBy(F.desc("relationship_id")), ["a"], G.Limits(depth=3))
-    assert a.paths == b.paths and (("a", "b", "c"), ("ab", "bc")) in a.paths and all(len(set(n)) == len(n) for n, _ in a.paths)
-    assert sorted(a.paths) == sorted((tuple(r.nodes), tuple(r.edges)) for r in G.simple_paths(edges, spark.createDataFrame([("a",)], "id string"), 3).collect())
+    assert found(a) == found(b) and (("a", "b", "c"), ("ab", "bc")) in found(a) and all(len(set(n)) == len(n) for n, _ in found(a))
+    assert found(a) == sorted((tuple(r.nodes), tuple(r.edges)) for r in G.simple_paths(edges, spark.createDataFrame([("a",)], "id string"), 3).collect())
     only = G.find_connections(nodes, edges, ["a"], G.Limits(depth=2), targets=["ORGANIZATION"])
-    assert {p[0] for p in only.paths} == {("a", "b", "c"), ("a", "c")} and "b" in only.nodes
+    assert {p[0] for p in found(only)} == {("a", "b", "c"), ("a", "c")} and "b" in {r.entity_id for r in only.nodes.collect()}
     capped = G.find_connections(nodes.filter("entity_id <> 'b'"), edges.filter("relationship_id <> 'ca'"), ["a"], G.Limits(depth=9))
-    assert capped.warnings == ["graph_limits_capped", "no_support"] and not capped.paths
+    assert capped.warnings == ["graph_limits_capped", "no_support"] and not found(capped)
+
+
+def paths_one_by_one(nodes, edges, seeds, limits, targets):
+    """The same search written for one row at a time, as an oracle for the caps."""
+    kinds, left = dict(nodes), limits.rows
+    held = sorted(set(seeds) & set(kinds))[: min(left, limits.nodes)]
+    left, active, used, out = left - len(held), [((s,), ()) for s in held], set(), []
+    for _ in range(limits.depth):
+        room = min(left, limits.edges - len(used))
+        if room <= 0 or len(out) >= limits.paths or not active:
+            break
+        hop = sorted(e for e in edges if {e[1], e[2]} & {n[-1] for n, _ in active})[:room]
+        left -= len(hop)
+        more = sorted(({x for e in hop for x in e[1:3]} & set(kinds)) - set(held))[: max(0, min(left, limits.nodes - len(held)))]
+        left, held, grown = left - len(more), held + more, []
+        for n, e in sorted(active):
+            for r, s, o, *_ in hop:
+                to = {s: o, o: s}.get(n[-1])
+                if to in held and to not in n and len(used) < limits.edges and len(out) < limits.paths:
+                    used.add(r)
+                    grown.append(((*n, to), (*e, r)))
+                    out += [grown[-1]] if not targets or kinds[to] in targets else []
+        active = sorted(set(grown))
+    return sorted(out), limits.rows - left
+
+
+@pytest.mark.parametrize("limits", [{}, {"edges": 7}, {"nodes": 5}, {"paths": 6}, {"rows": 14}, {"depth": 4, "edges": 9, "paths": 11, "nodes": 8}])
+def test_path_caps(spark, limits):
+    import random
+
+    rng = random.Random(3)
+    nodes = [(f"n{i}", "AB"[i % 2]) for i in range(9)]
+    edges = sorted({(f"e{i:02d}", *rng.sample([n for n, _ in nodes] + ["gone"], 2), "confirmed") for i in range(16)})
+    n, e = spark.createDataFrame(nodes, "entity_id string, entity_type string"), spark.createDataFrame(edges, "relationship_id string, subject_id string, object_id string, status string")
+    asked = G.Limits(**{"depth": 3} | limits)
+    got = G.find_connections(n, e, ["n1", "n4"], asked, targets=["A"])
+    assert (found(got), got.rows) == paths_one_by_one(nodes, edges, ["n1", "n4"], asked, ["A"])
 
 
 def test_structuring_and_windows(spark):

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import schema as S
 from ..functions.scalar import label_slug, relationship_id
 from ..functions.text import grounded, identifier_key
+from ..plans.lineage import cut
 
 
 def united_refs(drafts: DataFrame, key: str) -> DataFrame:
@@ -210,68 +212,74 @@ class Limits:
 
 @dataclass
 class Connections:
-    paths: list[tuple[tuple[str, ...], tuple[str, ...]]]
-    nodes: dict[str, dict]
-    edges: dict[str, dict]
-    warnings: list[str] = field(default_factory=list)
-    rows: int = 0
+    """paths (nodes, edges: arrays of ids), the nodes and edges that they use, warnings, and rows taken from the budget."""
+
+    paths: DataFrame
+    nodes: DataFrame
+    edges: DataFrame
+    warnings: list[str]
+    rows: int
+
+
+def _first(df: DataFrame, key: str, n: int) -> DataFrame:
+    """O-05: the n first rows by id, cut off from what they came from."""
+    return cut(df.orderBy(key).limit(max(n, 0)))
+
+
+def _longer(active: DataFrame, hop: DataFrame, known: DataFrame) -> DataFrame:
+    """G-05: each path with each edge at its tip that leads to a known node not yet in it; before_*: the path it came from."""
+    ways = hop.select(F.col("subject_id").alias("_tip"), F.col("object_id").alias("_to"), "relationship_id").unionByName(hop.select(F.col("object_id").alias("_tip"), F.col("subject_id").alias("_to"), "relationship_id"))
+    ends = known.select(F.col("entity_id").alias("_to"), F.col("entity_type").alias("to_type"))
+    grown = active.join(ways, F.element_at("nodes", -1) == F.col("_tip")).filter(~F.array_contains("nodes", F.col("_to"))).join(ends, "_to")
+    return grown.select(F.col("nodes").alias("before_nodes"), F.col("edges").alias("before_edges"), "relationship_id", "to_type", F.array_append("nodes", F.col("_to")).alias("nodes"), F.array_append("edges", F.col("relationship_id")).alias("edges")).distinct()
+
+
+_ORDER = ["before_nodes", "before_edges", "relationship_id"]
+
+
+def _within_edges(grown: DataFrame, used: DataFrame | None, room: int) -> DataFrame:
+    """The edge cap: in order, rows up to the one that uses the last edge for which there is room."""
+    new = grown if used is None else grown.join(used, "relationship_id", "left_anti")
+    if new.select("relationship_id").distinct().count() < room:
+        return grown
+    # No more rows than the caps let through: a page, so one task may number them.
+    placed = grown.withColumn("_place", F.row_number().over(Window.orderBy(*_ORDER)))
+    fresh = placed if used is None else placed.join(used, "relationship_id", "left_anti")
+    last = fresh.groupBy("relationship_id").agg(F.min("_place").alias("_place")).orderBy("_place").limit(room).agg(F.max("_place")).first()[0]
+    return placed.filter(F.col("_place") <= last).drop("_place")
 
 
 def find_connections(nodes: DataFrame, edges: DataFrame, seeds: Sequence[str], limits: Limits, server: Limits | None = None, targets: Sequence[str] = ()) -> Connections:
     """G-01 to G-10, O-05: simple undirected paths from the seeds, hop by hop, within limits on everything.
 
-    Each hop loads its edges and missing nodes from Spark, ordered and limited to what is left of the row budget (256 at
-    most by default), and the caps, which depend on order, are applied on the driver to those bounded rows.
+    A hop is three joins: edges at the tips of the paths, nodes at their other ends, and paths with both. Each cap is the
+    first so many rows by id, or by path and edge, of a join, and a hop's rows are cut off from the tables they came from,
+    so what the next hop works on is bounded by the limits whatever the graph. Only counts come to the driver.
     """
     limits, was_capped = (server or Limits()).capped(limits)
-    out = Connections([], {}, {}, ["graph_limits_capped"] if was_capped else [])
-    left = limits.rows
-    first = nodes.filter(F.col("entity_id").isin(*sorted(set(seeds)))).orderBy("entity_id").limit(min(left, limits.nodes)).collect()
-    left -= len(first)
-    out.nodes |= {r.entity_id: r.asDict() for r in first}
-    active = [((r.entity_id,), ()) for r in first]
+    known = _first(nodes.filter(F.col("entity_id").isin(*sorted(set(seeds)))), "entity_id", min(limits.rows, limits.nodes))
+    held = known.count()
+    left, active = limits.rows - held, known.select(F.array("entity_id").alias("nodes"), F.array().cast("array<string>").alias("edges"))
+    used, hops, found, n_used, n_found = None, edges.limit(0), active.limit(0), 0, 0
     for _ in range(limits.depth):
-        room = min(left, limits.edges - len(out.edges))
-        if not active or room <= 0 or len(out.paths) >= limits.paths:
+        room = min(left, limits.edges - n_used)
+        if room <= 0 or n_found >= limits.paths or active.isEmpty():
             break
-        ends = sorted({p[0][-1] for p in active})
-        hop = edges.filter(F.col("subject_id").isin(*ends) | F.col("object_id").isin(*ends)).orderBy("relationship_id").limit(room).collect()
-        left -= len(hop)
-        missing = sorted({i for e in hop for i in (e.subject_id, e.object_id)} - set(out.nodes))
-        room = min(left, limits.nodes - len(out.nodes))
-        if missing and room > 0:
-            more = nodes.filter(F.col("entity_id").isin(*missing)).orderBy("entity_id").limit(room).collect()
-            left -= len(more)
-            out.nodes |= {r.entity_id: r.asDict() for r in more}
-        grown = []
-        for path_nodes, path_edges in sorted(active):
-            full = False
-            for e in hop:
-                tip = path_nodes[-1]
-                to = e.object_id if e.subject_id == tip else e.subject_id if e.object_id == tip else None
-                if to is None or to in path_nodes or to not in out.nodes or len(out.edges) >= limits.edges:
-                    continue
-                out.edges[e.relationship_id] = e.asDict()
-                longer = ((*path_nodes, to), (*path_edges, e.relationship_id))
-                grown.append(longer)
-                if not targets or out.nodes[to]["entity_type"] in targets:
-                    out.paths.append(longer)
-                full = len(out.paths) >= limits.paths
-                if full:
-                    break
-            if full:
-                break
-        active = sorted(set(grown))
-    out.rows = limits.rows - left
-    if left <= 0:
-        out.warnings.append("graph_row_limit_reached")
-    if not out.paths:
-        out.warnings.append("no_support")
-    out.paths.sort(key=lambda p: (p[1], p[0]))
-    used_nodes, used_edges = {n for p in out.paths for n in p[0]}, {e for p in out.paths for e in p[1]}
-    out.nodes = {k: v for k, v in sorted(out.nodes.items()) if k in used_nodes}
-    out.edges = {k: v for k, v in sorted(out.edges.items()) if k in used_edges}
-    return out
+        hop = _first(touching(edges, active.select(F.element_at("nodes", -1).alias("id"))), "relationship_id", room)
+        left -= hop.count()
+        ends = hop.select(F.explode(F.array("subject_id", "object_id")).alias("entity_id")).distinct()
+        more = _first(nodes.join(ends, "entity_id", "left_semi").join(known.select("entity_id"), "entity_id", "left_anti"), "entity_id", min(left, limits.nodes - held))
+        n_more = more.count()
+        left, held, known = left - n_more, held + n_more, known.unionByName(more)
+        grown = cut(_within_edges(_longer(active, hop, known), used, limits.edges - n_used))
+        hits = grown.filter(F.col("to_type").isin(*targets)) if targets else grown
+        found = cut(found.unionByName(hits.orderBy(*_ORDER).limit(limits.paths - n_found).select("nodes", "edges")))
+        seen = grown.select("relationship_id")
+        used = cut((seen if used is None else used.unionByName(seen)).distinct())
+        n_found, n_used, hops, active = found.count(), used.count(), hops.unionByName(hop), grown.select("nodes", "edges")
+    warnings = ["graph_limits_capped"] * was_capped + ["graph_row_limit_reached"] * (left <= 0) + ["no_support"] * (n_found == 0)
+    of = lambda df, key, ids: df.join(found.select(F.explode(ids).alias(key)).distinct(), key, "left_semi").dropDuplicates([key])
+    return Connections(found, of(known, "entity_id", "nodes"), of(hops, "relationship_id", "edges"), warnings, limits.rows - left)
 
 
 def simple_paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:

@@ -1,7 +1,7 @@
 """Retrieval: BM25, exact cosine, weighted fusion, integrity and budgets.
 
-Scores are made by aggregates and every limit is a TakeOrdered, so nothing but the answer reaches one task. A-19's
-prefix needs one order over all rows; it is meant for an answer already cut to a page.
+Scores are made by aggregates and every limit is a TakeOrdered, so nothing but the answer reaches one task. Ranks over
+a whole table come from range partitions.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.lineage import cut
+
 K1, B, RRF_K = 1.2, 0.75, 60
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -21,31 +23,43 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NOT_WORD), lambda t: t != "")
 
 
-def chunk_filters(chunks: DataFrame, systems: Sequence[str] = (), since: datetime | None = None, until: datetime | None = None, excluded: Sequence[str] = ()) -> DataFrame:
-    """P-04 and J-07: bounds are inclusive, and a bound leaves rows without a time out."""
+def chunk_filters(chunks: DataFrame, systems: Sequence[str] = (), since: datetime | None = None, until: datetime | None = None, excluded: Sequence[str] | DataFrame = ()) -> DataFrame:
+    """P-04 and J-07: bounds are inclusive, and a bound leaves rows without a time out. excluded: a few ids, or a table of chunk_id."""
     if systems:
         chunks = chunks.filter(F.col("source_system").isin(*systems))
     if since is not None:
         chunks = chunks.filter(F.col("event_time_utc") >= F.lit(since))
     if until is not None:
         chunks = chunks.filter(F.col("event_time_utc") <= F.lit(until))
+    if isinstance(excluded, DataFrame):
+        return chunks.join(excluded.select("chunk_id"), "chunk_id", "left_anti")
     return chunks.filter(~F.col("chunk_id").isin(*excluded)) if excluded else chunks
 
 
+def with_records(chunks: DataFrame, records: DataFrame) -> DataFrame:
+    """J-01, P-09: chunks (record_id, char_start, char_end, chunk) with their records (record_id, text, ...); sound: whether the chunk is the slice that it says."""
+    joined = chunks.join(records.withColumnRenamed("text", "record_text"), "record_id")
+    return joined.withColumn("sound", F.substring("record_text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) == F.col("chunk"))
+
+
 def bm25(chunks: DataFrame, query: str, k: int | None = None, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """R-01: key, score, rank of the chunks that hold every word of the query.
 
-    Only the query's words are counted, in one pass over the texts: their number in each chunk, its length, and over
-    all chunks the mean length and each word's document frequency. The statistics are one row, joined by broadcast.
+    Only the query's words are counted, in one pass over the texts and without arrays of words: a text is searched for
+    each word, and only where it stands its places are taken out and told by the length that is lost. Over all chunks the
+    mean length and each word's document frequency are one row, joined by broadcast.
     """
     import re
 
     words = list(dict.fromkeys(w for w in re.split(r"[\W_]+", query.lower()) if w))
     if not words:
         return chunks.select(key, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    t = chunks.select(key, tokens(F.col(text)).alias("_t"))
-    of = lambda w: F.size(F.filter("_t", lambda x: x == w))
-    counted = t.select(key, F.size("_t").alias("_dl"), *[of(w).alias(f"_f{i}") for i, w in enumerate(words)])
+    t = chunks.select(key, F.lower(text).alias("_t"))
+    lost = lambda pattern: F.length("_t") - F.length(F.regexp_replace("_t", pattern, ""))
+    of = lambda w: F.when(F.col("_t").contains(w), (lost(rf"(?<![\p{{L}}\p{{N}}]){w}(?![\p{{L}}\p{{N}}])") / len(w)).cast("int")).when(F.col("_t").isNotNull(), 0)
+    # Each word becomes one sign, and all else goes.
+    size = F.length(F.regexp_replace(F.regexp_replace("_t", r"[\p{L}\p{N}]+", "x"), "[^x]+", ""))
+    counted = t.select(key, size.alias("_dl"), *[of(w).alias(f"_f{i}") for i, w in enumerate(words)])
     # One row of so many numbers as the query has words.
     stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avg"), *[F.count(F.when(F.col(f"_f{i}") > 0, 1)).alias(f"_d{i}") for i in range(len(words))])
     hits = counted.filter(" and ".join(f"_f{i} > 0" for i in range(len(words)))).crossJoin(F.broadcast(stats))
@@ -57,10 +71,24 @@ def bm25(chunks: DataFrame, query: str, k: int | None = None, key: str = "chunk_
     return ranked(hits.select(key, F.round(score, 6).alias("score")), k, key)
 
 
+def numbered(rows: DataFrame, order: Sequence[Column | str], name: str = "rank") -> DataFrame:
+    """1, 2, ... over a whole table in an order without ties, and no task holds it: each range of the order numbers its own rows from what the ranges before it have."""
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    # One row for each partition comes to the driver.
+    counts, before, at = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}, [], 0
+    for part in sorted(counts):
+        before.append((part, at))
+        at += counts[part]
+    starts = F.broadcast(rows.sparkSession.createDataFrame(before, "_part int, _start long"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.join(starts, "_part").withColumn(name, (F.col("_start") + own).cast("int")).drop("_part", "_start")
+
+
 def ranked(scored: DataFrame, k: int | None, key: str = "chunk_id") -> DataFrame:
-    """W-01, O-01, O-02: the k best by score, ties by key, with ranks from 1. The window sees k rows."""
-    top = scored.orderBy(F.desc("score"), key)
-    top = top.limit(k) if k is not None else top
+    """W-01, O-01, O-02: the k best by score, ties by key, with ranks from 1. One task sees k rows; without a k the ranks come from range partitions."""
+    if k is None:
+        return numbered(scored, [F.desc("score"), F.col(key)])
+    top = scored.orderBy(F.desc("score"), key).limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
 
 
@@ -84,16 +112,20 @@ def checked_weights(weights: dict[str, float], k: int, limit: int) -> None:
         raise ValueError("weights must not be negative nor all zero; k and limit start at 1")
 
 
-def fuse(rankings: dict[str, DataFrame], weights: dict[str, float], limit: int, k: int = RRF_K, key: str = "chunk_id") -> DataFrame:
+def fuse(rankings: dict[str, DataFrame], weights: dict[str, float], limit: int, k: int = RRF_K, key: str = "chunk_id", page: int | None = 1000) -> DataFrame:
     """R-04, A-07, A-08, W-02, J-09, O-03: reciprocal rank fusion of rankings (key, rank), one sum per chunk.
 
-    Repeated chunks of a ranking count by their best rank, and ranks are made dense again before they are summed.
+    Repeated chunks of a ranking count by their best rank, and ranks are made dense again before they are summed. What
+    is fused are pages, each ranking's best `page` chunks; with None whole rankings are, numbered by range partitions.
     """
     checked_weights(weights, k, limit)
     parts = None
     for name in sorted(rankings):
         best = rankings[name].groupBy(key).agg(F.min("rank").alias("_r"))
-        dense = best.select(key, F.row_number().over(Window.orderBy("_r", key)).alias("rank"))  # a ranking is a page already
+        if page is None:
+            dense = numbered(best, ["_r", key])
+        else:
+            dense = best.orderBy("_r", key).limit(page).withColumn("rank", F.row_number().over(Window.orderBy("_r", key)))
         part = dense.select(key, F.lit(name).alias("modality"), "rank", (F.lit(float(weights[name])) / (k + F.col("rank"))).alias("weighted"))
         parts = part if parts is None else parts.unionByName(part)
     fused = parts.groupBy(key).agg(F.round(F.sum(F.col("weighted").cast("decimal(38,18)")).cast("double"), 9).alias("score"), F.array_sort(F.collect_list(F.struct("modality", "rank"))).alias("contributions"))
@@ -133,7 +165,8 @@ class RetrievalSession:
         k, found = min(top_k, self.most), {}
         for name, search in (("bm25", self.lexical), ("vector", self.vector)):
             try:
-                found[name] = search(query, k, sorted(self.seen), **filters)
+                side = search(query, k, sorted(self.seen), **filters).limit(k)
+                found[name] = side.sparkSession.createDataFrame(side.collect(), side.schema)  # k rows, run here so that its failure shows here
             except Exception as e:  # noqa: BLE001 - a failing side leaves the other's answer
                 self.warnings.append(f"{name}_unavailable")
                 last = e
@@ -147,6 +180,7 @@ class RetrievalSession:
 def byte_budget(rows: DataFrame, size: Column, max_bytes: int, max_rows: int, order: Sequence[Column | str]) -> DataFrame:
     """A-19, R-07: the rows of the order's prefix whose sizes and number stay within the budget."""
     w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.orderBy(*order).limit(max_rows)  # no later row is within the budget, so one task sees so many
     return rows.withColumn("_sum", F.sum(size).over(w)).withColumn("_row", F.count(F.lit(1)).over(w)).filter((F.col("_sum") <= max_bytes) & (F.col("_row") <= max_rows)).drop("_sum", "_row")
 
 

@@ -57,13 +57,14 @@ def canonical_events(events: DataFrame, pairs: DataFrame) -> DataFrame:
 def before_transfer(transfers: DataFrame, events: DataFrame, hours: int = LOOKBACK_H, minor: int = LOWER_MINOR, least: int = MIN_EVENTS) -> DataFrame:
     """J-13, A-16: transfers (txn_id, a, b, amount_minor, ts) with at least `least` events between a and b, either way, in [ts - hours, ts).
 
-    Days are the buckets: an event is looked for on the transfer's day and the days before that the lookback reaches.
+    Spans of six hours are the buckets, so that a busy pair's events spread over several: an event is looked for in the
+    transfer's span and those before it that the lookback reaches.
     """
     pair = lambda x, y: (F.least(x, y).alias("_p"), F.greatest(x, y).alias("_q"))
-    day = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date"))
-    back = -(-hours // 24)
-    t = transfers.filter(F.col("amount_minor") >= minor).select("txn_id", "ts", *pair("a", "b")).withColumn("_d", F.explode(F.sequence(day("ts") - back, day("ts"))))
-    e = events.select("event_id", F.col("ts").alias("_ts"), *pair("a", "b"), day("ts").alias("_d"))
+    span = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (6 * 3_600_000_000))
+    back = -(-hours // 6)
+    t = transfers.filter(F.col("amount_minor") >= minor).select("txn_id", "ts", *pair("a", "b")).withColumn("_d", F.explode(F.sequence(span("ts") - back, span("ts"))))
+    e = events.select("event_id", F.col("ts").alias("_ts"), *pair("a", "b"), span("ts").alias("_d"))
     near = t.join(e, ["_p", "_q", "_d"]).filter((F.col("_ts") < F.col("ts")) & (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_ts").cast("timestamp")) <= hours * 3_600_000_000))
     return near.groupBy("txn_id").agg(F.count_distinct("event_id").alias("events")).filter(F.col("events") >= least)
 
@@ -95,11 +96,12 @@ def structuring(transactions: DataFrame, group: str, days: int = WINDOW_DAYS, le
 def approximate_reference(mentions: DataFrame, transactions: DataFrame) -> DataFrame:
     """J-16: mention_id, candidates, outcome; same currency, amount and date near, the named counterparty where one is named.
 
-    The day is the join's bucket. Without a name, more than one candidate means abstaining; the result is a candidate, never a fact.
+    The day and the amount's bucket, as wide as the tolerance, are the join's key. Without a name, more than one candidate means abstaining; the result is a candidate, never a fact.
     """
-    t = transactions.select("txn_id", "currency", F.col("amount_minor").alias("_amount"), F.col("day").alias("_day"), F.col("counterparty").alias("_name"))
+    t = transactions.select("txn_id", "currency", F.col("amount_minor").alias("_amount"), F.col("day").alias("_day"), F.floor(F.col("amount_minor") / AMOUNT_TOLERANCE).alias("_bucket"), F.col("counterparty").alias("_name"))
     m = mentions.withColumn("_day", F.explode(F.transform(F.sequence(F.lit(-DATE_TOLERANCE), F.lit(DATE_TOLERANCE)), lambda i: F.date_add("day", i))))
-    near = m.join(t, ["currency", "_day"]).filter((F.abs(F.col("amount_minor") - F.col("_amount")) <= AMOUNT_TOLERANCE) & (F.col("counterparty").isNull() | (F.col("counterparty") == F.col("_name"))))
+    m = m.withColumn("_bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.floor(F.col("amount_minor") / AMOUNT_TOLERANCE) + i)))
+    near = m.join(t, ["currency", "_day", "_bucket"]).filter((F.abs(F.col("amount_minor") - F.col("_amount")) <= AMOUNT_TOLERANCE) & (F.col("counterparty").isNull() | (F.col("counterparty") == F.col("_name"))))
     found = near.groupBy("mention_id").agg(F.array_sort(F.collect_set("txn_id")).alias("candidates"))
     out = mentions.select("mention_id", "counterparty").join(found, "mention_id", "left")
     n = F.coalesce(F.size("candidates"), F.lit(0))
@@ -126,6 +128,11 @@ def mention_counts(mentions: DataFrame, least: int = 1) -> DataFrame:
     return mentions.filter(F.col("entity_type").isin("PHONE", "DEVICE")).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
 
+def dictionary_mentions(mentions: DataFrame, dictionary: DataFrame, least: int = 1) -> DataFrame:
+    """J-17: mentions (identifier, entity_type) counted under the entity that the dictionary (identifier, entity_id) gives; unknown ones are left out."""
+    return mention_counts(mentions.join(dictionary.select("identifier", "entity_id").distinct(), "identifier"), least)
+
+
 def activity(events: DataFrame, least: int = 3) -> DataFrame:
     """A-14: endpoints in at least so many events; an event with one endpoint on both sides counts once."""
     ends = events.select(F.explode(F.array_distinct(F.array("from_endpoint", "to_endpoint"))).alias("endpoint"))

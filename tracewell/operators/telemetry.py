@@ -35,8 +35,8 @@ def error_class(code: Column) -> Column:
     return F.when(code.isin(*TRANSIENT), "transient").otherwise("permanent")
 
 
-def total_problems(records: DataFrame, totals: dict[str, int]) -> DataFrame:
-    """T-01: sources whose number of records is not what the manifest says."""
+def total_problems(records: DataFrame, totals: dict[str, int] | DataFrame) -> DataFrame:
+    """T-01: sources whose number of records is not what the manifest says; totals: by source, or a table of source_system and want."""
     have = records.groupBy("source_system").agg(F.count(F.lit(1)).alias("n"))
-    want = records.sparkSession.createDataFrame(sorted(totals.items()), "source_system string, want long")
+    want = totals if isinstance(totals, DataFrame) else records.sparkSession.createDataFrame(sorted(totals.items()), "source_system string, want long")
     return want.join(have, "source_system", "full_outer").filter(~F.col("n").eqNullSafe(F.col("want")))
