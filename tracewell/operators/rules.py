@@ -199,7 +199,8 @@ def source_ref_id(record_version: Column, payload: Column) -> Column:
 def dag_problems(nodes: DataFrame, edges: DataFrame, root: str, rounds: int = 64) -> DataFrame:
     """T-13: duplicate nodes, edges without ends, cycles, nodes that the root does not reach, and leaves that are no source or policy.
 
-    nodes: node_id, kind; edges: parent, child. Cycles are what is left when leaves are peeled away round by round.
+    nodes: node_id, kind; edges: parent, child. Cycles are what is left when edges that end in a leaf, or begin where
+    none ends, are peeled away round by round: the cycles, and the ways between them.
     """
     say = lambda df, what, c="node_id": df.select(F.lit(what).alias("problem"), F.col(c).alias("node_id")).distinct()
     twice = say(nodes.groupBy("node_id").count().filter("count > 1"), "duplicate_node")
@@ -216,7 +217,8 @@ def dag_problems(nodes: DataFrame, edges: DataFrame, root: str, rounds: int = 64
     left = edges.select("parent", "child").distinct()
     for _ in range(rounds):
         n = left.count()
-        left = cut(left.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("parent", "child"))
+        onward = left.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("parent", "child")
+        left = cut(onward.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("parent", "child"))
         if left.count() == n:
             break
     problems = twice.unionByName(lost).unionByName(say(leaves, "open_leaf")).unionByName(say(nodes.join(reached, "node_id", "left_anti"), "unreachable"))

@@ -100,10 +100,10 @@ def f13(spark, d):
     return table(spark, d, "nation").select("n_nationkey", C.line_hash(F.col("n_nationkey"), F.col("n_name")).alias("hash"))
 
 
-@query("f18_stable_ids", "select conv_id, turn, role, substr(sha256(concat(conv_id, '|', turn, '|', role)), 1, 32) as message_id from conversations")
+@query("f18_stable_ids", "select conv_id, turn, role, substr(sha256(concat(conv_id, chr(0), turn, chr(0), role)), 1, 32) as message_id from conversations")
 def f18(spark, d):
-    # SQL text holds no NUL, so the oracle's separator is another one: the query makes it from the same parts.
-    return table(spark, d, "conversations").select("conv_id", "turn", "role", F.substring(F.sha2(F.concat_ws("|", "conv_id", "turn", "role"), 256), 1, 32).alias("message_id"))
+    parts = [F.col(c).cast("string") for c in ("conv_id", "turn", "role")]
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", C.stable_id(*parts).alias("message_id"))
 
 
 @query("f19_luhn", f"""with r as (select o_orderkey, {IMEI14} as d from orders), s as (select o_orderkey, d, list_sum(list_transform(range(0, 14), lambda i: case when i % 2 = 1 then case when 2 * cast(d[i + 1] as int) > 9 then 2 * cast(d[i + 1] as int) - 9 else 2 * cast(d[i + 1] as int) end else cast(d[i + 1] as int) end)) as t from r)
@@ -122,9 +122,9 @@ def f21(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.cleaned(F.col("text")).alias("text"))
 
 
-@query("f22_delimited", "select doc_id, length(case when length(text) > 1000 - 2 * 8 - 5 then concat('<evidence>', substr(text, 1, 1000 - 21 - 10), chr(10), '[trimmed]</evidence>') else concat('<evidence>', text, '</evidence>') end) as n from documents")
+@query("f22_delimited", "select doc_id, md5(case when length(text) > 1000 - 2 * 8 - 5 then concat('<evidence>', substr(text, 1, 1000 - 21 - 10), chr(10), '[trimmed]</evidence>') else concat('<evidence>', text, '</evidence>') end) as digest from documents")
 def f22(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.length(C.delimited(F.col("text"), F.lit(False), 1000)).alias("n")).withColumn("n", F.col("n").cast("bigint"))
+    return table(spark, d, "documents").select("doc_id", F.md5(C.delimited(F.col("text"), F.lit(False), 1000).cast("binary")).alias("digest"))
 
 
 @query("f23_visible_text", "select s_suppkey, concat(s_name, chr(10), 'nation: ', s_nationkey) as visible from supplier")
@@ -149,9 +149,13 @@ def f27(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.abs(c - 100).alias("a"), C.minor_division(c - 100, F.lit(7)).alias("q"), F.greatest(c, F.lit(50)).alias("g"), F.least(c, F.lit(50)).alias("l"), F.nullif(c % 3, F.lit(0)).alias("n"), F.upper("o_orderstatus").alias("u"), F.date_trunc("month", F.col("o_orderdate")).cast("date").cast("string").alias("m"))
 
 
-@query("f28_casts", "select o_orderkey, cast(o_custkey as smallint) as s, cast(o_orderkey as int) as i, cast(cast(o_orderdate as date) as string) as d, cast(cast(o_totalprice as decimal(18,2)) as double) as n, cast(o_orderkey as string) as t from orders")
+@query("f28_casts", "select concat('bank:', o_orderkey) as record_id, cast(o_custkey as smallint) as s, cast(o_custkey as int) as i, cast(o_orderdate as date) as d, cast(cast(cast(o_totalprice as decimal(18,2)) * 100 as bigint) as varchar) as t from orders")
 def f28(spark, d):
-    return table(spark, d, "orders").selectExpr("o_orderkey", "cast(o_custkey as smallint) as s", "cast(o_orderkey as int) as i", "cast(cast(o_orderdate as date) as string) as d", "cast(cast(o_totalprice as decimal(18,2)) as double) as n", "cast(o_orderkey as string) as t")
+    """F-28: casts as the policy gate lets them through."""
+    from .gated import gated
+
+    sql = "SELECT record_id, content_hash, source_refs, CAST(debtor_iban AS smallint) AS s, CAST(debtor_iban AS int) AS i, CAST(booking_ts_utc AS date) AS d, CAST(amount_minor AS string) AS t FROM agent_read.transactions_v1"
+    return gated(spark, d, sql).select("record_id", "s", "i", "d", "t")
 
 
 @query("f29_network_roles", "select event_id, case when event_type = 'click' then user_id else user_id + 1 end as sender, case when event_type = 'click' then user_id + 1 else user_id end as receiver from events")
@@ -183,7 +187,7 @@ def x02(spark, d):
     return table(spark, d, "documents").select("doc_id", X.identifier_key(F.lit("EMAIL_ADDRESS"), raw).alias("key")).filter("key is not null")
 
 
-@query("x03_chunks")
+@query("x03_chunks", f"{X.chunks_sql('documents', 'doc_id', 'text', 4000, 200)} select concat('docs:', doc_id) as record_id, cast(i as int) as chunk_index, cast(s as int) as char_start, cast(e as int) as char_end, substr(text, s + 1, e - s) as chunk from w")
 def x03(spark, d):
     return X.chunk_text(_docs(spark, d)).select("record_id", "chunk_index", "char_start", "char_end", "chunk")
 
@@ -201,7 +205,10 @@ def x07(spark, d):
 
 @query("p03_prose", "select doc_id from documents where length(text) > 0 and source in ('src0', 'src1')")
 def p03(spark, d):
-    return table(spark, d, "documents").filter(F.col("source").isin("src0", "src1") & (F.length("text") > 0)).select("doc_id")
+    from ..sources.readers import is_prose
+
+    kind = F.when(F.col("source") == "src0", "document").when(F.col("source") == "src1", "email").otherwise("cdr")
+    return is_prose(table(spark, d, "documents").withColumn("record_type", kind)).select("doc_id")
 
 
 @query("p04_chunk_filters", "select event_id from events where event_type in ('click', 'view') and ts >= timestamp '2024-01-10 00:00:00' and ts <= timestamp '2024-02-10 00:00:00' and event_id not in (1, 2, 3)")
@@ -211,11 +218,10 @@ def p04(spark, d):
     return R.chunk_filters(e, ["click", "view"], datetime(2024, 1, 10), datetime(2024, 2, 10), ["1", "2", "3"]).select("event_id")
 
 
-@query("p09_slice_integrity")
+@query("p09_slice_integrity", f"{X.chunks_sql('documents', 'doc_id', 'text', 4000, 200)} select doc_id, count(*) as chunks, bool_and(substr(text, s + 1, e - s) <> '') as sound from w group by 1")
 def p09(spark, d):
     docs = _docs(spark, d)
-    wrong = X.chunk_text(docs).join(docs, "record_id").filter(F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) != F.col("chunk"))
-    return wrong.agg(F.count(F.lit(1)).alias("broken"))
+    return R.with_records(X.chunk_text(docs), docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.every("sound").alias("sound"))
 
 
 @query("p10_rendered", "select vec_id, substr(to_json([label, label + 1]), 1, 32000) as value from embeddings")
@@ -225,9 +231,13 @@ def p10(spark, d):
     return table(spark, d, "embeddings").select("vec_id", rendered(F.array("label", F.col("label") + 1), "array<int>").alias("value"))
 
 
-@query("p13_predicates", "select p_partkey, p_name ilike '%A%' as i, p_type like 'E%' as l, p_size between 5 and 20 as b, p_brand in ('Brand#11', 'Brand#12') as n from part")
+@query("p13_predicates", "select concat('bank:A', c_custkey) as record_id from customer where c_name ilike '%5%' and (cast(c_custkey as varchar) like '1%' or cast(c_custkey as varchar) in ('55', '75')) and not (c_custkey % 3 = 0) and c_custkey <> 1005")
 def p13(spark, d):
-    return table(spark, d, "part").selectExpr("p_partkey", "p_name ilike '%A%' as i", "p_type like 'E%' as l", "p_size between 5 and 20 as b", "p_brand in ('Brand#11', 'Brand#12') as n")
+    """P-13: predicates as the policy gate lets them through; each value is a bound parameter."""
+    from .gated import gated
+
+    sql = "SELECT record_id, content_hash, source_refs FROM agent_read.accounts_v1 WHERE holder_name ILIKE $1 AND (iban LIKE $2 OR account_id IN ($3, $4)) AND NOT (holder_type = $5) AND opened_date IS NULL AND iban <> $6"
+    return gated(spark, d, sql, "%5%", "1%", "55", "75", "trust", "1005").select("record_id")
 
 
 _INSTR = " or ".join(f"regexp_matches(text, '{p}', 'im')" if p.startswith("^") else f"regexp_matches(text, '{p}', 'i')" for p in X.INSTRUCTIONS)
@@ -256,9 +266,9 @@ def p20(spark, d):
     return j.select("r_name", "n_name", S.endpoint_types_allowed(F.lit("USES"), F.lit("PERSON"), F.when(asia, "PHONE").otherwise("VESSEL")).alias("allowed"))
 
 
-@query("l01_redaction", "select doc_id, regexp_replace(concat('Bearer ', source, '.x= at db://u:p@h ', lang), '(?i)\\b(bearer|basic)\\s+[A-Za-z0-9\\-._~+/]+=*', '[REDACTED]', 'g') as t from documents")
+@query("l01_redaction", "select doc_id, regexp_replace(regexp_replace(concat('Bearer ', source, '.x= at db://u:p@h ', lang), '(?i)\\b(bearer|basic)\\s+[A-Za-z0-9\\-._~+/]+=*', '[REDACTED]', 'g'), '://[^/:@\\s]+:[^@\\s]+@', '://[REDACTED]@', 'g') as t from documents")
 def l01(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.redacted(F.concat(F.lit("Bearer "), "source", F.lit(".x= at db://u:p@h "), "lang")).alias("t")).withColumn("t", F.replace("t", F.lit("://[REDACTED]@"), F.lit("://u:p@")))
+    return table(spark, d, "documents").select("doc_id", X.redacted(F.concat(F.lit("Bearer "), "source", F.lit(".x= at db://u:p@h "), "lang")).alias("t"))
 
 
 # --- retrieval ---
@@ -319,11 +329,10 @@ def s16(spark, d):
     return store.term_statistics(table(spark, d, "documents"), "doc_id")[1]
 
 
-@query("s16_unit_vectors", "select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) > 0 as has_length, 1.0::double as norm from embeddings")
+@query("s16_unit_vectors", "select vec_id, round(embedding[1]::double / n, 6) as first, round(embedding[2]::double / n, 6) as second from (select *, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as n from embeddings)")
 def s16b(spark, d):
     u = store.unit_vectors(table(spark, d, "embeddings"), width=64)
-    norm = F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), 6)
-    return u.select("vec_id", (norm > 0).alias("has_length"), norm.alias("norm"))
+    return u.select("vec_id", F.round(F.col("embedding")[0], 6).alias("first"), F.round(F.col("embedding")[1], 6).alias("second"))
 
 
 # --- sources, joins ---
@@ -335,8 +344,8 @@ def s10(spark, d):
 
 @query("s17_record_lookup", "select doc_id, length(text) as n from documents where doc_id in (1, 5, 7)")
 def s17(spark, d):
-    ids = spark.createDataFrame([(1,), (5,), (7,)], "doc_id long")
-    return table(spark, d, "documents").join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", F.length("text").cast("bigint").alias("n"))
+    ids = spark.createDataFrame([("docs:1",), ("docs:5",), ("docs:7",), ("docs:none",)], "record_id string")
+    return store.canonical_records(_docs(spark, d), ids).select("doc_id", F.length("text").cast("bigint").alias("n"))
 
 
 @query("s18_read_view", "select concat('bank:', o_orderkey) as record_id, 'bank' as source_system, cast(cast(o_totalprice as decimal(18,2)) * 100 as bigint) as amount_minor, 'payload' as field from orders")
@@ -358,9 +367,11 @@ def s22(spark, d):
     return store.rebuild_differences(p, again)
 
 
-@query("j01_chunk_record", "select d.doc_id, l.quality from documents d join labels l using (doc_id)")
+@query("j01_chunk_record", "select doc_id, lang, length(text) as n, length(text) > 4000 as longer from documents where length(text) > 0")
 def j01(spark, d):
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id").select("doc_id", "quality")
+    docs = _docs(spark, d).join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    first = X.chunk_text(docs).filter("chunk_index = 0")
+    return R.with_records(first, docs).select("doc_id", "lang", F.length("record_text").cast("bigint").alias("n"), (F.col("char_end") < F.length("record_text")).alias("longer"))
 
 
 @query("j05_frontier_edges", "select event_id from events where user_id in (3, 9) or user_id + 1 in (3, 9)")
@@ -371,19 +382,22 @@ def j05(spark, d):
 
 @query("j06_semi_join", "select c_custkey from customer where c_custkey in (select o_custkey from orders)")
 def j06(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey")
+    wanted = table(spark, d, "orders").select(F.col("o_custkey").alias("record_id"))
+    return store.canonical_records(table(spark, d, "customer").withColumn("record_id", F.col("c_custkey")), wanted).select("c_custkey")
 
 
 @query("j07_anti_join", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000)")
 def j07(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    seen = table(spark, d, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("chunk_id"))
+    return R.chunk_filters(table(spark, d, "customer").withColumn("chunk_id", F.col("c_custkey")), excluded=seen).select("c_custkey")
 
 
-@query("j09_modality_merge", "select coalesce(a.doc_id, b.doc_id) as doc_id, a.doc_id is not null as lexical, b.doc_id is not null as vector from (select doc_id from labels where quality = 1) a full join (select doc_id from labels where toxic = 1) b on a.doc_id = b.doc_id")
+@query("j09_modality_merge", "select doc_id from labels where toxic = 0 and doc_id % 4 = 0")
 def j09(spark, d):
-    l = table(spark, d, "labels")
-    a, b = l.filter("quality = 1").select("doc_id", F.lit(True).alias("x")), l.filter("toxic = 1").select("doc_id", F.lit(True).alias("y"))
-    return a.join(b, "doc_id", "full_outer").select("doc_id", F.col("x").isNotNull().alias("lexical"), F.col("y").isNotNull().alias("vector"))
+    """Both modalities found the documents without toxicity; every fourth is described otherwise by one of them."""
+    l = table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("text"), "toxic")
+    other = l.filter("toxic = 0").withColumn("text", F.when(F.col("doc_id") % 4 == 0, "changed").otherwise(F.col("text")))
+    return R.disagreements(l, other, ["text"], key="doc_id")
 
 
 @query("j15_foreign_keys", "select l_orderkey, l_linenumber from lineitem where l_suppkey not in (select s_suppkey from supplier where s_suppkey % 10 <> 0)")
@@ -391,18 +405,22 @@ def j15(spark, d):
     return S.missing_keys(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), "l_suppkey", table(spark, d, "supplier").filter("s_suppkey % 10 <> 0"), "s_suppkey").select("l_orderkey", "l_linenumber")
 
 
-@query("j18_policy_joins", "select n_name, s.s_suppkey, c.c_custkey from nation n left join (select s_nationkey, min(s_suppkey) as s_suppkey from supplier group by 1) s on s.s_nationkey = n.n_nationkey left join (select c_nationkey, max(c_custkey) as c_custkey from customer group by 1) c on c.c_nationkey = n.n_nationkey")
+@query("j18_policy_joins", "select concat('bank:', o_orderkey) as record_id, c_name as holder_name from orders left join customer on c_custkey = o_custkey and c_custkey % 3 <> 0 where cast(o_totalprice as decimal(18,2)) * 100 >= 20000000")
 def j18(spark, d):
-    for t in ("nation", "supplier", "customer"):
-        table(spark, d, t).createOrReplaceTempView(f"_{t}")
-    return spark.sql("select n_name, s.s_suppkey, c.c_custkey from _nation n left join (select s_nationkey, min(s_suppkey) as s_suppkey from _supplier group by 1) s on s.s_nationkey = n.n_nationkey left join (select c_nationkey, max(c_custkey) as c_custkey from _customer group by 1) c on c.c_nationkey = n.n_nationkey")
+    """J-18: an outer join of two views through the policy gate."""
+    from .gated import gated
 
+    sql = "SELECT t.record_id, t.content_hash, t.source_refs, a.holder_name FROM agent_read.transactions_v1 AS t LEFT JOIN agent_read.accounts_v1 AS a ON a.iban = t.debtor_iban AND a.holder_type = $1 WHERE t.amount_minor >= $2"
+    return gated(spark, d, sql, "person", 20_000_000).select("record_id", "holder_name")
 
-@query("j19_policy_subqueries", "select c_custkey from customer c where exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_totalprice > 400000) and c_acctbal >= (select avg(c_acctbal) from customer)")
+
+@query("j19_policy_subqueries", "with t as (select o_orderkey, o_custkey, cast(cast(o_totalprice as decimal(18,2)) * 100 as bigint) as a from orders) select concat('bank:', o_orderkey) as record_id, a as amount_minor from t where a >= (select avg(a) from t) and exists (select 1 from customer where c_custkey = o_custkey and c_custkey % 3 <> 0)")
 def j19(spark, d):
-    big = table(spark, d, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
-    c = table(spark, d, "customer")
-    return c.join(big, "c_custkey", "left_semi").crossJoin(F.broadcast(c.agg(F.avg("c_acctbal").alias("_m")))).filter("c_acctbal >= _m").select("c_custkey")
+    """J-19: a scalar and a correlated subquery through the policy gate."""
+    from .gated import gated
+
+    sql = "SELECT t.record_id, t.content_hash, t.source_refs, t.amount_minor FROM agent_read.transactions_v1 AS t WHERE t.amount_minor >= (SELECT avg(amount_minor) FROM agent_read.transactions_v1) AND EXISTS (SELECT a.iban FROM agent_read.accounts_v1 AS a WHERE a.iban = t.debtor_iban AND a.holder_type = $1)"
+    return gated(spark, d, sql, "person").select("record_id", "amount_minor")
 
 
 # --- aggregates, windows ---
@@ -430,14 +448,21 @@ def a05(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("records"))
 
 
-@query("a06_table_counts", "select 'nation' as table_name, count(*) as rows from nation union all select 'region', count(*) from region")
+_COUNTED = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("a06_table_counts", " union all ".join(f"select '{t}' as table_name, count(*) as rows from {t}" for t in _COUNTED))
 def a06(spark, d):
-    return S.table_counts({n: table(spark, d, n) for n in ("nation", "region")})
+    return S.table_counts({n: table(spark, d, n) for n in _COUNTED})
 
 
-@query("a08_best_per_modality", "select event_type, user_id, min(value) as best from events group by 1, 2")
+@query("a08_best_per_modality", """with b as (select user_id, min(event_id % 1000 + 1) as r from events where event_type = 'click' group by 1), k as (select user_id, row_number() over (order by r, user_id) as k from b), t as (select * from k where k <= 1000)
+select user_id, cast(k as int) as rank, round(cast(cast(1.0::double / (60 + k) as decimal(38,18)) as double), 9) as score from t order by k limit 40""")
 def a08(spark, d):
-    return table(spark, d, "events").groupBy("event_type", "user_id").agg(F.min("value").alias("best"))
+    """A chunk that a ranking holds more than once counts by its best rank; ranks are made dense again."""
+    hits = table(spark, d, "events").filter("event_type = 'click'").select("user_id", (F.col("event_id") % 1000 + 1).alias("rank"))
+    out = R.fuse({"bm25": hits}, {"bm25": 1.0}, 40, key="user_id")
+    return out.select("user_id", F.col("contributions")[0]["rank"].alias("rank"), "score")
 
 
 @query("a10_created_at", "select conv_id, min(turn) as created_at from conversations group by 1")
@@ -453,16 +478,25 @@ def a11(spark, d):
     return M.usage_totals(c, ["chars", "calls"])
 
 
-@query("a12_distinct_turns", "select conv_id, count(distinct turn) as turns, count(distinct turn) >= 3 as is_full from conversations group by 1")
+@query("a12_distinct_turns", "select conv_id, count(distinct turn) < 3 as taken from conversations group by 1")
 def a12(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count_distinct("turn").alias("turns")).withColumn("is_full", F.col("turns") >= 3)
+    """A thread of three turns is full and takes no new one."""
+    c = table(spark, d, "conversations")
+    turn = lambda t: F.concat_ws("-", F.col("conv_id").cast("string"), t).alias("turn_id")
+    row = lambda df, t, n: df.select(F.col("conv_id").alias("thread_id"), turn(t), turn(t).alias("request_id"), n.alias("sequence"), F.lit("user").alias("role"), F.lit("q").alias("content"), F.lit("completed").alias("status"))
+    new = row(c.select("conv_id").distinct(), F.lit("new"), F.lit(99).cast("bigint"))
+    after = M.append_messages(row(c, F.col("turn").cast("string"), F.col("turn")), new, 3)
+    return after.groupBy(F.col("thread_id").alias("conv_id")).agg(F.max(F.col("turn_id").endswith("-new")).alias("taken"))
 
 
-@query("a17_policy_aggregates", "select l_returnflag, count(distinct l_suppkey) filter (l_quantity > 10) as n, min(l_shipdate) as lo, max(l_shipdate) as hi, cast(sum(cast(l_extendedprice as decimal(18,2))) as double) as total from lineitem group by 1 having count(*) > 10")
+@query("a17_policy_aggregates", """with t as (select o_orderkey, o_custkey, cast(cast(o_totalprice as decimal(18,2)) * 100 as bigint) as a, o_orderdate as b from orders), s as (select o_custkey, count(*) as n, sum(a)::bigint as total, min(b) as lo, max(b) as hi, count(distinct a % 10) as k from t group by 1 having count(*) > 3)
+select concat('bank:', o_orderkey) as record_id, n, total, epoch_us(lo) as lo, epoch_us(hi) as hi from t join s using (o_custkey)""")
 def a17(spark, d):
-    t = table(spark, d, "lineitem")
-    agg = t.groupBy("l_returnflag").agg(F.count_distinct(F.when(F.col("l_quantity") > 10, F.col("l_suppkey"))).alias("n"), F.min("l_shipdate").alias("lo"), F.max("l_shipdate").alias("hi"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("total"), F.count(F.lit(1)).alias("_c"))
-    return agg.filter("_c > 10").drop("_c")
+    """A-17: aggregates with HAVING through the policy gate, joined with the rows that they are of."""
+    from .gated import gated
+
+    sql = "WITH s AS (SELECT debtor_iban, count(*) AS n, sum(amount_minor) AS total, min(booking_ts_utc) AS lo, max(booking_ts_utc) AS hi FROM agent_read.transactions_v1 GROUP BY debtor_iban HAVING count(*) > $1) SELECT t.record_id, t.content_hash, t.source_refs, s.n, s.total, s.lo, s.hi FROM agent_read.transactions_v1 AS t JOIN s ON s.debtor_iban = t.debtor_iban"
+    return gated(spark, d, sql, 3).select("record_id", "n", "total", F.unix_micros("lo").alias("lo"), F.unix_micros("hi").alias("hi"))
 
 
 BOUNDS = [0.01 * 2**i for i in range(14)]
@@ -474,9 +508,10 @@ def a21(spark, d):
     return table(spark, d, "events").groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("w01_ranks", "select l_orderkey, l_linenumber, cast(row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber) as int) as rank from lineitem")
+@query("w01_ranks", "select o_orderkey, cast(row_number() over (order by o_totalprice desc, o_orderkey) as int) as rank from orders")
 def w01(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber")).alias("rank"))
+    """Ranks of a whole table, numbered by range partitions."""
+    return R.ranked(table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("score")), None, "o_orderkey").select("o_orderkey", "rank")
 
 
 _SPREAD = "with n as (select conv_id, turn, role, turn // 2 as s, row_number() over (partition by conv_id order by turn // 2, concat(turn, role)) as n from conversations)"
@@ -509,9 +544,10 @@ def w10(spark, d):
 
 
 # --- order, paging, sets ---
-@query("o01_top_k", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 25")
+@query("o01_top_k", "select o_orderkey, o_totalprice, cast(row_number() over (order by o_totalprice desc, o_orderkey) as int) as rank from orders order by o_totalprice desc, o_orderkey limit 25")
 def o01(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25)
+    best = R.ranked(table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("score")), 25, "o_orderkey")
+    return best.select("o_orderkey", F.col("score").alias("o_totalprice"), "rank")
 
 
 @query("o07_thread_pages", "select o_orderkey from orders where (o_orderdate, o_orderkey) < (timestamp '1996-01-01', 100) order by o_orderdate desc, o_orderkey desc limit 21")
@@ -525,21 +561,30 @@ def o08(spark, d):
     return M.page_after(table(spark, d, "conversations").select("conv_id", "turn", "role"), ["conv_id", "turn", "role"], [5, 1, "a"], 10, 100)
 
 
-@query("u01_union_edges", "select n_nationkey as id, 'rule' as method from nation union all select r_regionkey, 'llm' from region")
+@query("u01_union_edges", "select 'r' || n_nationkey as relationship_id, 'deterministic' as method from nation union all select 'm' || r_regionkey, 'llm' from region")
 def u01(spark, d):
-    return table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.lit("rule").alias("method")).unionByName(table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.lit("llm").alias("method")))
+    """Edges by rules and by a model; where both made one (here the regions that are nations' keys, too) the rule's stays."""
+    edge = lambda df, key, mark, method, seq: df.select(F.concat(F.lit(mark), F.col(key).cast("string")).alias("relationship_id"), F.lit(method).alias("method"), F.array(F.lit("x")).alias("source_refs"), F.lit(seq).alias("seq"))
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    every = edge(n, "n_nationkey", "r", "deterministic", 0).unionByName(edge(r, "r_regionkey", "m", "llm", 1)).unionByName(edge(r, "r_regionkey", "r", "llm", 1))
+    return G.merged_relationships(every).select("relationship_id", "method")
 
 
-@query("u02_id_difference", "select distinct o_custkey as id from orders except select c_custkey from customer where c_custkey % 2 = 0")
+@query("u02_id_difference", "select c_custkey as answer_id, case when c_custkey % 2 = 0 then 'unknown_evidence_ids:c' || c_custkey || ',zz' else 'unknown_evidence_ids:zz' end as violation from customer")
 def u02(spark, d):
-    a = table(spark, d, "orders").select(F.col("o_custkey").alias("id")).distinct()
-    return a.join(table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id")), "id", "left_anti")
+    """Cited ids less the known ones: every odd customer's card is known, and zz is not."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("answer_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"))
+    claims = c.select("answer_id", F.lit("k").alias("claim_id"), F.lit("verified").alias("kind"), F.lit(False).alias("material"), F.lit("t").alias("text"), F.array("id", F.lit("zz")).alias("evidence_ids"))
+    cards = c.filter("answer_id % 2 = 1").select(F.col("id").alias("evidence_id"), F.lit("confirmed").alias("status"), F.array(F.lit("r")).alias("source_refs"), F.lit("h").alias("content_hash"))
+    return M.violations(c.select("answer_id", F.lit("Fine.").alias("answer"), F.lit(False).alias("coverage_incomplete")), claims, cards)
 
 
-@query("u03_id_intersection", "select o_custkey as id from orders intersect select c_custkey from customer where c_custkey % 2 = 0")
+@query("u03_id_intersection", "select n_name as id from nation where n_nationkey % 2 = 0 and n_regionkey < 3")
 def u03(spark, d):
-    a = table(spark, d, "orders").select(F.col("o_custkey").alias("id")).distinct()
-    return a.join(table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id")), "id", "left_semi")
+    """What a model chose out of what was found; 25 nations."""
+    names = {r.n_name: r for r in table(spark, d, "nation").collect()}
+    found = R.outcome([n for n, r in names.items() if r.n_nationkey % 2 == 0], [n for n, r in names.items() if r.n_regionkey < 3], True)
+    return spark.createDataFrame([(n,) for n in found["selected"]], "id string")
 
 
 @query("u05_ordered_distinct", "select n_nationkey, ['a', 'b', n_name][1:3] as v from nation")

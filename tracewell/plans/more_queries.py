@@ -31,9 +31,13 @@ def p02(spark, d):
     return readers._comms(e.withColumn("o", none), "cdr", "id", channel, F.lit("out"), F.col("user_id").cast("string"), (F.col("user_id") % 50).cast("string"), F.col("ts"), "o", F.lit(None), none).select("record_id", "channel", "from_endpoint", "to_endpoint")
 
 
-@query("p06_vectors_present", "select vec_id from embeddings where embedding is not null and label % 2 = 0")
+@query("p06_vectors_present", """with p as (select embedding::double[] as p from embeddings where vec_id = 1), s as (select vec_id, round(list_cosine_similarity(embedding::double[], (select p from p)), 6) as score from embeddings where label % 2 = 0)
+select vec_id, score, cast(row_number() over (order by score desc, vec_id) as int) as rank from s order by rank limit 15""")
 def p06(spark, d):
-    return table(spark, d, "embeddings").filter(F.col("embedding").isNotNull() & (F.col("label") % 2 == 0)).select("vec_id")
+    """Vectors that are null are no candidates; of two labels one has none here."""
+    e = table(spark, d, "embeddings")
+    probe = e.filter("vec_id = 1").first().embedding
+    return R.vector_search(e.withColumn("embedding", F.when(F.col("label") % 2 == 0, F.col("embedding"))), probe, 15, key="vec_id")
 
 
 @query("p07_locators", "select n_nationkey, n_nationkey % 4 in (0, 1) as resolves from nation")
@@ -43,11 +47,15 @@ def p07(spark, d):
     return table(spark, d, "nation").withColumn("payload", F.to_json(F.struct("n_name"))).select("n_nationkey", G.locator_resolves(loc, F.lit("some text"), F.col("payload")).alias("resolves"))
 
 
-@query("j08_refs_to_records", "select n_nationkey, r_name from nation join region on n_regionkey = r_regionkey union all select n_nationkey, 'self' from nation")
+@query("j08_refs_to_records", "select n_nationkey from nation where n_nationkey % 5 <> 4")
 def j08(spark, d):
-    n = table(spark, d, "nation").select("n_nationkey", F.explode(F.array(F.concat(F.lit("r:"), F.col("n_regionkey").cast("string")), F.lit("self"))).alias("record_id"))
-    r = table(spark, d, "region").select(F.concat(F.lit("r:"), F.col("r_regionkey").cast("string")).alias("record_id"), "r_name").unionByName(spark.createDataFrame([("self", "self")], "record_id string, r_name string"))
-    return n.join(r, "record_id").select("n_nationkey", "r_name")
+    """Each nation refers to its region and to itself; every fifth one's own record is not there."""
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    own, region = F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")), F.concat(F.lit("r:"), F.col("n_regionkey").cast("string"))
+    refs = F.array(S.source_ref(region, S.field_locator("name")), S.source_ref(own, S.span_locator("text", F.lit(0), F.lit(3), F.substring("n_name", 1, 3))))
+    records = n.filter("n_nationkey % 5 <> 4").select(own.alias("record_id"), F.col("n_name").alias("text"), F.to_json(F.struct("n_name")).alias("payload"))
+    records = records.unionByName(r.select(F.concat(F.lit("r:"), F.col("r_regionkey").cast("string")).alias("record_id"), F.col("r_name").alias("text"), F.to_json(F.struct(F.col("r_name").alias("name"))).alias("payload")))
+    return G.resolving(n.select("n_nationkey", refs.alias("source_refs")), "n_nationkey", records).select("n_nationkey")
 
 
 @query("j10_endpoint_resolution", "select c_custkey, case when c_custkey % 3 = 0 then concat('PHONE:30697', lpad(cast(c_custkey as string), 7, '0')) when c_custkey % 3 = 1 then concat('PERSON:', c_custkey) end as entity_id from customer")
@@ -66,20 +74,21 @@ def j11(spark, d):
     return G.alias_union(accepted, a).select(F.col("r_regionkey").alias("n_regionkey"), F.array_join("all_aliases", ",").alias("aliases"))
 
 
-@query("j17_dictionary_join", "select event_id, n_name from events join nation on n_nationkey = user_id where event_type = 'signup'")
+@query("j17_dictionary_join", "select n_name as entity_id, count(*) as n from events join nation on n_nationkey = user_id where event_type <> 'view' group by 1")
 def j17(spark, d):
-    # 25 nations: the dictionary's size is fixed.
-    names = F.broadcast(table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("user_id"), "n_name"))
-    return table(spark, d, "events").filter("event_type = 'signup'").join(names, "user_id").select("event_id", "n_name")
+    names = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("identifier"), F.col("n_name").alias("entity_id"))
+    mentions = table(spark, d, "events").select(F.col("user_id").alias("identifier"), F.when(F.col("event_type") == "view", "PERSON").otherwise("PHONE").alias("entity_type"))
+    return T.dictionary_mentions(mentions, names)
 
 
-@query("a07_rrf_scores", "select user_id, round(sum(1.0::double / (60 + r)), 9) as score from (select user_id, row_number() over (partition by event_type order by event_id) as r from events where event_type in ('signup', 'error')) where r <= 40 group by 1")
+@query("a07_rrf_scores", """with r as (select event_type, user_id, min(event_id) as e from events where event_type in ('signup', 'error') group by 1, 2), k as (select event_type, user_id, row_number() over (partition by event_type order by e, user_id) as k from r),
+s as (select user_id, round(cast(sum(cast((case event_type when 'error' then 2.0 else 1.0 end)::double / (60 + k) as decimal(38,18))) as double), 9) as score from k group by 1)
+select user_id, score, cast(row_number() over (order by score desc, user_id) as int) as rank from s order by rank limit 500""")
 def a07(spark, d):
-    from pyspark.sql.window import Window
-
-    e = table(spark, d, "events").filter("event_type in ('signup', 'error')")
-    ranked = e.withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))).filter("r <= 40")
-    return ranked.groupBy("user_id").agg(F.round(F.sum(1.0 / (60 + F.col("r"))), 9).alias("score"))
+    """Two whole rankings fused with unequal weights; None numbers them by range partitions."""
+    e = table(spark, d, "events")
+    side = lambda kind: e.filter(F.col("event_type") == kind).select("user_id", F.col("event_id").alias("rank"))
+    return R.fuse({"bm25": side("signup"), "vector": side("error")}, {"bm25": 1.0, "vector": 2.0}, 500, key="user_id", page=None).select("user_id", "score", "rank")
 
 
 @query("a09_newest_checkpoint", "select conv_id, arg_max(text, turn * 10 + length(role)) as text from conversations group by 1")
@@ -96,10 +105,11 @@ def r05(spark, d):
     return R.modality_problems(c, "bm25").select("doc_id", "problem")
 
 
-@query("w02_dense_ranks", "select user_id, cast(row_number() over (order by r, user_id) as int) as rank from (select user_id, min(event_id) as r from events where event_type = 'error' group by 1)")
+@query("w02_dense_ranks", "select user_id, cast(row_number() over (order by r, user_id) as int) as rank from (select user_id, min(event_id) as r from events where event_type = 'error' group by 1) order by rank limit 1000")
 def w02(spark, d):
-    best = table(spark, d, "events").filter("event_type = 'error'").groupBy("user_id").agg(F.min("event_id").alias("r"))
-    return R.ranked(best.select("user_id", (-F.col("r")).alias("score")), 10_000, "user_id").select("user_id", "rank")
+    """Ranks with gaps and repeats become 1, 2, ... of the distinct chunks of a page of 1000."""
+    hits = table(spark, d, "events").filter("event_type = 'error'").select("user_id", F.col("event_id").alias("rank"))
+    return R.fuse({"bm25": hits}, {"bm25": 1.0}, 1000, key="user_id").select("user_id", F.col("contributions")[0]["rank"].alias("rank"))
 
 
 @query("w03_evidence_sequence", "select conv_id as thread_id, turn as evidence_id, 100 + row_number() over (partition by conv_id order by cast(turn as string)) as sequence from (select distinct conv_id, turn from conversations)")
@@ -107,12 +117,15 @@ def w03(spark, d):
     c = table(spark, d, "conversations")
     index = c.select(F.col("conv_id").alias("thread_id")).distinct().select("thread_id", F.lit("old").alias("evidence_id"), F.lit(100).cast("bigint").alias("sequence"), F.lit("x").alias("display"))
     new = c.select(F.col("conv_id").alias("thread_id"), F.col("turn").cast("string").alias("evidence_id"), F.lit("y").alias("display")).distinct()
-    return M.upsert_cards(index, new, 10_000, F.lit(False)).filter("evidence_id <> 'old'").select("thread_id", F.col("evidence_id").cast("bigint").alias("evidence_id"), "sequence")
+    return M.upsert_cards(index, new, 2**31 - 1, F.lit(False)).filter("evidence_id <> 'old'").select("thread_id", F.col("evidence_id").cast("bigint").alias("evidence_id"), "sequence")
 
 
-@query("w06_chunk_index", "select doc_id, cast(i as int) as chunk_index, p as line from (select doc_id, unnest(string_split(text, chr(10))) as p, unnest(range(0, len(string_split(text, chr(10))))) as i from documents)")
+@query("w06_chunk_index", f"{X.chunks_sql('conversations', 'conv_id, turn, role', 'text', 80, 20)} select conv_id, turn, role, cast(i as int) as chunk_index, cast(s as int) as char_start from w")
 def w06(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "line"))
+    c = table(spark, d, "conversations").withColumn("record_id", F.struct("conv_id", "turn", "role"))
+    return X.chunk_text(c.select(F.to_json("record_id").alias("record_id"), "text"), 80, 20).select(
+        F.get_json_object("record_id", "$.conv_id").cast("bigint").alias("conv_id"), F.get_json_object("record_id", "$.turn").cast("bigint").alias("turn"), F.get_json_object("record_id", "$.role").alias("role"), "chunk_index", "char_start"
+    )
 
 
 @query("t05_crosswalk", "select concat('same-event:c', p_partkey, ':m', p_partkey, ':reconciliation@1') as event_id from part where p_partkey % 2 = 0")
@@ -133,8 +146,7 @@ def t04(spark, d):
 @query("t01_totals", "select source as source_system, count(*) as n from documents group by 1 having count(*) <> 49")
 def t01(spark, d):
     docs = table(spark, d, "documents").select(F.col("source").alias("source_system"))
-    names = [r.source_system for r in docs.distinct().limit(1000).collect()]
-    return L.total_problems(docs, dict.fromkeys(names, 49)).select("source_system", "n")
+    return L.total_problems(docs, docs.distinct().withColumn("want", F.lit(49).cast("bigint"))).select("source_system", "n")
 
 
 @query("x11_draft_violations", "select p_partkey, case p_partkey % 4 when 0 then 'missing_key' when 1 then 'unexpected_key' when 2 then 'missing_source' end as violation from part where p_partkey % 4 <> 3")

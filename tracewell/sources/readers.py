@@ -82,7 +82,7 @@ def read_messages(spark: SparkSession, path: str) -> SourceBatch:
     return SourceBatch(records, _comms(df, "extraction", "msg_id", F.col("app"), F.col("direction"), a, b, when, "ts_utc", F.lit(None), F.col("imei")))
 
 
-def read_mail(spark: SparkSession, path: str) -> SourceBatch:
+def read_mail(spark: SparkSession, path: str, glob: str = "*.eml") -> SourceBatch:
     """S-03: messages of RFC 822, one a file; five headers and one part of plain text are required."""
     import email
     from email import policy
@@ -100,7 +100,7 @@ def read_mail(spark: SparkSession, path: str) -> SourceBatch:
                 rows.append((p, *[str(m[h]) for h in need], m.get("X-Source-Version"), body))
             yield pd.DataFrame(rows, columns=["_path", "sender", "receiver", "date", "subject", "local_id", "source_version", "body"])
 
-    df = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").load(path).select("path", "content")
+    df = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
     df = df.mapInPandas(parse, "_path string, sender string, receiver string, date string, subject string, local_id string, source_version string, body string")
     bare = lambda c: normalize_email(F.regexp_extract(F.col(c), r"([^\s<>]+@[^\s<>]+)", 1))
     when = rfc2822_to_utc("date")
@@ -147,9 +147,9 @@ def front_matter(value: Column) -> tuple[Column, Column]:
     return F.map_from_entries(F.transform(pairs, entry)), F.regexp_replace(F.regexp_extract(value, form, 2), "^\n+", "")
 
 
-def read_documents(spark: SparkSession, path: str) -> SourceBatch:
+def read_documents(spark: SparkSession, path: str, glob: str = "*.md") -> SourceBatch:
     """S-05: Markdown with front matter; the id is document_id, or the file's stem."""
-    df = spark.read.text(path, wholetext=True, pathGlobFilter="*.md").select("value", F.col("_metadata.file_path").alias("_path"))
+    df = spark.read.text(path, wholetext=True, pathGlobFilter=glob).select("value", F.col("_metadata.file_path").alias("_path"))
     fields, body = front_matter(F.col("value"))
     df = df.select("_path", fields.alias("f"), body.alias("body"))
     get = lambda k: F.try_element_at("f", F.lit(k))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,32 +23,71 @@ def upserted(existing: DataFrame | None, new: DataFrame, key: list[str]) -> Data
     return new if existing is None else existing.join(new.select(*key), key, "left_anti").unionByName(new)
 
 
+def write_file(spark: SparkSession, path: str, content: bytes, replace: bool = True) -> None:
+    """A small file of the driver's on any file system that Spark reads, put in its place in one step, so a reader never sees a part."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    files = place.getFileSystem(conf)
+    out = files.create(part)
+    out.write(bytearray(content))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), conf)
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE if replace else jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    context.rename(files.makeQualified(part), files.makeQualified(place), how)
+
+
+def read_file(spark: SparkSession, path: str) -> bytes | None:
+    """A small file's content, or None where there is no file."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return None
+    return bytes(spark.read.format("binaryFile").load(path).first().content)
+
+
 class Store:
-    """Tables of an evidence store as Parquet folders, each version written beside the last and then named current.
+    """S-10 to S-13: tables of an evidence store as Parquet batches; an upsert writes its new rows and nothing else.
 
-    Plain Parquet has no MERGE, so an upsert writes the table anew (S-11 to S-13); at scale `records` and `chunks` are
-    partitioned by source system, and a source's upsert rewrites its partition alone.
+    A table's list names its batches, oldest first, and is replaced in one step. A reader takes of each key the row of
+    the newest batch: one aggregate on the key, which is skipped while there is one batch. `compact` writes the merged
+    rows as one batch; the batches before it stay until the next compaction, for readers who still hold the old list.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/current"
+    def _batches(self, name: str) -> list[str]:
+        return json.loads(read_file(self.spark, f"{self.root}/{name}.json") or b"[]")
+
+    def _list(self, name: str, batches: list[str]) -> None:
+        write_file(self.spark, f"{self.root}/{name}.json", json.dumps(batches).encode())
 
     def read(self, name: str) -> DataFrame | None:
-        try:
-            version = self.spark.read.text(self._pointer(name)).first()
-        except Exception as e:  # noqa: BLE001 - a store that was never written
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        batches = self._batches(name)
+        if not batches:
             return None
-        return self.spark.read.parquet(f"{self.root}/{name}/{version.value}") if version else None
+        parts = [self.spark.read.parquet(f"{self.root}/{name}/{b}").withColumn("_batch", F.lit(i)) for i, b in enumerate(batches)]
+        if len(parts) == 1:
+            return parts[0].drop("_batch")
+        every = reduce(DataFrame.unionByName, parts)
+        columns = [c for c in every.columns if c != "_batch"]
+        newest = every.groupBy(*[F.col(k).alias(f"_key_{k}") for k in KEYS[name]]).agg(F.max_by(F.struct(*columns), "_batch").alias("_row"))
+        return newest.select("_row.*")
 
     def upsert(self, name: str, new: DataFrame) -> None:
-        version = uuid.uuid4().hex
-        upserted(self.read(name), new, KEYS[name]).write.parquet(f"{self.root}/{name}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer(name))
+        """Of rows of the batch itself that share a key the last by _seq (or any equal) stays."""
+        batch = uuid.uuid4().hex
+        upserted(None, new, KEYS[name]).write.parquet(f"{self.root}/{name}/{batch}")
+        self._list(name, [*self._batches(name), batch])
+
+    def compact(self, name: str) -> None:
+        merged = self.read(name)
+        if merged is not None:
+            batch = uuid.uuid4().hex
+            merged.write.parquet(f"{self.root}/{name}/{batch}")
+            self._list(name, [batch])
 
     def counts(self) -> DataFrame:
         """A-06."""
@@ -61,6 +101,11 @@ class Store:
                 read_view(t, records).createOrReplaceTempView(f"{name}_v1")
 
 
+def canonical_records(records: DataFrame, wanted: DataFrame) -> DataFrame:
+    """S-17, J-06: the records that a table of record_id names, each once; ids without a record are left out."""
+    return records.join(wanted.select("record_id"), "record_id", "left_semi")
+
+
 def read_view(typed: DataFrame, records: DataFrame) -> DataFrame:
     """S-18."""
     r = records.select("record_id", "source_system", "source_record_id", "source_path", "content_hash")
@@ -104,22 +149,28 @@ class Ledger:
             return False
 
 
-def read_receipt(path: str) -> dict | None:
-    """S-15: a driver-side file; absent or malformed counts as none."""
+def read_receipt(path: str, spark: SparkSession | None = None) -> dict | None:
+    """S-15: a driver-side file, or with a session one on any file system; absent or malformed counts as none."""
     try:
-        with open(path, encoding="utf-8") as f:
-            got = json.load(f)
+        if spark is not None:
+            got = json.loads(read_file(spark, path) or b"")
+        else:
+            with open(path, encoding="utf-8") as f:
+                got = json.load(f)
     except (OSError, ValueError):
         return None
     return got if isinstance(got, dict) else None
 
 
-def write_receipt(path: str, receipt: dict) -> None:
+def write_receipt(path: str, receipt: dict, spark: SparkSession | None = None) -> None:
     """S-15: replaced in one step, so a reader never sees a part."""
+    if spark is not None:
+        return write_file(spark, path, json.dumps(receipt, sort_keys=True).encode())
     part = f"{path}.{uuid.uuid4().hex}"
     with open(part, "w", encoding="utf-8") as f:
         json.dump(receipt, f, sort_keys=True)
     os.replace(part, path)
+    return None
 
 
 def term_statistics(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> tuple[DataFrame, DataFrame]:

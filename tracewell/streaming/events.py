@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import threading
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -49,7 +50,7 @@ def thread_totals(usage: DataFrame) -> DataFrame:
 
 
 class TokenBucket:
-    """N-03: rate and capacity per minute's requests; the clock is given, so that time can be tested. N-04's bound on calls in flight is a job's number of partitions."""
+    """N-03: rate and capacity per minute's requests; the clock is given, so that time can be tested."""
 
     def __init__(self, per_minute: float, now: float = 0.0) -> None:
         self.rate, self.capacity = per_minute / 60, max(1.0, per_minute / 10)
@@ -64,6 +65,31 @@ class TokenBucket:
         return (1 - self.level) / self.rate
 
 
+class InFlight:
+    """N-04: at most so many calls at a time by the driver's threads; `taken` tells how many are under way."""
+
+    def __init__(self, most: int) -> None:
+        if most < 1:
+            raise ValueError("at least one call must be allowed")
+        self._free, self._guard, self.taken = threading.BoundedSemaphore(most), threading.Lock(), 0
+
+    def try_enter(self) -> bool:
+        entered = self._free.acquire(blocking=False)
+        with self._guard:
+            self.taken += entered
+        return entered
+
+    def leave(self) -> None:
+        with self._guard:
+            self.taken -= 1
+        self._free.release()
+
+
+def bounded_calls(rows: DataFrame, call: Callable[[pd.DataFrame], pd.DataFrame], schema: str, in_flight: int) -> DataFrame:
+    """N-04 for calls from tasks: each partition has one call under way, so there are as many partitions as calls may be."""
+    return rows.repartition(in_flight).mapInPandas(lambda batches: map(call, batches), schema)
+
+
 def lifecycle(turns: DataFrame, size: int = 512) -> DataFrame:
     """N-01, N-02: a turn's (turn_id, answer, status) events in order: started, the answer's slices, one terminal."""
     from ..functions.text import sliced
