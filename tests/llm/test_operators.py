@@ -136,6 +136,7 @@ def near_copies(seed, n=6, ids=1009):
 def test_near_duplicates(spark, monkeypatch, block, chunk):
     monkeypatch.setattr(neardup, "LIST_BLOCK", block)
     monkeypatch.setattr(neardup, "CHUNK", chunk)
+    monkeypatch.setattr(neardup, "SET_BLOCK", block)
     monkeypatch.setattr(neardup, "BROADCAST_IDS", 0 if block == 8 else 10**6)
     rows = near_copies(3)
     got = sorted(map(tuple, neardup.near_duplicates(docs(spark, rows)).collect()))

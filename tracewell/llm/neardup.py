@@ -5,14 +5,15 @@
 2. Classes are posted under (coordinate, value) for the first half of the coordinates. A class that shares too few
    posted pairs with others can have no link and leaves here (its postings are never merged).
 3. The survivors' postings under a prefix of the coordinates are kept: two signatures that agree in `t` of the posted
-   coordinates agree in one of the first POSTED - t + 1. First each class meets only one leader, the smallest class
-   that heads most of its lists. Leaders and members whose full sets are similar are stars, and the stars' components
-   leave the lists that they fill alone, so a large group of copies costs one comparison each.
-4. What is left of the lists (two or more components) is merged in full, with skips: classes of one component are not
-   compared, nor are pairs that an earlier list has compared. Pairs with enough equal coordinates are candidates. A
-   list beyond LIST_BLOCK classes is posted again under a second coordinate, whose prefix keeps every pair, and only
-   what is still larger goes out in pairs of blocks.
-5. Each candidate pair's full sets are compared, in parts of CHUNK partners, and the confirmed links give the components.
+   coordinates agree in one of the first POSTED - t + 1. First each class meets only one leader: the class that heads
+   most of its lists, which each list's most colliding class does. Leaders and members whose full sets are similar
+   form stars, and lists that one component of stars fills alone are done, so a large group of copies costs one
+   comparison each.
+4. What is left of the lists (two or more components) is merged in full, with skips: components already joined are not
+   compared again, and a list gives out a spanning forest of the pairs with enough equal coordinates, never all its
+   pairs. A list beyond LIST_BLOCK classes is posted again under a second coordinate, whose prefix keeps every pair.
+5. Where forests join components, full sets are compared: those outside the largest component with all, in blocks and
+   with the same skips. Links of leaders and of blocks give the components of the result.
 
 The thresholds are those that a pair at the least similarity misses with a probability of at most MISS each, given
 POSTED (for sharing) and COORDINATES (for matching) coordinates; `least_agreeing` computes them for any similarity.
@@ -21,7 +22,7 @@ POSTED (for sharing) and COORDINATES (for matching) coordinates; `least_agreeing
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ from pyspark.sql import types as T
 from .shared import U64, arrow_map, components, cut, mix, small, text_pieces, words
 
 COORDINATES, POSTED, MISS = 64, 32, 1e-9
-#: Classes in a block of a posting list, and partners that one copy of a class's set is compared with.
-LIST_BLOCK, CHUNK = 1024, 256
+#: Classes in a block of a posting list, in a block of sets, and members that one copy of a leader's set is compared with.
+LIST_BLOCK, SET_BLOCK, CHUNK = 1024, 256, 256
 #: Ids are broadcast up to this number (16 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -104,98 +105,178 @@ def least_agreeing(percent: int, n: int, miss: float = MISS) -> int:
     return n
 
 
-def _merged(posted: DataFrame, least: int, percent: int) -> DataFrame:
-    """(a, b): pairs of the lists' classes, of different components, whose signatures agree in `least` coordinates.
+def joining(comp: np.ndarray, left: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs (i, j) with linked(i, [j]) that join the components of n items as far as pairs with an i of `left` can.
 
-    posted: pos, val, pos2, val2 (-1 where there is no second coordinate), bi, bj and of each class rep, comp, n, sig.
-    Lists are bounded by their maker and come sorted, so one is held at a time. A pair comes out only of the list of
-    its first common coordinate (and first second one), and of two blocks only from across them.
+    comp numbers the components from 0. linked(i, others) tells which of the others i is linked with; others of i's own
+    or of a joined component are never asked for, so at most one pair less than there are components comes out.
     """
-    key = ["pos", "val", "pos2", "val2", "bi", "bj"]
-    dealt = posted.select(*key, "rep", "comp", "n", "own", "sig").repartition(*key).sortWithinPartitions(*key)
-    k = len(key)
-
-    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        pos, pos2, bi, bj = (t[c][0].as_py() for c in ("pos", "pos2", "bi", "bj"))
-        rep, comp, n, own = (t[c].to_numpy() for c in ("rep", "comp", "n", "own"))
-        sig = t["sig"].combine_chunks().flatten().to_numpy().reshape(len(rep), COORDINATES)
-        before = [c for c in range(pos2) if c != pos] if pos2 >= 0 else []
-        for i in range(len(rep) - 1):
-            j = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i])))
-            j = j[own[j] != own[i]] if bi != bj else j
-            equal = sig[j] == sig[i]
-            ok = (equal.sum(1) >= least) & ~equal[:, :pos].any(1)
-            ok &= ~equal[:, before].any(1) if before else True
-            if ok.any():
-                j = j[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], ["a", "b"])
+    name, pairs = np.arange(int(comp.max(initial=-1)) + 1), []
+    now = name[comp]
+    for i in left.tolist():
+        others = np.flatnonzero(now != now[i])
+        if not len(others):
+            break
+        hit = others[linked(i, others)]
+        if len(hit):
+            found, first = np.unique(now[hit], return_index=True)
+            pairs += [(i, int(hit[f])) for f in first]
+            now[np.isin(now, found)] = now[i]
+    return pairs
+
+
+def _grouped(dealt: DataFrame, key: list[str], fn: Callable[[pa.Table], list[tuple[int, int]]]) -> DataFrame:
+    """Pairs (a, b) of reps that fn finds in each group of rows. Groups are bounded by their makers and come sorted, so one is held at a time."""
+    dealt, k = dealt.repartition(*key).sortWithinPartitions(*key), len(key)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
+
+        def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            pairs = fn(t.combine_chunks()) if len(t) > 1 else []
+            if pairs:
+                rep = t["rep"].to_numpy()
+                i, j = np.array(pairs).T
+                yield pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j])], ["a", "b"])
+
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = pa.concat_tables([rest, t]) if rest is not None else t
-            keys = np.column_stack([t[i].to_numpy() for i in range(k)])
+            keys = np.column_stack([t[c].to_numpy() for c in key[:k]])
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist()]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                yield from pairs(t.slice(a, b - a)) if b - a > 1 else ()
+                yield from run(t.slice(a, b - a))
             rest = t.slice(cuts[-1])
-        if rest is not None and len(rest) > 1:
-            yield from pairs(rest)
+        if rest is not None:
+            yield from run(rest)
 
     return dealt.mapInArrow(each, "a long, b long")
 
 
+def _against_largest(members: DataFrame, group: list[str], block: int) -> DataFrame:
+    """Rows (rep, comp, n, ...) of groups of two or more components, dealt to pairs of blocks: left, right, turn.
+
+    Rows outside a group's largest component (minors) must meet all rows: as `left` (turn 0) they are dealt to blocks
+    of their own, each of which meets every block of all rows (`right`, turn 1). A group of one large component and a
+    few minors so costs one copy of each row, and a row is copied to as many blocks as its group has minor blocks.
+    """
+    sizes = members.groupBy(*group, "comp").agg(F.count(F.lit(1)).alias("_c"))
+    of = sizes.groupBy(*group).agg(F.sum("_c").alias("_all"), F.max(F.struct("_c", "comp")).alias("_top"), F.count(F.lit(1)).alias("_k")).filter("_k > 1")
+    whole = lambda c: F.greatest(F.lit(1), F.ceil(c / block)).cast("int")
+    of = of.select(*group, F.col("_top.comp").alias("_largest"), whole(F.col("_all")).alias("_rights"), whole(F.col("_all") - F.col("_top._c")).alias("_lefts"))
+    rows = members.join(of, group)
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda left, right, turn: F.struct(left.alias("left"), right.alias("right"), F.lit(turn).alias("turn"))
+    as_right = F.transform(to("_lefts"), lambda b: place(b, own("_rights"), 1))
+    as_left = F.transform(to("_rights"), lambda b: place(own("_lefts"), b, 0))
+    return rows.withColumn("_places", F.when(F.col("comp") == F.col("_largest"), as_right).otherwise(F.concat(as_left, as_right))).drop("_largest", "_rights", "_lefts")
+
+
+def _in_places(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_at", F.explode("_places")).select("*", "_at.*").drop("_places", "_at")
+
+
+def _numbers(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Components from 0, the minors' rows (left ones; a group has only rights where it is small), sizes."""
+    return np.unique(t["comp"].to_numpy(), return_inverse=True)[1], np.flatnonzero(t["turn"].to_numpy() == 0), t["n"].to_numpy()
+
+
+def _fits(n: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])
+
+
 def _candidates(posts: DataFrame, sigs: DataFrame, stars: DataFrame | None, percent: int, shared: int) -> DataFrame:
-    """Candidate pairs of the lists that hold two or more components. posts: pos, val, rep; sigs: rep, n, sig; stars: node, component."""
-    if stars is not None:
-        comps = stars.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-        posts = posts.join(F.broadcast(comps) if small(comps, BROADCAST_IDS) else comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    else:
-        posts = posts.withColumn("comp", F.col("rep"))
+    """Pairs (a, b) that join the components of the lists by enough equal coordinates. posts: pos, val, rep; sigs: rep, n, sig; stars: node, component."""
+    least = least_agreeing(percent, COORDINATES)
+    posts = _with_components(posts, stars)
     lists = posts.groupBy("pos", "val").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low <> _high").select("pos", "val", "m")
     mixed = cut(posts.join(lists, ["pos", "val"]))
-    none = [F.lit(-1).alias("pos2"), F.lit(0).alias("val2")]
-    short = mixed.filter(F.col("m") <= LIST_BLOCK).join(sigs, "rep").select("*", *none)
-    long = mixed.filter(F.col("m") > LIST_BLOCK)
-    if long.isEmpty():
-        parts = short.withColumn("blocks", F.lit(1))
-    else:
-        # A pair that agrees here agrees in shared - 1 of the other posted coordinates, so in one of this many of them.
-        second = F.filter(F.sequence(F.lit(0), F.lit(POSTED - 1)), lambda c: c != F.col("pos"))
-        second = F.slice(second, 1, POSTED - shared + 1)
-        long = long.join(sigs, "rep").withColumn("pos2", F.explode(second)).withColumn("val2", F.element_at("sig", F.col("pos2") + 1))
-        sub = long.groupBy("pos", "val", "pos2", "val2").agg(F.count(F.lit(1)).alias("m2"), F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low <> _high").drop("_low", "_high")
-        long = long.join(sub, ["pos", "val", "pos2", "val2"]).withColumn("blocks", F.ceil(F.col("m2") / LIST_BLOCK).cast("int")).drop("m2")
-        parts = short.withColumn("blocks", F.lit(1)).unionByName(long)
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = parts.withColumn("own", own).withColumn("_other", F.explode(other))
-    return _merged(dealt.withColumn("bi", F.least("own", "_other")).withColumn("bj", F.greatest("own", "_other")), least_agreeing(percent, COORDINATES), percent)
-
-
-def _sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """node, set: the full shingle set of each class (node, rep, h1, h2), from a row of its smallest id that has it."""
-    wanted = classes.select(F.col("rep").alias("id"), "node", "h1", "h2")
+    short = mixed.filter(F.col("m") <= LIST_BLOCK).drop("m").withColumns({"pos2": F.lit(-1), "val2": F.lit(0)}).join(sigs, "rep")
+    long = mixed.filter(F.col("m") > LIST_BLOCK).drop("m").join(sigs, "rep")
+    # A pair that agrees here agrees in shared - 1 of the other posted coordinates, so in one of this many of them.
+    second = F.slice(F.filter(F.sequence(F.lit(0), F.lit(POSTED - 1)), lambda c: c != F.col("pos")), 1, POSTED - shared + 1)
+    long = long.withColumn("pos2", F.explode(second)).withColumn("val2", F.element_at("sig", F.col("pos2") + 1))
+    columns, key = ["pos", "val", "pos2", "val2", "rep", "comp", "n", "sig"], ["pos", "val", "pos2", "val2"]
+    parts = short.select(*columns).unionByName(long.select(*columns))
+
+    def fn(t: pa.Table) -> list[tuple[int, int]]:
+        comp, left, n = _numbers(t)
+        sig = t["sig"].combine_chunks().flatten().to_numpy().reshape(len(n), COORDINATES)
+        return joining(comp, left, lambda i, others: _fits(n, i, others, percent) & ((sig[others] == sig[i]).sum(1) >= least))
+
+    return _grouped(_in_places(_against_largest(parts, key, LIST_BLOCK)), [*key, "left", "right"], fn)
+
+
+def _with_components(df: DataFrame, stars: DataFrame | None) -> DataFrame:
+    """comp: the component of rep, by itself where no star has it."""
+    if stars is None:
+        return df.withColumn("comp", F.col("rep"))
+    comps = stars.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    return df.join(F.broadcast(comps) if small(comps, BROADCAST_IDS) else comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+
+def _linked_sets(docs: DataFrame, near: DataFrame, stars: DataFrame | None, classes: DataFrame, percent: int, size: int) -> DataFrame | None:
+    """Links (a, b) by full sets that join components which the candidate pairs `near` (a, b) bring together; None without candidates."""
+    near = cut(near)
+    if near.isEmpty():
+        return None
+    both = near if stars is None else near.unionByName(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b"))
+    reached = components(both)
+    # Only candidate components that some pair of `near` is in; the others are stars that nothing else comes near.
+    open_ = reached.join(near.select(F.col("a").alias("node")).distinct(), "node").select("component").distinct()
+    members = reached.join(F.broadcast(open_) if small(open_, BROADCAST_IDS) else open_, "component").select(F.col("node").alias("rep"), F.col("component").alias("group"))
+    sizes = classes.select(F.col("node").alias("rep"), F.col("rep").alias("id"), "h1", "h2", "n")
+    members = cut(_against_largest(_with_components(members, stars).join(sizes, "rep"), ["group"], SET_BLOCK))
+    sets = _sets(docs, members.select(F.col("rep").alias("node"), F.col("id").alias("rep"), "h1", "h2"), size)
+    rows = sets.select(F.col("node").alias("rep"), "set").join(members.select("rep", "group", "comp", "n", "_places"), "rep")
+
+    def fn(t: pa.Table) -> list[tuple[int, int]]:
+        comp, left, n = _numbers(t)
+        found = [np.frombuffer(x.as_buffer(), U64) for x in t["set"]]
+        place = np.unique(np.concatenate(found), return_inverse=True)[1]
+        at = np.append(0, np.cumsum([len(x) for x in found]))
+        mark = np.zeros(int(place.max(initial=0)) + 1, bool)
+
+        def similar(i: int, others: np.ndarray) -> np.ndarray:
+            mark[place[at[i] : at[i + 1]]] = True
+            out = _fits(n, i, others, percent)
+            for k in np.flatnonzero(out):
+                j = others[k]
+                x = int(np.count_nonzero(mark[place[at[j] : at[j + 1]]]))
+                out[k] = 100 * x >= percent * (n[i] + n[j] - x)
+            mark[place[at[i] : at[i + 1]]] = False
+            return out
+
+        return joining(comp, left, similar)
+
+    return cut(_grouped(_in_places(rows), ["group", "left", "right"], fn))
+
+
+def _sets(docs: DataFrame, classes: DataFrame, size: int, carried: Sequence[str] = ()) -> DataFrame:
+    """node, set and the carried columns (of longs or ints): the full shingle set of each class (node, rep, h1, h2), from a row of its smallest id that has it."""
+    wanted = classes.select(F.col("rep").alias("id"), "node", "h1", "h2", *[F.col(c).cast("long").alias(c) for c in carried])
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    chosen = texts.join(F.broadcast(wanted) if small(wanted, BROADCAST_IDS) else wanted, "id").select("node", "text", "h1", "h2")
+    # A leader stands in `wanted` once for each chunk of its members: bounded by the number of rows.
+    chosen = texts.join(F.broadcast(wanted) if small(wanted, BROADCAST_IDS) else wanted, "id").select("text", "node", "h1", "h2", *carried)
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        h1, h2, node = (batch.column(i).to_numpy() for i in (2, 3, 0))
+        h1, h2 = batch.column(2).to_numpy(), batch.column(3).to_numpy()
         keep, packed = [], []
         with np.errstate(over="ignore"):
-            for i, s in shingle_sets(batch.column(1), size):
+            for i, s in shingle_sets(batch.column(0), size):
                 if _digest(s) == (h1[i], h2[i]):
-                    keep.append(node[i]), packed.append(s.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(packed, pa.binary())], ["node", "set"])
+                    keep.append(i), packed.append(s.tobytes())
+        kept = batch.take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([kept.column(1), pa.array(packed, pa.binary()), *[kept.column(c) for c in range(4, batch.num_columns)]], ["node", "set", *carried])
 
-    return arrow_map(chosen, fn, "node long, set binary")
+    return arrow_map(chosen, fn, "node long, set binary" + "".join(f", {c} long" for c in carried))
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int, size: int) -> DataFrame:
-    """(a, b): those of the candidate pairs whose full sets are similar enough; None where there is no pair.
+def _confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int, size: int) -> DataFrame | None:
+    """(a, b): those of the pairs of leaders a and members b whose full sets are similar enough; None where there is no pair.
 
-    A set goes once to each pair that it is the b of, and once to each CHUNK of pairs that it is the a of, so a hub's
+    A set goes once to the pair that it is the b of, and once to each CHUNK of pairs that it is the a of, so a leader's
     pairs are dealt to many tasks and no task holds more than one set and the rows at hand.
     """
     pairs = cut(pairs)
@@ -203,18 +284,17 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: i
         return None
     chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("_c"))
     dealt = cut(pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_c")).alias("part"), "b"))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut(_sets(docs, cut(classes.join(ids, "node")), size))
-    heads = dealt.select("a", "part").distinct().join(sets, F.col("a") == F.col("node")).select("a", "part", F.lit(0).alias("turn"), "node", "set")
-    rows = heads.unionByName(dealt.join(sets, F.col("b") == F.col("node")).select("a", "part", F.lit(1).alias("turn"), "node", "set"))
+    heads = dealt.select("a", "part", F.col("a").alias("node"), F.lit(0).alias("turn")).distinct()
+    roles = heads.unionByName(dealt.select("a", "part", F.col("b").alias("node"), F.lit(1).alias("turn")))
+    rows = _sets(docs, roles.join(classes, "node"), size, ["a", "part", "turn"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, of = None, None
         for batch in batches:
-            a, part, turn, node = (batch.column(i).to_pylist() for i in range(4))
+            node, a, part, turn = (batch.column(i).to_pylist() for i in (0, 2, 3, 4))
             found = []
             for i in range(len(a)):
-                s = np.frombuffer(batch.column(4)[i].as_buffer(), U64)
+                s = np.frombuffer(batch.column(1)[i].as_buffer(), U64)
                 if turn[i] == 0:
                     head, of = s.copy(), (a[i], part[i])
                 elif of == (a[i], part[i]):
@@ -252,23 +332,24 @@ def _labelled(docs: DataFrame, percent: int, size: int) -> DataFrame:
     base = cut(signatures(docs, size))
     classes = _classes(base)
     shared = least_agreeing(percent, POSTED)
+    keys = classes.select("node", "rep", "h1", "h2")
     posts = classes.select("node", F.posexplode(F.slice("sig", 1, POSTED)).alias("pos", "val"))
-    lists = posts.groupBy("pos", "val").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("pos", "val")
+    lists = posts.groupBy("pos", "val").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     live = cut(posts.join(lists, ["pos", "val"]).withColumnRenamed("node", "rep"))
-    alive = cut(live.groupBy("rep").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= shared).select("rep"))
-    prefix = live.filter(F.col("pos") <= POSTED - shared)
-    posts = cut(prefix.join(F.broadcast(alive) if small(alive, BROADCAST_IDS) else alive, "rep").select("pos", "val", "rep"))
-
-    # Leaders, which decide what is compared first and never the result: each class's is the smallest class of at least
-    # a third of its lists. The sums meet before the shuffle, so a long list is never in one task.
-    heads = posts.groupBy("pos", "val").agg(F.min("rep").alias("a"))
+    alive = live.groupBy("rep").agg(F.count(F.lit(1)).alias("_c"), F.sum("m").alias("collisions")).filter(F.col("_c") >= shared).select("rep", "collisions")
+    alive = cut(alive)
+    prefix = live.filter(F.col("pos") <= POSTED - shared).select("pos", "val", "rep")
+    posts = cut(prefix.join(F.broadcast(alive) if small(alive, BROADCAST_IDS) else alive, "rep"))
+
+    # Leaders decide what is compared first and never the result: each class's is the head of at least a third of its
+    # lists. The sums meet before the shuffle, so a long list is never in one task.
+    heads = posts.groupBy("pos", "val").agg((-F.max(F.struct("collisions", (-F.col("rep")).alias("_r")))["_r"]).alias("a"))
     led = posts.join(heads, ["pos", "val"]).filter("a <> rep").groupBy("rep", "a").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= max(1, (POSTED - shared + 1) // 3))
     led = led.groupBy("rep").agg(F.max_by("a", F.struct("_c", -F.col("a"))).alias("a")).select("a", F.col("rep").alias("b"))
-    keys = classes.select("node", "rep", "h1", "h2")
     links = _confirmed(docs, led, keys, percent, size)
     stars = components(links) if links is not None else None
-    sigs = classes.select(F.col("node").alias("rep"), "n", "sig")
-    more = _confirmed(docs, _candidates(posts, sigs, stars, percent, shared), keys, percent, size)
+    near = _candidates(posts.select("pos", "val", "rep"), classes.select(F.col("node").alias("rep"), "n", "sig"), stars, percent, shared)
+    more = _linked_sets(docs, near, stars, classes, percent, size)
     linked = stars if more is None else components(more if links is None else links.unionByName(more))
 
     # A component is named by its smallest id; its nodes are that but for the hashed ones.
