@@ -284,15 +284,20 @@ def r01(spark, d):
     return R.bm25(table(spark, d, "documents"), "the that", 20, key="doc_id")
 
 
-@query("r01_chunk_search")
+_CHUNK_BM25 = f"""{X.chunks_sql('documents', 'doc_id', 'text', 4000, 200)}, k as (select concat('docs:', doc_id, '#', s, '-', e) as chunk_id, concat('docs:', doc_id) as record_id, s, e, substr(text, s + 1, e - s) as text from w), t as (select *, {_TOK} as w from k),
+c as (select *, len(w) as dl, len(list_filter(w, lambda x: x = 'the')) as f0, len(list_filter(w, lambda x: x = 'that')) as f1 from t), s as (select count(*) as n, avg(dl) as a, count(*) filter (f0 > 0) as d0, count(*) filter (f1 > 0) as d1 from c),
+r as (select chunk_id, record_id, c.s, e, text, round(ln(1 + (n - d0 + 0.5) / (d0 + 0.5)) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * dl / a)) + ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * dl / a)), 6) as score from c, s where f0 > 0 and f1 > 0)
+select cast(row_number() over (order by score desc, chunk_id) as int) as rank, chunk_id, record_id, score, cast(s as int) as char_start, cast(e as int) as char_end, text as chunk from r order by rank limit 20"""
+
+
+@query("r01_chunk_search", _CHUNK_BM25)
 def r01_chunks(spark, d):
     """X-03, R-01, J-01, P-09: documents in chunks, the best by BM25, joined with their records, each slice verified."""
     docs = _docs(spark, d)
     chunks = X.chunk_text(docs).withColumn("chunk_id", C.chunk_id(F.col("record_id"), F.col("char_start"), F.col("char_end")))
     best = R.bm25(chunks, "the that", 20, text="chunk")
-    found = chunks.join(F.broadcast(best), "chunk_id").join(docs, "record_id")  # twenty rows
-    sound = F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) == F.col("chunk")
-    return found.filter(sound).select("rank", "chunk_id", "record_id", "score", "char_start", "char_end", "chunk")
+    found = R.with_records(chunks.join(F.broadcast(best), "chunk_id"), docs)  # twenty rows
+    return found.filter("sound").select("rank", "chunk_id", "record_id", "score", "char_start", "char_end", "chunk")
 
 
 def _probe(spark, d):

@@ -644,3 +644,57 @@ def w10b(spark, d):
     t = M.trimmed_steps(c.select("conv_id", F.lit("head").alias("head"), "steps"), 600)
     last = F.size("steps")
     return t.select("conv_id", F.length(F.element_at("steps", F.element_at("kept", -1))).cast("bigint").alias("newest"), F.coalesce(F.array_contains("kept", last - 1), F.lit(False)).alias("two"))
+
+
+# --- each rule of the gate, on every view ---
+_VIEWS, _KEPT = ["transactions_v1", "accounts_v1", "communications_v1"], "record_id, content_hash, source_refs"
+# A statement that breaks one rule, by the rule's id; {v} is a view.
+_BROKEN = {
+    "q02_parse_failed": (f"SELECT {_KEPT} FROM agent_read.{{v}} WHERE (", "parse_failed"),
+    "q03_statement_count": (f"SELECT {_KEPT} FROM agent_read.{{v}}; SELECT {_KEPT} FROM agent_read.{{v}}", "statement_count"),
+    "q04_select_required": ("UPDATE agent_read.{v} SET record_id = $1", "select_required"),
+    "q05_unknown_node": (f"SELECT {_KEPT} FROM agent_read.{{v}} WHERE record_id = 'a literal'", "unknown_ast_node"),
+    "q06_row_lock": (f"SELECT {_KEPT} FROM agent_read.{{v}} FOR SHARE", "row_lock"),
+    "q07_recursive_cte": ("WITH RECURSIVE r AS (SELECT record_id FROM agent_read.{v}) SELECT record_id FROM r", "recursive_cte"),
+    "q08_cte_scope": (f"SELECT {_KEPT} FROM agent_read.{{v}} WHERE record_id IN (WITH c AS (SELECT record_id FROM agent_read.{{v}}) SELECT record_id FROM c) AND EXISTS (SELECT record_id FROM c)", "relation_not_allowed"),
+    "q09_star": ("SELECT t.* FROM agent_read.{v} AS t", "star_not_allowed"),
+    "q10_function": (f"SELECT {_KEPT}, md5(record_id) AS h FROM agent_read.{{v}}", "function_not_allowed"),
+    "q11_operator": (f"SELECT {_KEPT} FROM agent_read.{{v}} WHERE record_id RLIKE $1", "operator_not_allowed"),
+    "q12_cast": (f"SELECT {_KEPT}, CAST(record_id AS binary) AS b FROM agent_read.{{v}}", "cast_not_allowed"),
+    "q13_parameters": (f"SELECT {_KEPT} FROM agent_read.{{v}} WHERE record_id = $2", "parameter_mismatch"),
+    "q14_provenance": ("SELECT record_id, content_hash FROM agent_read.{v}", "provenance_required"),
+    "q15_temporary": (f"SELECT {_KEPT} FROM pg_temp.{{v}}", "temporary_relation"),
+    "a18_grouping_sets": (f"SELECT {_KEPT}, count(*) AS n FROM agent_read.{{v}} GROUP BY CUBE (record_id, content_hash, source_refs)", "unknown_ast_node"),
+    "u04_set_operations": (f"SELECT {_KEPT} FROM agent_read.{{v}} INTERSECT SELECT {_KEPT} FROM agent_read.{{v}}", "set_operation"),
+}
+
+
+def _broken(sql):
+    def run(spark, d):
+        code = lambda v: next(iter(gate.validate(spark, sql.format(v=v), parameters(*["x"] * ("$" in sql))).codes), "ok")
+        return spark.createDataFrame([(v, code(v)) for v in _VIEWS], "view_name string, code string")
+
+    return run
+
+
+for _id, (_sql, _code) in _BROKEN.items():
+    query(_id, f"select unnest({_VIEWS}) as view_name, '{_code}' as code")(_broken(_sql))
+
+
+@query("q08_cte_scope_kept", "select concat('bank:A', c_custkey) as record_id from customer where c_custkey % 3 <> 0")
+def q08b(spark, d):
+    """A CTE is known where it is defined, and in the CTEs after it."""
+    sql = f"WITH p AS (SELECT {_KEPT}, iban FROM agent_read.accounts_v1 WHERE holder_type = $1), q AS (SELECT {_KEPT} FROM p) SELECT {_KEPT} FROM q"
+    return gated(spark, d, sql, "person").select("record_id")
+
+
+@query("q16_fingerprints", f"select v as view_name, sha256(concat('{{\"parameters\":[[1,\"text\",\"EUR\"]],\"sql\":\"SELECT {_KEPT} FROM agent_read.', v, ' WHERE record_id = :p1\",\"version\":\"1\"}}')) as fingerprint from (select unnest({_VIEWS}) as v)")
+def q16(spark, d):
+    mark = lambda v: gate.validate(spark, f"SELECT {_KEPT}\n  FROM agent_read.{v}   WHERE record_id = $1 ;", parameters("EUR")).fingerprint
+    return spark.createDataFrame([(v, mark(v)) for v in _VIEWS], "view_name string, fingerprint string")
+
+
+@query("w09_policy_over", "select concat('bank:', o_orderkey) as record_id, cast(sum(a) over (partition by o_custkey order by concat('bank:', o_orderkey) rows unbounded preceding) as bigint) as total, count(*) over (partition by o_custkey) as n from (select *, cast(cast(o_totalprice as decimal(18,2)) * 100 as bigint) as a from orders)")
+def w09(spark, d):
+    sql = f"SELECT {_KEPT}, sum(amount_minor) OVER (PARTITION BY debtor_iban ORDER BY record_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total, count(*) OVER (PARTITION BY debtor_iban) AS n FROM agent_read.transactions_v1"
+    return gated(spark, d, sql).select("record_id", "total", "n")
