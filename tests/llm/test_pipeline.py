@@ -50,3 +50,32 @@ def test_near_copies_from_four_fifths_on(spark, sf):
     words = [f"w{i}" for i in range(104)]
     rows = [(1, " ".join(words)), (2, " ".join([*words[:50], "x", *words[51:72], "y", *words[73:]]))]  # 90 of 110 shingles: 0.818
     assert [r.doc_id for r in P.drop_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()] == [1]
+
+
+def test_pipeline_on_awkward_rows(spark, sf):
+    """Nulls in every column, empty and repeated rows, clashing names; then no rows at all."""
+    import corpus_pipeline as P
+
+    long = "x" * 50_000
+    rows = [(1, "A quiet text of some words. " * 5, "en", "a", 1), (1, "A quiet text of some words. " * 5, "en", "a", 1), (2, None, None, None, None), (3, "", "en", "b", 0), (None, "No id here, but text. " * 4, None, "b", 9), (4, long, "de", None, 5)]
+    names = "size copies row source_size target key salt id _gone node rep set component_id kept was kinds score ids".split()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *[F.lit("own").alias(c) for c in names])
+    for some in (docs, docs.limit(0)):
+        at = some
+        for i, (_, stage) in enumerate(P.STAGES):
+            at = stage(spark, at, sf)
+            if i < len(P.STAGES) - 1:
+                assert at.columns == docs.columns and all(r[c] == "own" for r in at.collect() for c in names)
+        got = at.collect()
+        assert len(got) == 0 if some is not docs else {r.doc_id for r in got} <= {1, 2, 3, 4, None}
+
+
+def test_run_deletes_what_it_no_longer_needs(spark, sf):
+    import corpus_pipeline as P
+    from tracewell.llm import shared
+
+    before = len(shared.WRITTEN)
+    out = P.run(spark, sf)
+    assert len(shared.WRITTEN) - before == 1 and out.count() > 0
+    shared.drop_tables(spark, keep=before)
+    assert len(shared.WRITTEN) == before

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,6 +18,24 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.length(F.regexp_replace(F.regexp_replace(text, WORD, "x"), r"[\x20\x09-\x0D]+", "")), F.lit(0)).cast("long")
 
 
+def _summed(rows: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
+    """rows with before_n and before_<column>: how many rows, and the sums of columns, come before in an order without ties.
+
+    Each range of the order adds up its own rows; what the ranges before it have is one row for each range. So sources
+    may be as many as they like: no task holds them all.
+    """
+    dealt = cut(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    totals = sorted(map(tuple, dealt.groupBy("part").agg(F.count(F.lit(1)), *[F.sum(c) for c in sums]).collect()))
+    names, starts, held = ["n", *sums], [], [0] * (len(sums) + 1)
+    for part, *add in totals:
+        starts.append((part, *held))
+        held = [x + y for x, y in zip(held, add, strict=True)]
+    start = F.broadcast(rows.sparkSession.createDataFrame(starts, "part int" + "".join(f", start_{c} long" for c in names)))
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = {"n": F.count(F.lit(1)).over(inside)} | {c: F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums}
+    return dealt.join(start, "part").select(*rows.columns, *[(F.col(f"start_{c}") + own[c]).alias(f"before_{c}") for c in names])
+
+
 def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """source, source_size, target, rate for documents with source and size.
 
@@ -25,26 +43,24 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: i
     sizes; no target is above `most` times its source's size. The excess is shared by weight among the others until
     none is above, which is the level L with sum(min(most * size, L * weight)) = sum(size): sources are taken by
     most * size / weight, and the first whose prefix leaves a level at or below its own ratio ends the capped ones.
-    A source of size 0 gets target 0 and rate 0.
+    A source of size 0 gets target 0 and rate 0, and an empty table gives an empty result.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # One row per source from here on, never one per document.
-    turn = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))) - 1
-    per = per.withColumn("_weight", F.element_at(F.array(*map(F.lit, cycle)), (turn % len(cycle) + 1).cast("int")).cast("long"))
-    order = [F.col("source_size").cast("double") / F.col("_weight"), F.col("source").isNull(), F.col("source").cast("binary")]
-    before, every = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    per = per.withColumn("_capped", F.coalesce(F.sum("source_size").over(before), F.lit(0))).withColumn("_used", F.coalesce(F.sum("_weight").over(before), F.lit(0)))
-    total, weights = F.sum("source_size").over(every), F.sum("_weight").over(every)
-    per = per.withColumn("_left", total - most * F.col("_capped")).withColumn("_rest", weights - F.col("_used"))
-    ends = (F.col("_left") * F.col("_weight")).cast("double") <= (most * F.col("source_size") * F.col("_rest")).cast("double")
-    level = F.min(F.when(ends, F.struct(F.col("_used"), F.col("_left"), F.col("_rest")))).over(every)
-    per = per.withColumn("_level", level)
-    share = F.col("_level._left").cast("double") * F.col("_weight") / F.col("_level._rest")
+    per = cut(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    place = [F.col("source").isNull(), F.col("source").cast("binary")]
+    weight = F.element_at(F.array(*map(F.lit, cycle)), (F.col("before_n") % len(cycle) + 1).cast("int")).cast("long")
+    per = _summed(per, place, []).select("source", "source_size", weight.alias("weight"))
+    per = cut(_summed(per, [F.col("source_size").cast("double") / F.col("weight"), *place], ["source_size", "weight"]))
+    total, weights = per.agg(F.sum("source_size"), F.sum("weight")).first()
+    used, left, rest = F.col("before_weight"), F.lit(total or 0) - most * F.col("before_source_size"), F.lit(weights or 0) - F.col("before_weight")
+    ends = (left * F.col("weight")).cast("double") <= (most * F.col("source_size") * rest).cast("double")
+    # One row comes to the driver: where the capped sources end.
+    level = per.filter(ends).agg(F.min(F.struct(used.alias("used"), left.alias("left"), rest.alias("rest"))).alias("level")).first().level
     cap = (most * F.col("source_size")).cast("double")
-    target = F.when(F.col("_used") < F.col("_level._used"), cap).otherwise(F.least(cap, share))
-    per = per.withColumn("target", F.when(F.col("source_size") > 0, target).otherwise(F.lit(0.0)))
+    share = F.lit(level.left).cast("double") * F.col("weight") / F.lit(level.rest) if level else cap
+    target = F.when(used < F.lit(level.used), cap).otherwise(F.least(cap, share)) if level else cap
+    per = per.select("source", "source_size", F.when(F.col("source_size") > 0, target).otherwise(F.lit(0.0)).alias("target"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return per.withColumn("rate", F.least(rate, F.lit(float(most)))).select("source", "source_size", "target", "rate")
+    return per.withColumn("rate", F.least(rate, F.lit(float(most))))
 
 
 def copies(rate, doc_id, seed: int = 7):
