@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tracewell.llm import audio, bpe, pii, quality, queries, toxicity
@@ -153,11 +154,11 @@ class Plain:
         return self.put(m, self.digits("ssn", re.sub("[^0-9]", "", m)))
 
     def replaced(self, m):
-        kind = next((k for k in list(pii.PATTERNS)[:-1] if re.fullmatch(pii.PATTERNS[k], m)), "number")
+        kind = next((k for k in list(pii.PATTERNS)[:-1] if regex.fullmatch(pii.PATTERNS[k], m)), "number")
         return getattr(self, kind)(m)
 
     def text(self, text):
-        return re.sub(pii.ANY, lambda m: self.replaced(m[0]), text)
+        return regex.sub(pii.ANY, lambda m: self.replaced(m[0]), text)
 
 
 def test_op5(spark, con, sf):
@@ -167,7 +168,7 @@ def test_op5(spark, con, sf):
     assert len(got) == len(docs)
     for i, text in docs:
         assert got[i].text == (plain.text(text) if text is not None else None)
-        found = len([*re.finditer(pii.ANY, text or "")])
+        found = len([*regex.finditer(pii.ANY, text or "")])
         assert sum(got[i][f"n_{k}"] for k in pii.PATTERNS) == found
         changed += got[i].text != text
     assert changed > 5

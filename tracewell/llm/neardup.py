@@ -2,18 +2,19 @@
 
 1. Every row gets the hashes of its distinct word shingles, a 128-bit digest of that set and a MinHash signature. Rows
    with equal sets form a class; one member of each class goes on.
-2. Classes are posted under (coordinate, value) for the first half of the coordinates. A class that shares too few
-   posted pairs with others can have no link and leaves here (its postings are never merged).
+2. Classes are posted under (coordinate, value) for the first POSTED coordinates. A class that shares too few posted
+   pairs with others can have no link and leaves here (its postings are never merged).
 3. The survivors' postings under a prefix of the coordinates are kept: two signatures that agree in `t` of the posted
    coordinates agree in one of the first POSTED - t + 1. First each class meets only one leader: the class that heads
    most of its lists, which each list's most colliding class does. Leaders and members whose full sets are similar
    form stars, and lists that one component of stars fills alone are done, so a large group of copies costs one
    comparison each.
 4. What is left of the lists (two or more components) is merged in full, with skips: components already joined are not
-   compared again, and a list gives out a spanning forest of the pairs with enough equal coordinates, never all its
-   pairs. A list beyond LIST_BLOCK classes is posted again under a second coordinate, whose prefix keeps every pair.
-5. Where forests join components, full sets are compared: those outside the largest component with all, in blocks and
-   with the same skips. Links of leaders and of blocks give the components of the result.
+   compared again, and a list gives out a spanning forest of the pairs with enough of all coordinates equal, never all
+   its pairs. A list beyond LIST_BLOCK classes goes out in pairs of blocks; where one component is most of it, only the
+   others go to all blocks.
+5. Where forests join components, full sets are compared in the same way: in blocks of SET_BLOCK, with skips. Links of
+   leaders and of blocks give the components of the result.
 
 The thresholds are those that a pair at the least similarity misses with a probability of at most MISS each, given
 POSTED (for sharing) and COORDINATES (for matching) coordinates; `least_agreeing` computes them for any similarity.
@@ -32,9 +33,9 @@ from pyspark.sql import types as T
 
 from .shared import U64, arrow_map, components, cut, mix, small, text_pieces, words
 
-COORDINATES, POSTED, MISS = 64, 32, 1e-9
+COORDINATES, POSTED, MISS = 128, 32, 1e-9
 #: Classes in a block of a posting list, in a block of sets, and members that one copy of a leader's set is compared with.
-LIST_BLOCK, SET_BLOCK, CHUNK = 1024, 256, 256
+LIST_BLOCK, SET_BLOCK, CHUNK = 2048, 256, 256
 #: Ids are broadcast up to this number (16 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -69,7 +70,7 @@ def signature(s: np.ndarray) -> np.ndarray:
     out = np.full(COORDINATES, 0xFFFFFFFF, U64)
     for i in range(0, len(s), 4096):
         np.minimum(out, ((s[None, i : i + 4096] * _multiplier[:, None] + _offset[:, None]) >> U64(32)).min(1), out=out)
-    return out.astype(np.uint32).view(np.int32)
+    return out.astype(np.uint32)
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
@@ -80,19 +81,21 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (the set's digest), sig."""
+    """doc_id, n_shingles, h1, h2 (the set's digest), sig (the coordinates to post), fine (the low 16 bits of all coordinates, which can only agree more often)."""
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = []
         with np.errstate(over="ignore"):
             for _, s in shingle_sets(batch.column(1), size):
-                rows.append((len(s), *_digest(s), signature(s)))
-        n, h1, h2, sig = zip(*rows, strict=True) if rows else ((), (), (), ())
+                sig = signature(s)
+                rows.append((len(s), *_digest(s), sig[:POSTED].view(np.int32), sig.astype(np.uint16).tobytes()))
+        n, h1, h2, sig, fine = zip(*rows, strict=True) if rows else ((), (), (), (), ())
         flat = pa.array(np.concatenate(sig) if sig else np.zeros(0, np.int32))
-        sigs = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * COORDINATES), flat)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), sigs], ["doc_id", "n_shingles", "h1", "h2", "sig"])
+        sigs = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * POSTED), flat)
+        columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), sigs, pa.array(fine, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "h1", "h2", "sig", "fine"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), fn, "doc_id long, n_shingles long, h1 long, h2 long, sig array<int>")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), fn, "doc_id long, n_shingles long, h1 long, h2 long, sig array<int>, fine binary")
 
 
 def least_agreeing(percent: int, n: int, miss: float = MISS) -> int:
@@ -105,14 +108,15 @@ def least_agreeing(percent: int, n: int, miss: float = MISS) -> int:
     return n
 
 
-def joining(comp: np.ndarray, left: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Pairs (i, j) with linked(i, [j]) that join the components of n items as far as pairs with an i of `left` can.
+def joining(comp: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs (i, j) with linked(i, [j]) that join the components of n items as far as pairs can.
 
-    comp numbers the components from 0. linked(i, others) tells which of the others i is linked with; others of i's own
-    or of a joined component are never asked for, so at most one pair less than there are components comes out.
+    linked(i, others) tells which of the others i is linked with. Items of the largest component only are others, and
+    those of i's own or of a joined component are never asked for, so at most one pair less than there are components
+    comes out.
     """
-    name, pairs = np.arange(int(comp.max(initial=-1)) + 1), []
-    now = name[comp]
+    now = np.unique(comp, return_inverse=True)[1]
+    pairs, left = [], np.flatnonzero(now != np.bincount(now).argmax())
     for i in left.tolist():
         others = np.flatnonzero(now != now[i])
         if not len(others):
@@ -153,59 +157,47 @@ def _grouped(dealt: DataFrame, key: list[str], fn: Callable[[pa.Table], list[tup
     return dealt.mapInArrow(each, "a long, b long")
 
 
-def _against_largest(members: DataFrame, group: list[str], block: int) -> DataFrame:
-    """Rows (rep, comp, n, ...) of groups of two or more components, dealt to pairs of blocks: left, right, turn.
+def _in_blocks(members: DataFrame, group: list[str], block: int) -> DataFrame:
+    """members (rep, comp, ...) of groups of two or more components, with _places: the pairs of blocks (left, right) each row is dealt to.
 
-    Rows outside a group's largest component (minors) must meet all rows: as `left` (turn 0) they are dealt to blocks
-    of their own, each of which meets every block of all rows (`right`, turn 1). A group of one large component and a
-    few minors so costs one copy of each row, and a row is copied to as many blocks as its group has minor blocks.
+    Every two rows of different components meet in a pair of blocks. Where a component is most of a large group, rows
+    outside it (the left blocks) meet all rows (the right blocks), so a few of them cost one copy of each row; else
+    all blocks meet each other.
     """
     sizes = members.groupBy(*group, "comp").agg(F.count(F.lit(1)).alias("_c"))
     of = sizes.groupBy(*group).agg(F.sum("_c").alias("_all"), F.max(F.struct("_c", "comp")).alias("_top"), F.count(F.lit(1)).alias("_k")).filter("_k > 1")
-    whole = lambda c: F.greatest(F.lit(1), F.ceil(c / block)).cast("int")
-    of = of.select(*group, F.col("_top.comp").alias("_largest"), whole(F.col("_all")).alias("_rights"), whole(F.col("_all") - F.col("_top._c")).alias("_lefts"))
-    rows = members.join(of, group)
+    blocks = lambda c: F.ceil(c / block).cast("int")
+    few = (F.col("_all") > block) & (F.col("_top._c") * 2 > F.col("_all"))
+    of = of.select(*group, F.when(few, F.col("_top.comp")).alias("_largest"), blocks(F.col("_all")).alias("_rights"), blocks(F.col("_all") - F.col("_top._c")).alias("_lefts"), few.alias("_few"))
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    place = lambda left, right, turn: F.struct(left.alias("left"), right.alias("right"), F.lit(turn).alias("turn"))
-    as_right = F.transform(to("_lefts"), lambda b: place(b, own("_rights"), 1))
-    as_left = F.transform(to("_rights"), lambda b: place(own("_lefts"), b, 0))
-    return rows.withColumn("_places", F.when(F.col("comp") == F.col("_largest"), as_right).otherwise(F.concat(as_left, as_right))).drop("_largest", "_rights", "_lefts")
+    place = lambda left, right: F.struct(left.alias("left"), right.alias("right"))
+    right, left = F.transform(to("_lefts"), lambda b: place(b, own("_rights"))), F.transform(to("_rights"), lambda b: place(own("_lefts"), b))
+    each = F.transform(to("_rights"), lambda b: place(F.least(own("_rights"), b), F.greatest(own("_rights"), b)))
+    places = F.when(~F.col("_few"), each).when(F.col("comp") == F.col("_largest"), right).otherwise(F.concat(left, right))
+    return members.join(of, group).withColumn("_places", places).drop("_largest", "_rights", "_lefts", "_few")
 
 
 def _in_places(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_at", F.explode("_places")).select("*", "_at.*").drop("_places", "_at")
 
 
-def _numbers(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Components from 0, the minors' rows (left ones; a group has only rights where it is small), sizes."""
-    return np.unique(t["comp"].to_numpy(), return_inverse=True)[1], np.flatnonzero(t["turn"].to_numpy() == 0), t["n"].to_numpy()
-
-
 def _fits(n: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])
 
 
-def _candidates(posts: DataFrame, sigs: DataFrame, stars: DataFrame | None, percent: int, shared: int) -> DataFrame:
-    """Pairs (a, b) that join the components of the lists by enough equal coordinates. posts: pos, val, rep; sigs: rep, n, sig; stars: node, component."""
+def _candidates(posts: DataFrame, sigs: DataFrame, stars: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs (a, b) that join the components of the lists by enough equal coordinates. posts: pos, val, rep; sigs: rep, n, fine; stars: node, component."""
     least = least_agreeing(percent, COORDINATES)
-    posts = _with_components(posts, stars)
-    lists = posts.groupBy("pos", "val").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low <> _high").select("pos", "val", "m")
-    mixed = cut(posts.join(lists, ["pos", "val"]))
-    short = mixed.filter(F.col("m") <= LIST_BLOCK).drop("m").withColumns({"pos2": F.lit(-1), "val2": F.lit(0)}).join(sigs, "rep")
-    long = mixed.filter(F.col("m") > LIST_BLOCK).drop("m").join(sigs, "rep")
-    # A pair that agrees here agrees in shared - 1 of the other posted coordinates, so in one of this many of them.
-    second = F.slice(F.filter(F.sequence(F.lit(0), F.lit(POSTED - 1)), lambda c: c != F.col("pos")), 1, POSTED - shared + 1)
-    long = long.withColumn("pos2", F.explode(second)).withColumn("val2", F.element_at("sig", F.col("pos2") + 1))
-    columns, key = ["pos", "val", "pos2", "val2", "rep", "comp", "n", "sig"], ["pos", "val", "pos2", "val2"]
-    parts = short.select(*columns).unionByName(long.select(*columns))
+    dealt = cut(_in_blocks(_with_components(posts, stars), ["pos", "val"], LIST_BLOCK))
+    rows = _in_places(dealt).join(sigs, "rep")
 
     def fn(t: pa.Table) -> list[tuple[int, int]]:
-        comp, left, n = _numbers(t)
-        sig = t["sig"].combine_chunks().flatten().to_numpy().reshape(len(n), COORDINATES)
-        return joining(comp, left, lambda i, others: _fits(n, i, others, percent) & ((sig[others] == sig[i]).sum(1) >= least))
+        n = t["n"].to_numpy()
+        fine = np.frombuffer(b"".join(t["fine"].to_pylist()), np.uint16).reshape(len(n), COORDINATES)
+        return joining(t["comp"].to_numpy(), lambda i, others: _fits(n, i, others, percent) & ((fine[others] == fine[i]).sum(1) >= least))
 
-    return _grouped(_in_places(_against_largest(parts, key, LIST_BLOCK)), [*key, "left", "right"], fn)
+    return _grouped(rows.select("pos", "val", "left", "right", "rep", "comp", "n", "fine"), ["pos", "val", "left", "right"], fn)
 
 
 def _with_components(df: DataFrame, stars: DataFrame | None) -> DataFrame:
@@ -227,12 +219,12 @@ def _linked_sets(docs: DataFrame, near: DataFrame, stars: DataFrame | None, clas
     open_ = reached.join(near.select(F.col("a").alias("node")).distinct(), "node").select("component").distinct()
     members = reached.join(F.broadcast(open_) if small(open_, BROADCAST_IDS) else open_, "component").select(F.col("node").alias("rep"), F.col("component").alias("group"))
     sizes = classes.select(F.col("node").alias("rep"), F.col("rep").alias("id"), "h1", "h2", "n")
-    members = cut(_against_largest(_with_components(members, stars).join(sizes, "rep"), ["group"], SET_BLOCK))
+    members = cut(_in_blocks(_with_components(members, stars).join(sizes, "rep"), ["group"], SET_BLOCK))
     sets = _sets(docs, members.select(F.col("rep").alias("node"), F.col("id").alias("rep"), "h1", "h2"), size)
     rows = sets.select(F.col("node").alias("rep"), "set").join(members.select("rep", "group", "comp", "n", "_places"), "rep")
 
     def fn(t: pa.Table) -> list[tuple[int, int]]:
-        comp, left, n = _numbers(t)
+        n = t["n"].to_numpy()
         found = [np.frombuffer(x.as_buffer(), U64) for x in t["set"]]
         place = np.unique(np.concatenate(found), return_inverse=True)[1]
         at = np.append(0, np.cumsum([len(x) for x in found]))
@@ -248,7 +240,7 @@ def _linked_sets(docs: DataFrame, near: DataFrame, stars: DataFrame | None, clas
             mark[place[at[i] : at[i + 1]]] = False
             return out
 
-        return joining(comp, left, similar)
+        return joining(t["comp"].to_numpy(), similar)
 
     return cut(_grouped(_in_places(rows), ["group", "left", "right"], fn))
 
@@ -310,18 +302,18 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: i
 
 
 def _classes(base: DataFrame) -> DataFrame:
-    """node, rep, h1, h2, n, sig of each class of equal sets; rep is its smallest doc_id and node its name.
+    """node, rep, h1, h2, n, sig, fine of each class of equal sets; rep is its smallest doc_id and node its name.
 
     The name is the smallest id. Only where an id is the smallest of two classes (rows that share an id and not a
     text) the name is a hash of the digest, made negative.
     """
-    reps = base.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
+    reps = base.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("fine").alias("fine"), F.first("n_shingles").alias("n"))
     reps = cut(reps)
     twice = reps.groupBy("rep").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("rep", F.lit(True).alias("_twice"))
     if twice.isEmpty():
-        return reps.select(F.col("rep").alias("node"), "rep", "h1", "h2", "n", "sig")
+        return reps.select(F.col("rep").alias("node"), "rep", "h1", "h2", "n", "sig", "fine")
     node = F.when(F.col("_twice"), -1 - F.shiftrightunsigned(F.xxhash64("h1", "h2"), 1)).otherwise(F.col("rep"))
-    return cut(reps.join(twice, "rep", "left").select(node.alias("node"), "rep", "h1", "h2", "n", "sig"))
+    return cut(reps.join(twice, "rep", "left").select(node.alias("node"), "rep", "h1", "h2", "n", "sig", "fine"))
 
 
 def _labelled(docs: DataFrame, percent: int, size: int) -> DataFrame:
@@ -333,7 +325,7 @@ def _labelled(docs: DataFrame, percent: int, size: int) -> DataFrame:
     classes = _classes(base)
     shared = least_agreeing(percent, POSTED)
     keys = classes.select("node", "rep", "h1", "h2")
-    posts = classes.select("node", F.posexplode(F.slice("sig", 1, POSTED)).alias("pos", "val"))
+    posts = classes.select("node", F.posexplode("sig").alias("pos", "val"))
     lists = posts.groupBy("pos", "val").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     live = cut(posts.join(lists, ["pos", "val"]).withColumnRenamed("node", "rep"))
     alive = live.groupBy("rep").agg(F.count(F.lit(1)).alias("_c"), F.sum("m").alias("collisions")).filter(F.col("_c") >= shared).select("rep", "collisions")
@@ -348,7 +340,7 @@ def _labelled(docs: DataFrame, percent: int, size: int) -> DataFrame:
     led = led.groupBy("rep").agg(F.max_by("a", F.struct("_c", -F.col("a"))).alias("a")).select("a", F.col("rep").alias("b"))
     links = _confirmed(docs, led, keys, percent, size)
     stars = components(links) if links is not None else None
-    near = _candidates(posts.select("pos", "val", "rep"), classes.select(F.col("node").alias("rep"), "n", "sig"), stars, percent, shared)
+    near = _candidates(posts.select("pos", "val", "rep"), classes.select(F.col("node").alias("rep"), "n", "fine"), stars, percent)
     more = _linked_sets(docs, near, stars, classes, percent, size)
     linked = stars if more is None else components(more if links is None else links.unionByName(more))
 
