@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,16 +70,19 @@ class _Plan:
         self.vocabulary = sorted({w for ws in words.values() for w in ws})
         self.least = {label: max(1, -int(-threshold * len(ws) // 1)) for label, ws in words.items()}
         self.width = {label: -(-5 * len(_words(t)) // 4) for label, t in templates.items()}
-        low = docs.filter("doc_id is not null").select("doc_id", F.translate("text", _UPPER, _LOWER).alias("low"))
+        texts = docs.filter("doc_id is not null").select("doc_id", F.translate("text", _UPPER, _LOWER).alias("low"))
+        common = F.array_intersect(F.split("low", SEPARATORS), self.these(self.vocabulary))
+        held = cut(texts.select("doc_id", common.alias("words")).filter(F.size("words") >= min(self.least.values())))
         # At most one row for each word of the templates comes to the driver.
-        held = low.select(F.explode(F.array_intersect(F.split("low", SEPARATORS), self.these(self.vocabulary))).alias("w"))
-        counts = {r.w: r["count"] for r in held.groupBy("w").count().collect()}
+        counts = {r.w: r["count"] for r in held.select(F.explode("words").alias("w")).groupBy("w").count().collect()}
         self.order = {w: i for i, w in enumerate(sorted(self.vocabulary, key=lambda w: (counts.get(w, 0), w)))}
         self.ranked = {label: sorted(ws, key=self.order.__getitem__) for label, ws in words.items()}
         self.first = {label: ws[: len(ws) - self.least[label] + 1] for label, ws in self.ranked.items()}
-        #: A search for the words that a block with enough of a template must hold one of; the boundaries let more through, never less.
         self.search = rf"(?<![a-z0-9])(?:{'|'.join(sorted({w for ws in self.first.values() for w in ws}))})(?![a-z0-9])"
-        self.passed = cut(low.filter(F.col("low").rlike(self.search)))
+        # What a block must hold its text must: one of a template's first words, and enough of all.
+        can = [F.arrays_overlap("words", self.these(self.first[x])) & (F.size(F.array_intersect("words", self.these(ws))) >= self.least[x]) for x, ws in self.ranked.items()]
+        able = cut(held.filter(reduce(Column.__or__, can)).select("doc_id").distinct())
+        self.passed = cut(texts.join(F.broadcast(able) if small(able, BROADCAST_ROWS) else able, "doc_id", "left_semi"))
 
     @staticmethod
     def these(words: list[str]) -> Column:
@@ -113,21 +118,23 @@ def template_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thre
 def wrapped_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.9, plan: _Plan | None = None) -> DataFrame:
     """doc_id, label, containment (the largest) where a window of a text's words, whatever its lines, holds at least `threshold` of a template's distinct words.
 
-    A window has a quarter more words than its template, so that the leaders of comment lines have room. Texts pass the
-    same search for a template's first words as lines do, and each that passes is worked on by itself, without a shuffle.
+    A window has a quarter more words than its template, so that the leaders of comment lines have room. One that meets
+    the threshold holds one of the template's first words, so only what lies around those is looked at, and first
+    whether it has enough of the template's words at all.
     """
     plan = plan or _Plan(docs, templates, threshold)
-    rows = [F.struct(F.lit(label).alias("label"), plan.these(ws).alias("template"), F.lit(plan.least[label]).alias("least"), F.lit(plan.width[label]).alias("width")) for label, ws in plan.ranked.items()]
-    passed = plan.passed.filter(F.col("low").contains("\n"))
-    common = passed.select("doc_id", "low", F.array_intersect(F.split("low", SEPARATORS), plan.these(plan.vocabulary)).alias("common"))
-    meets = lambda t: F.size(F.array_intersect(t["template"], F.col("common"))) >= t["least"]
-    found = common.select("doc_id", "low", F.explode(F.filter(F.array(*rows), meets)).alias("t")).select("doc_id", "low", "t.*")
-    words = F.transform(F.split("low", SEPARATORS), lambda w, i: F.struct(i.alias("at"), w.alias("w")))
-    hits = found.withColumn("hits", F.filter(words, lambda x: F.array_contains("template", x["w"]))).drop("low")
-    # A window holds at most as many hits as words, so each hit looks at no more than `width` of them.
-    near = lambda h, i: F.filter(F.slice("hits", i + 1, F.col("width")), lambda x: x["at"] < h["at"] + F.col("width"))
-    most = F.array_max(F.transform("hits", lambda h, i: F.size(F.array_distinct(F.transform(near(h, i), lambda x: x["w"])))))
-    return hits.select("doc_id", "label", most.alias("most"), "least", F.size("template").alias("n")).filter("most >= least").select("doc_id", "label", (F.col("most") / F.col("n")).alias("containment"))
+    span = max(plan.width.values())
+    index = [(w, label, plan.least[label], plan.width[label], ws) for label, ws in plan.ranked.items() for w in plan.first[label]]
+    rows = docs.sparkSession.createDataFrame(index, "w string, label string, least int, width int, template array<string>")
+    words = plan.passed.filter(F.col("low").contains("\n")).select("doc_id", F.split("low", SEPARATORS).alias("words"))
+    places = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("w"))), lambda x: x["w"].isin(sorted({x[0] for x in index})))
+    around = F.transform(places, lambda x: F.struct(x["w"].alias("w"), F.slice("words", F.greatest(x["at"] - (span - 2), F.lit(1)), F.lit(2 * span - 1)).alias("near")))
+    found = words.select("doc_id", F.explode(around).alias("x")).select("doc_id", "x.*").join(F.broadcast(rows), "w")
+    held = lambda part: F.size(F.array_intersect("template", part))
+    found = found.filter(held(F.col("near")) >= F.col("least"))
+    most = F.array_max(F.transform(F.sequence(F.lit(1), F.size("near")), lambda j: held(F.slice("near", j, F.col("width")))))
+    best = found.select("doc_id", "label", most.alias("most"), "least", F.size("template").alias("n")).filter("most >= least")
+    return best.groupBy("doc_id", "label").agg(F.max(F.col("most") / F.col("n")).alias("containment"))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.9) -> DataFrame:
