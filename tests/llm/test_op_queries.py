@@ -259,7 +259,7 @@ def test_word_vectors_and_pooling(spark):
 def test_network_and_temperature():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(600, 6))
-    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    y = (x[:, 0] + np.abs(x[:, 1]) > 0.7).astype(float)
     model = quality.fit_network(x, y)
     assert ((quality.predict(model, x) >= 0.5) == y).mean() > 0.9
     z = np.clip((x[7] - model["mean"]) / model["spread"], -8, 8)

@@ -20,6 +20,8 @@ from .shared import LOWER, U64, arrow_map, cut, hash_runs, held, mix, runs, text
 BUCKETS, DIM, NONZERO, REACH = 8192, 32, 4, 2
 #: At most so many labelled documents (those with the smallest hashes of their ids) are fitted on.
 SAMPLE, HIDDEN, EPOCHS = 12_000, 24, 60
+#: A small sample is gone through more often, for at least so many steps.
+BATCH, STEPS = 128, 2000
 
 # Kinds of bytes: letters (and all beyond ASCII), digits, other signs; white space parts tokens, a line's end is a token.
 KIND = np.full(256, 3, np.uint8)
@@ -112,13 +114,15 @@ def fit_network(x: np.ndarray, y: np.ndarray, seed: int = 5) -> dict[str, np.nda
     out, fit = order[: max(1, len(z) // 5)], order[max(1, len(z) // 5) :]
     p = [rng.normal(0, np.sqrt(2 / x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.1, HIDDEN), np.zeros(())]
     m, v, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
-    for epoch in range(EPOCHS):
-        for i in np.array_split(rng.permutation(fit), max(1, len(fit) // 128)):
+    batches = max(1, len(fit) // BATCH)
+    epochs = max(EPOCHS, -(-STEPS // batches))
+    for epoch in range(epochs):
+        for i in np.array_split(rng.permutation(fit), batches):
             h = np.maximum(0, z[i] @ p[0] + p[1])
             g = (1 / (1 + np.exp(-np.clip(h @ p[2] + p[3], -30, 30))) - y[i]) / max(1, len(i))
             back = np.outer(g, p[2]) * (h > 0)
             grads, step = [z[i].T @ back + 1e-4 * p[0], back.sum(0), h.T @ g + 1e-4 * p[2], g.sum()], step + 1
-            for a, (grad, rate) in enumerate(zip(grads, [0.004 * (1 - epoch / EPOCHS) + 1e-4] * 4, strict=True)):
+            for a, (grad, rate) in enumerate(zip(grads, [0.004 * (1 - epoch / epochs) + 1e-4] * 4, strict=True)):
                 m[a], v[a] = 0.9 * m[a] + 0.1 * grad, 0.999 * v[a] + 0.001 * grad**2
                 p[a] = p[a] - rate * (m[a] / (1 - 0.9**step)) / (np.sqrt(v[a] / (1 - 0.999**step)) + 1e-8)
     logit = np.maximum(0, z[out] @ p[0] + p[1]) @ p[2] + p[3]
