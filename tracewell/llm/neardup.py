@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -301,6 +302,13 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: i
     return cut(rows.repartition(*key).sortWithinPartitions(*key, "turn").mapInArrow(each, "a long, b long"))
 
 
+def _stars(links: DataFrame) -> DataFrame:
+    """node, component: each leader and each member that leads none, under the leader. A part of the components, for what is already joined."""
+    heads = links.select(F.col("a").alias("node")).distinct()
+    members = links.select(F.col("b").alias("node"), F.col("a").alias("component")).join(heads, "node", "left_anti")
+    return cut(members.unionByName(heads.withColumn("component", F.col("node"))))
+
+
 def _classes(base: DataFrame) -> DataFrame:
     """node, rep, h1, h2, n, sig, fine of each class of equal sets; rep is its smallest doc_id and node its name.
 
@@ -339,10 +347,11 @@ def _labelled(docs: DataFrame, percent: int, size: int) -> DataFrame:
     led = posts.join(heads, ["pos", "val"]).filter("a <> rep").groupBy("rep", "a").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= max(1, (POSTED - shared + 1) // 3))
     led = led.groupBy("rep").agg(F.max_by("a", F.struct("_c", -F.col("a"))).alias("a")).select("a", F.col("rep").alias("b"))
     links = _confirmed(docs, led, keys, percent, size)
-    stars = components(links) if links is not None else None
+    stars = _stars(links) if links is not None else None
     near = _candidates(posts.select("pos", "val", "rep"), classes.select(F.col("node").alias("rep"), "n", "fine"), stars, percent)
     more = _linked_sets(docs, near, stars, classes, percent, size)
-    linked = stars if more is None else components(more if links is None else links.unionByName(more))
+    edges = [df for df in (links, more) if df is not None]
+    linked = components(reduce(DataFrame.unionByName, edges)) if edges else None
 
     # A component is named by its smallest id; its nodes are that but for the hashed ones.
     named = keys.withColumn("component", F.col("node")) if linked is None else keys.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
