@@ -16,6 +16,8 @@ QUERIES = {
     "op8_license_scan": ("licenses", "OP8_SQL"),
     "op9_bpe": ("bpe", None),
     "op10_html_extraction": ("pages", None),
+    "op11_tokenizer_alignment": ("alignment", None),
+    "op12_binary_ids": ("binary", None),
 }
 
 
