@@ -18,6 +18,7 @@ QUERIES = {
     "op10_html_extraction": ("pages", None),
     "op11_tokenizer_alignment": ("alignment", None),
     "op12_binary_ids": ("binary", None),
+    "op13_collocations": ("phrases", "OP13_SQL"),
 }
 
 

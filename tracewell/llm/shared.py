@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,8 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Tables that this process has written by `cut` and not dropped, oldest first.
-WRITTEN: list[str] = []
+class Written(threading.local):
+    """Tables that this thread has written by `cut` and not dropped, oldest first: work in other threads has lists of its own."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __len__(self) -> int:
+        return len(self.paths)
+
+
+WRITTEN = Written()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,17 +48,17 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    WRITTEN.append(path)
+    WRITTEN.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_tables(spark: SparkSession, keep: int = 0, last: int = 0) -> None:
-    """Delete the tables that `cut` wrote, but for the first `keep` and the `last` of them. Nothing may still read them."""
-    gone = WRITTEN[keep : len(WRITTEN) - last]
+    """Delete the tables that `cut` wrote in this thread, but for the first `keep` and the `last` of them. Nothing may still read them."""
+    gone = WRITTEN.paths[keep : len(WRITTEN) - last]
     for path in gone:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        WRITTEN.remove(path)
+        WRITTEN.paths.remove(path)
 
 
 def small(df: DataFrame, limit: int) -> bool:
@@ -139,6 +149,22 @@ def hash_runs(data: np.ndarray, at: np.ndarray, first: np.ndarray, lens: np.ndar
     return mix(np.add.reduceat(terms, first) + lens.astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+_weights: dict[int, np.ndarray] = {}
+
+
+def strong_hashes(data: np.ndarray, at: np.ndarray, first: np.ndarray, lens: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each run that no structure of the bytes defeats: every byte counts by a number mixed
+    from it, times an odd number mixed from its place, so there is no base whose powers could cancel out."""
+    if not len(first):
+        return np.zeros(0, U64)
+    n = int(lens.max())
+    if len(_weights.get(seed, ())) < n:
+        _weights[seed] = mix(np.arange(1, 2 * n + 256, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed)) | U64(1)
+    signs = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95) + U64(seed))
+    within = np.arange(len(at)) - np.repeat(first, lens)
+    return mix(np.add.reduceat(signs[data[at]] * _weights[seed][within], first) + lens.astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of each word: the runs of anything but white space, A-Z lower-cased."""
     low = LOWER[data]
