@@ -14,6 +14,7 @@ and a line feed ends it, as Spark's own writer of byte strings puts one there. B
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shared import cut, runs_of_rows, shared_dir, table
-from .units import KEPT_SIGNS, Side, byte_level, public_file, unit_pattern
+from .units import Side, byte_level, public_file
 
 MAGIC, NULL_ID = b"TWID", -(1 << 63)
 _HEAD = struct.Struct("<4sHHIIIQIQI")
@@ -59,11 +60,12 @@ def unpacked(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
 def image(part: int, block: int, doc_ids: list[int | None], docs: list[np.ndarray]) -> bytes:
     """A block of documents' ids, without the line feed."""
     flat = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-    known, inverse, times = np.unique(flat, return_inverse=True, return_counts=True)
-    order = np.argsort(-times, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    control, data = packed(rank[inverse])
+    times = np.bincount(flat)  # ids are below the vocabulary's size
+    known = np.flatnonzero(times)
+    order = np.argsort(-times[known], kind="stable")
+    rank = np.zeros(len(times), np.int64)
+    rank[known[order]] = np.arange(len(order))
+    control, data = packed(rank[flat])
     ids = np.array([NULL_ID if d is None else d for d in doc_ids], "<i8")
     body = b"".join([ids.tobytes(), np.array([len(d) for d in docs], "<u4").tobytes(), known[order].astype("<u4").tobytes(), control, data])
     return _HEAD.pack(MAGIC, 1, 0, part, block, len(docs), len(flat), len(known), len(data), zlib.crc32(body)) + body
@@ -86,39 +88,19 @@ def images(content: bytes) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, n
 
 
 class Encoder:
-    """Ids of whole texts, each different unit encoded once; strings of special tokens are those tokens."""
+    """Ids of whole texts; strings of special tokens are those tokens."""
 
     def __init__(self, side: Side) -> None:
-        import re
-
-        self.side, self.pattern = side, unit_pattern(side.starts)
+        self.side = side
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(side.special, key=len, reverse=True))) + ")") if side.special else None
-        self.forget()
-
-    def forget(self) -> None:
-        self.places: dict[str, int] = {}
-        self.signs, self.ids, self.starts = 0, np.zeros(0, np.int64), np.zeros(1, np.int64)
-
-    def _units(self, text: str) -> list[str]:
-        if not self.specials or not self.specials.search(text):
-            return self.pattern.findall(text)
-        return [u for k, p in enumerate(self.specials.split(text)) for u in ([p] if k % 2 else self.pattern.findall(p))]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.signs > KEPT_SIGNS:
-            self.forget()
-        units = [self._units(t or "") for t in texts]
-        new = sorted(set().union(*units) - self.places.keys(), key=lambda u: not self.side.joint(u))
-        if new:
-            ids, counts, _ = self.side.split(new)
-            self.ids, self.starts = np.append(self.ids, ids), np.append(self.starts, self.starts[-1] + np.cumsum(counts))
-            self.places.update(zip(new, range(len(self.places), len(self.places) + len(new)), strict=True))
-            self.signs += sum(map(len, new))
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        parts = [self.specials.split(t or "") if self.specials else [t or ""] for t in texts]
+        found = iter(self.side.encode([p for text in parts for p in text[::2]]))
         out = []
-        for u in units:
-            at = np.fromiter(map(self.places.__getitem__, u), np.int64, len(u))
-            low, size = self.starts[at], self.starts[at + 1] - self.starts[at]
-            out.append(self.ids[np.repeat(low - np.cumsum(size) + size, size) + np.arange(int(size.sum()))])
+        for text in parts:
+            ids = np.concatenate([np.array([self.side.special[p]] if k % 2 else next(found), np.int64) for k, p in enumerate(text)])
+            out.append(ids)
         return out
 
 

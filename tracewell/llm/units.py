@@ -7,6 +7,7 @@ as they encode its units one after another. What the two vocabularies allow is r
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable
@@ -79,6 +80,27 @@ class Side:
         return np.concatenate(ids), np.concatenate(counts), np.concatenate(ok)
 
 
+#: Fixed value: the words of byte-level tokenizers.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space so long that the quick encoder's patterns would overflow; the library encodes such texts.
+LONG_BLANK = re.compile(r"\s{4096}")
+
+
+def _quick_bytes(path: str, pieces: list[bytes], added: set[int]) -> Callable[[str], list[int]] | None:
+    """The same encoding of plain text by the tiktoken library, which takes ids for ranks: only for a vocabulary whose merges make
+    ids in ascending order, over all single bytes, with the usual words."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    merges = [spec["model"]["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+    ranks = {p: i for i, p in enumerate(pieces) if p and i not in added}
+    usual = (spec.get("pre_tokenizer") or {}).items() >= {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}.items() and not spec.get("normalizer")
+    if not usual or merges != sorted(merges) or not {bytes([b]) for b in range(256)} <= ranks.keys() or len(ranks) != len(pieces) - len(added):
+        return None
+    import tiktoken
+
+    return tiktoken.Encoding("bytes", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 @lru_cache(maxsize=2)
 def byte_level(path: str, plain: bool = True) -> Side:
     """A byte-level BPE in a file of the tokenizers library; plain: strings of special tokens are text."""
@@ -93,8 +115,15 @@ def byte_level(path: str, plain: bool = True) -> Side:
     shown = [added.get(i) or t.id_to_token(i) or "" for i in range(max([t.get_vocab_size() - 1, *added]) + 1)]
     pieces = [s.encode() if i in added else bytes(place[c] for c in s) for i, s in enumerate(shown)]
     special = {} if plain else {v: k for k, v in added.items()}
+    quick = _quick_bytes(path, pieces, set(added))
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        slow = [quick is None or LONG_BLANK.search(x) is not None for x in texts]
+        by_library = iter(t.encode_batch([x for x, s in zip(texts, slow, strict=True) if s], add_special_tokens=False))
+        return [next(by_library).ids if s else quick(x) for x, s in zip(texts, slow, strict=True)]
+
     # The pattern of byte-level tokenizers takes a white space at a word's front, never at its end.
-    return Side(lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)], pieces, " \n\t", special)
+    return Side(encode, pieces, " \n\t", special)
 
 
 @lru_cache(maxsize=2)
