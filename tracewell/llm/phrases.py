@@ -31,8 +31,9 @@ BLANKS[[32, 9]] = True
 
 #: Bits of a sketch's places, and what a round broadcasts at most (about nine bytes a key).
 SKETCH_BITS, ROUND_KEYS = 27, 1 << 23
-#: Places or slots in a row that tasks send, keys in a shard of the hash, rows summed at once, places a task gathers first.
-CHUNK, SLOTS, SHARD_KEYS, FAN, GATHERED = 1 << 18, 1 << 13, 1 << 15, 64, 1 << 22
+#: Places or slots in a row that tasks send, bits of a shard of candidates, rows added at once, phrases or slots a task gathers first,
+#: places of a sketch that it gathers, and keys that it remembers to have sent.
+CHUNK, SLOTS, SHARD_BITS, FAN, GATHERED, PLACES, SENT = 1 << 18, 1 << 13, 9, 64, 1 << 18, 1 << 20, 1 << 21
 
 
 class Words:
@@ -126,13 +127,12 @@ def passing(w: Words, sketches: dict[int, Sketch], n: int) -> tuple[np.ndarray,
     return out
 
 
-def tree_sum(rows: DataFrame, tasks: int, add: Callable[[list[dict]], dict], schema: str, keys: list[str]) -> DataFrame:
-    """Rows (keys, task, ...) of one key summed FAN tasks at a time, level by level, until one row a key is left."""
+def tree_sum(rows: DataFrame, tasks: int, add: Callable[[pa.Table], dict], schema: str, keys: list[str]) -> DataFrame:
+    """Rows (keys, task, ...) of one key added FAN tasks at a time, level by level, until one row a key is left."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def fn(t: pa.Table) -> pa.Table:
-        got = t.to_pylist()
-        out = {k: got[0][k] for k in [*keys, "task"]} | add(got)
+        out = {k: t[k][0].as_py() for k in [*keys, "task"]} | add(t)
         out["task"] //= FAN
         return pa.table({n: pa.array([out[n]], t.schema.field(n).type) for n in names})
 
@@ -160,7 +160,7 @@ def sketched(docs: DataFrame, levels: list[int], known: dict[int, Sketch], min_c
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, words = TaskContext.get().partitionId(), {}
         waiting: dict[int, list[np.ndarray]] = {n: [] for n in levels}
-        merged = {n: (np.zeros(0, np.int64), np.zeros(0, np.uint8)) for n in levels}
+        merged = {n: (np.zeros(0, np.uint32), np.zeros(0, np.uint8)) for n in levels}
 
         def gather(n: int) -> None:
             if waiting[n]:
@@ -186,10 +186,10 @@ def sketched(docs: DataFrame, levels: list[int], known: dict[int, Sketch], min_c
                     for i, c in enumerate(np.bincount(at[w.row], minlength=len(names)).tolist()):
                         words[names[i]] = words.get(names[i], 0) + c
                 for n in levels:
-                    waiting[n].append((passing(w, held.value, n)[1] >> U64(64 - bits)).astype(np.int64))
-                    if sum(map(len, waiting[n])) > GATHERED:
+                    waiting[n].append((passing(w, held.value, n)[1] >> U64(64 - bits)).astype(np.uint32))
+                    if sum(map(len, waiting[n])) > PLACES:
                         gather(n)
-                        if len(merged[n][0]) > GATHERED:
+                        if len(merged[n][0]) > PLACES:
                             yield from rows(n)
         for n in levels:
             gather(n)
@@ -198,8 +198,8 @@ def sketched(docs: DataFrame, levels: list[int], known: dict[int, Sketch], min_c
             m = len(words)
             yield pa.RecordBatch.from_arrays([*[pa.nulls(m, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())], pa.array([*words], pa.string()), pa.array([*words.values()], pa.int64())], names=["level", "chunk", "task", "places", "counts", "lang", "words"])
 
-    def add(got: list[dict]) -> dict:
-        places, counts = _merged(np.concatenate([np.frombuffer(r["places"], "<u4") for r in got]), np.concatenate([np.frombuffer(r["counts"], np.uint8) for r in got]), min_count)
+    def add(t: pa.Table) -> dict:
+        places, counts = _merged(np.frombuffer(b"".join(t["places"].to_pylist()), "<u4"), np.frombuffer(b"".join(t["counts"].to_pylist()), np.uint8), min_count)
         return {"places": places.astype("<u4").tobytes(), "counts": counts.tobytes()}
 
     def frequent(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -212,6 +212,7 @@ def sketched(docs: DataFrame, levels: list[int], known: dict[int, Sketch], min_c
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["level", "chunk", "bits"])
 
     stored = cut(docs.mapInArrow(fill, schema))
+    held.unpersist()
     sums = tree_sum(stored.filter("chunk is not null").drop("lang", "words"), docs.rdd.getNumPartitions(), add, "level int, chunk int, task int, places binary, counts binary", ["level", "chunk"])
     packed = {n: np.zeros(max(1, (1 << bits) >> 3), np.uint8) for n in levels}
     size = CHUNK >> 3
@@ -223,37 +224,78 @@ def sketched(docs: DataFrame, levels: list[int], known: dict[int, Sketch], min_c
 
 
 def candidates(docs: DataFrame, sketches: dict[int, Sketch], longest: int) -> DataFrame:
-    """(lang, phrase, key, key2), each different phrase that passes with all its parts once."""
+    """(shard, task, keys, langs, phrases): each different phrase that passes with all its parts once, one row a shard."""
     held = docs.sparkSession.sparkContext.broadcast(sketches)
+    names = ["shard", "task", "keys", "langs", "phrases"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [np.zeros(0, U64)] * 2
+        task, waiting, size = TaskContext.get().partitionId(), [], 0
+        sent = np.zeros(SENT, U64)  # a key at its place was sent lately; one that another has driven out is sent again
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            key = np.concatenate([x[0] for x in waiting])
+            order, cuts = _by_shard(key)
+            lang, phrase = (pa.chunked_array([x[i] for x in waiting], pa.string()).combine_chunks().take(pa.array(order)) for i in (1, 2))
+            every = np.flatnonzero(np.diff(cuts))
+            for shards in (every[i : i + 64] for i in range(0, len(every), 64)):
+                ends = pa.array(np.append(cuts[shards], cuts[shards[-1] + 1]).astype(np.int32))
+                packed = [key[order[cuts[i] : cuts[i + 1]]].tobytes() for i in shards]
+                yield pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), pa.array(np.full(len(shards), task, np.int32)), pa.array(packed, pa.binary()), *[pa.ListArray.from_arrays(ends, x) for x in (lang, phrase)]], names)
+
         for batch in batches:
-            for w, names, at in word_pieces(batch):
+            for w, known, at in word_pieces(batch):
                 for n in range(1, longest + 1):
-                    first, key, key2 = passing(w, held.value, n)
-                    new = np.unique(key, return_index=True)[1]
-                    # What this task has sent lately is not sent again; what it has forgotten is.
-                    old = seen[0]
-                    if len(old):
-                        i = np.minimum(np.searchsorted(old, key[new]), len(old) - 1)
-                        new = new[old[i] != key[new]]
-                    if not len(new):
-                        continue
-                    seen[1] = np.append(seen[1], key[new])
-                    if len(seen[1]) > 1 << 18:
-                        seen = [np.unique(np.append(seen[0] if len(seen[0]) < GATHERED else seen[0][:0], seen[1])), np.zeros(0, U64)]
-                    names_of = pa.DictionaryArray.from_arrays(pa.array(at[w.row[first[new]]].astype(np.int32)), pa.array(names, pa.string())).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([names_of, pa.array(w.text(first[new], n), pa.binary()).cast(pa.string()), pa.array(key[new].view(np.int64)), pa.array(key2[new].view(np.int64))], ["lang", "phrase", "key", "key2"])
-
-    return docs.mapInArrow(find, "lang string, phrase string, key long, key2 long").distinct()
+                    first, key, _ = passing(w, held.value, n)
+                    new = np.flatnonzero(sent[(key % U64(SENT)).astype(np.int64)] != key)
+                    new = new[np.unique(key[new], return_index=True)[1]]
+                    if len(new):
+                        sent[(key[new] % U64(SENT)).astype(np.int64)] = key[new]
+                        lang = pa.DictionaryArray.from_arrays(pa.array(at[w.row[first[new]]].astype(np.int32)), pa.array(known, pa.string())).cast(pa.string())
+                        waiting.append((key[new], lang, pa.array(w.text(first[new], n), pa.binary()).cast(pa.string())))
+                        size += len(new)
+                if size > GATHERED:
+                    yield from rows()
+                    waiting.clear()
+                    size = 0
+        if size:
+            yield from rows()
+
+    def add(t: pa.Table) -> dict:
+        """Of rows of one shard each key once."""
+        key = np.frombuffer(b"".join(t["keys"].to_pylist()), U64)
+        first = np.unique(key, return_index=True)[1]
+        lang, phrase = (t[c].combine_chunks().flatten().take(pa.array(first)) for c in ("langs", "phrases"))
+        return {"keys": key[first].tobytes(), "langs": lang, "phrases": phrase}
+
+    schema = "shard int, task int, keys binary, langs array<string>, phrases array<string>"
+    out = cut(tree_sum(docs.mapInArrow(find, schema), docs.rdd.getNumPartitions(), add, schema, ["shard"]))
+    held.unpersist()
+    return out
+
+
+def _by_shard(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of shards, the keys' highest bits, and where each shard begins."""
+    shard = (key >> U64(64 - SHARD_BITS)).astype(np.int64)
+    return np.argsort(shard, kind="stable"), np.append(0, np.cumsum(np.bincount(shard, minlength=1 << SHARD_BITS)))
+
+
+def phrase_rows(batch: pa.RecordBatch, langs: int, phrases: int) -> Iterator[tuple[Words, pa.Array, pa.Array, np.ndarray, np.ndarray]]:
+    """The phrases of a shard's row, some half MB at a time: their words, languages, texts, numbers of words and last words."""
+    for i in range(batch.num_rows):
+        lang, phrase = batch.column(langs).slice(i, 1).flatten(), batch.column(phrases).slice(i, 1).flatten()
+        _, _, languages = languages_of(lang)
+        for x, data, offsets in text_pieces(phrase):
+            m = len(offsets) - 1
+            w = Words(data, offsets, languages[x : x + m])
+            n = np.bincount(w.row, minlength=m)
+            yield w, lang.slice(x, m), phrase.slice(x, m), n, np.cumsum(n) - 1
 
 
 class Slots:
     """A minimal perfect hash over shards of keys: level by level a key's bit is set where no other key of its shard falls."""
 
-    def __init__(self, shards: list[dict], n_shards: int) -> None:
-        self.n_shards = n_shards
+    def __init__(self, shards: list[dict]) -> None:
+        n_shards = 1 << SHARD_BITS
         depth = max((len(s["sizes"]) for s in shards), default=0)
         self.sizes, self.starts = np.zeros((n_shards, depth), np.int64), np.zeros((n_shards, depth), np.int64)
         at, bits, stored = 0, [], []
@@ -291,7 +333,7 @@ class Slots:
 
     def slots(self, key: np.ndarray, key2: np.ndarray) -> np.ndarray:
         """Each key's slot, -1 for those that are none of the candidates."""
-        out, shard = np.full(len(key), -1), key.view(np.int64) % self.n_shards
+        out, shard = np.full(len(key), -1), (key >> U64(64 - SHARD_BITS)).astype(np.int64)
         left = np.arange(len(key))
         for level in range(self.sizes.shape[1]):
             size = self.sizes[shard[left], level]
@@ -306,16 +348,16 @@ class Slots:
         return out
 
 
-def shards_of(found: DataFrame, n_shards: int) -> DataFrame:
-    """One row a shard: its part of the hash."""
+def shards_of(found: DataFrame) -> DataFrame:
+    """Each shard's part of the hash."""
 
-    def build(t: pa.Table) -> pa.Table:
-        key, key2 = (t[c].to_numpy().view(U64) for c in ("key", "key2"))
-        sizes, bits, stored = Slots.build(key, key2)
-        return pa.table({"shard": pa.array([t["shard"][0].as_py()], pa.int64()), "sizes": pa.array([sizes], pa.list_(pa.int64())), "bits": pa.array([bits], pa.binary()), "stored": pa.array([stored], pa.binary())})
+    def build(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for i in range(batch.num_rows):
+            keys = [w.phrases(k, last[n == k])[1:] for w, _, _, n, last in phrase_rows(batch.slice(i, 1), 1, 2) for k in np.unique(n).tolist()]
+            sizes, bits, stored = Slots.build(*[np.concatenate(x) for x in zip(*keys, strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([sizes], pa.list_(pa.int64())), pa.array([bits], pa.binary()), pa.array([stored], pa.binary())], ["shard", "sizes", "bits", "stored"])
 
-    shard = F.pmod(F.col("key"), F.lit(n_shards)).cast("long")
-    return found.select("key", "key2", shard.alias("shard")).groupBy("shard").applyInArrow(build, "shard long, sizes array<long>, bits binary, stored binary")
+    return arrow_map(found.select("shard", "langs", "phrases"), build, "shard int, sizes array<long>, bits binary, stored binary")
 
 
 def counted(docs: DataFrame, slots, longest: int, n_slots: int) -> np.ndarray:
@@ -342,8 +384,8 @@ def counted(docs: DataFrame, slots, longest: int, n_slots: int) -> np.ndarray:
             if sums[i : i + SLOTS].any():
                 yield pa.RecordBatch.from_arrays([pa.array([i // SLOTS], pa.int32()), pa.array([task], pa.int32()), pa.array([sums[i : i + SLOTS].tobytes()], pa.binary())], ["chunk", "task", "sums"])
 
-    def add(got: list[dict]) -> dict:
-        return {"sums": np.add.reduce([np.frombuffer(r["sums"], np.int64) for r in got]).tobytes()}
+    def add(t: pa.Table) -> dict:
+        return {"sums": np.add.reduce([np.frombuffer(x, np.int64) for x in t["sums"].to_pylist()]).tobytes()}
 
     out = np.zeros(n_slots, np.int64)
     schema = "chunk int, task int, sums binary"
@@ -353,33 +395,45 @@ def counted(docs: DataFrame, slots, longest: int, n_slots: int) -> np.ndarray:
 
 
 def read_cuts(found: DataFrame, slots, counts, longest: int) -> DataFrame:
-    """(lang, phrase, a, l, r): of each candidate of two words or more its count, and of its cuts, shortest first part first, both sides' counts; 0 for a phrase of another round."""
+    """(lang, phrase, a, l, r): of each candidate of two words or more its count, and of its cuts, shortest first part first, both sides' counts.
+
+    What another round counts is 0 here; a phrase without any count in this round is left out.
+    """
 
     def read(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         hash_, sums = slots.value, counts.value
-        _, _, languages = languages_of(batch.column(0))
-        for i, data, offsets in text_pieces(batch.column(1)):
-            rows = slice(i, i + len(offsets) - 1)
-            w = Words(data, offsets, languages[rows])
-            n_words = np.bincount(w.row, minlength=len(offsets) - 1)
-            first = np.cumsum(n_words) - n_words
-
-            def at(begin: np.ndarray, n: int, w: Words = w) -> np.ndarray:
-                _, key, key2 = w.phrases(n, begin + n - 1)
-                slot = hash_.slots(key, key2)
-                return np.where(slot >= 0, sums[slot], 0)
 
+        def at(w: Words, last: np.ndarray, n: int) -> np.ndarray:
+            _, key, key2 = w.phrases(n, last)
+            slot = hash_.slots(key, key2)
+            return np.where(slot >= 0, sums[slot], 0)
+
+        for w, lang, phrase, n_words, last in phrase_rows(batch, 0, 1):
             for n in range(2, longest + 1):
                 these = np.flatnonzero(n_words == n)
-                if len(these):
-                    f = first[these]
-                    lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.stack(x, axis=1).ravel()), n - 1).cast(pa.list_(pa.int64())) for x in ([at(f, k) for k in range(1, n)], [at(f + k, n - k) for k in range(1, n)])]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(offsets) - 1).take(pa.array(these)), batch.column(1).slice(i, len(offsets) - 1).take(pa.array(these)), pa.array(at(f, n)), *lists], ["lang", "phrase", "a", "l", "r"])
-
-    return arrow_map(found.select("lang", "phrase"), read, "lang string, phrase string, a long, l array<long>, r array<long>")
+                e = last[these]
+                a, left, right = at(w, e, n), [at(w, e - n + k, k) for k in range(1, n)], [at(w, e, n - k) for k in range(1, n)]
+                some = np.flatnonzero(np.add.reduce([a, *left, *right]) > 0)
+                if len(some):
+                    lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.stack(x, axis=1)[some].ravel()), n - 1).cast(pa.list_(pa.int64())) for x in (left, right)]
+                    yield pa.RecordBatch.from_arrays([lang.take(pa.array(these[some])), phrase.take(pa.array(these[some])), pa.array(a[some]), *lists], ["lang", "phrase", "a", "l", "r"])
+
+    return arrow_map(found.select("langs", "phrases"), read, "lang string, phrase string, a long, l array<long>, r array<long>")
+
+
+def rounds(sizes: dict[int, int], most: int) -> list[list[int]]:
+    """Shards in order, in runs of at most so many keys (a larger shard is a run of its own); one run even if there are none."""
+    out, n = [[]], 0
+    for shard in sorted(sizes):
+        if out[-1] and n + sizes[shard] > most:
+            out.append([])
+            n = 0
+        out[-1].append(shard)
+        n += sizes[shard]
+    return out
 
 
-def collocations(docs: DataFrame, min_count: int = 10, longest: int = 3, covered_percent: int = 50, most: int = 2000, bits: int = SKETCH_BITS, round_keys: int = ROUND_KEYS, shard_keys: int = SHARD_KEYS) -> DataFrame:
+def collocations(docs: DataFrame, min_count: int = 10, longest: int = 3, covered_percent: int = 50, most: int = 2000, bits: int = SKETCH_BITS, round_keys: int = ROUND_KEYS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: of each language of `docs` (lang, text) its `most` phrases of two words or more that hold together best.
 
     score is floor(1000000 a a / (l r)) of the cut where it is lowest (ties: the shortest first part). A phrase is left
@@ -392,15 +446,16 @@ def collocations(docs: DataFrame, min_count: int = 10, longest: int = 3, covered
     sketches, words = sketched(docs, [1, 2], {}, min_count, bits)
     for n in range(3, longest + 1):
         sketches |= sketched(docs, [n], sketches, min_count, bits)[0]
-    found = cut(candidates(docs, sketches, longest))
-    n_shards = max(1, -(-found.count() // shard_keys))
-    shards = cut(shards_of(found, n_shards))
-    step, parts = max(1, round_keys // shard_keys), []
-    for i in range(0, n_shards, step):
-        slots = Slots([r.asDict() for r in shards.filter((F.col("shard") >= i) & (F.col("shard") < i + step)).orderBy("shard").collect()], n_shards)
+    found = candidates(docs, sketches, longest)
+    shards, parts = cut(shards_of(found)), []
+    sizes = {r.shard: r.n for r in shards.select("shard", F.floor(F.octet_length("stored") / 8).alias("n")).collect()}
+    for these in rounds(sizes, round_keys):
+        slots = Slots([r.asDict() for r in shards.filter(F.col("shard").isin(these)).orderBy("shard").collect()])
         held = spark.sparkContext.broadcast(slots)
         counts = counted(docs, held, longest, slots.n)
-        parts.append(cut(read_cuts(found, held, spark.sparkContext.broadcast(np.append(counts, 0)), longest)))
+        sums = spark.sparkContext.broadcast(np.append(counts, 0))
+        parts.append(cut(read_cuts(found, held, sums, longest)))
+        held.unpersist(), sums.unpersist()
     every = parts[0]
     if len(parts) > 1:
         for p in parts[1:]:
