@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..registry import table
 from ..sources.store import read_view
 from . import gate
+from .provenance import bound_to_one_view
 
 
 def typed(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -47,6 +48,11 @@ def views(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {f"{n}_v1": read_view(t, every) for n, t in tables.items()}
 
 
+def register(spark: SparkSession, d: str) -> None:
+    """The views, and the records that their results are held against."""
+    gate.register_views(views(spark, d), records(typed(spark, d)))
+
+
 def parameters(*values: object) -> list[gate.Parameter]:
     kinds = {bool: "boolean", int: "integer", str: "text", list: "text[]"}
     return [gate.Parameter(i, kinds[type(v)], v) for i, v in enumerate(values, 1)]
@@ -54,8 +60,11 @@ def parameters(*values: object) -> list[gate.Parameter]:
 
 def gated(spark: SparkSession, d: str, sql: str, *values: object) -> DataFrame:
     """The statement's rows; one that breaks a rule of the policy is an error."""
-    gate.register_views(views(spark, d))
+    register(spark, d)
     verdict = gate.validate(spark, sql, parameters(*values))
     if not verdict.ok:
         raise ValueError(f"{verdict.codes}: {sql}")
-    return gate.bound(spark, verdict, parameters(*values))
+    df = gate.bound(spark, verdict, parameters(*values))
+    if not bound_to_one_view(df, gate.NAMESPACE):
+        raise ValueError(f"provenance of more than one view: {sql}")
+    return df

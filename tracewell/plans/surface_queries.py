@@ -20,8 +20,9 @@ from ..registry import query, table
 from ..sources import readers, store
 from ..streaming import events as N
 from . import gate
-from .gated import gated, parameters, records, typed, views
+from .gated import gated, parameters, records, register, typed, views
 from .lineage import new_folder
+from .provenance import bound_to_one_view
 
 
 def _text(c):
@@ -260,7 +261,7 @@ for _id, _name, _key, _of in (("j02_transaction_view", "transactions_v1", "conca
 
 # --- the policy gate on real statements ---
 def _ran(spark, d, sql, *values, **limits):
-    gate.register_views(views(spark, d))
+    register(spark, d)
     verdict = gate.validate(spark, sql, parameters(*values))
     return gate.execute(spark, verdict, parameters(*values), timeout_s=120, **limits)
 
@@ -669,16 +670,69 @@ _BROKEN = {
 }
 
 
+# The rows of each view, as a statement may and does read them.
+_READ = {
+    "transactions_v1": "select 'bank:' || o_orderkey as record_id, cast(o_custkey as varchar) as of_whom from orders",
+    "accounts_v1": "select 'bank:A' || c_custkey, cast(c_custkey as varchar) from customer",
+    "communications_v1": "select 'cdr:' || event_id, cast(user_id as varchar) from events",
+}
+_OWNER = {"transactions_v1": "debtor_iban", "accounts_v1": "iban", "communications_v1": "from_endpoint"}
+
+
 def _broken(sql):
+    """What a caller gets of both statements: of the one that keeps the rules its rows, of the one that breaks one no row but its code."""
+
     def run(spark, d):
-        code = lambda v: next(iter(gate.validate(spark, sql.format(v=v), parameters(*["x"] * ("$" in sql))).codes), "ok")
-        return spark.createDataFrame([(v, code(v)) for v in _VIEWS], "view_name string, code string")
+        register(spark, d)
+        out = None
+        for v in _VIEWS:
+            for text in (f"SELECT {_KEPT}, {_OWNER[v]} FROM agent_read.{{v}}", sql):
+                verdict = gate.validate(spark, text.format(v=v), parameters(*["x"] * ("$" in text)))
+                rows = gate.bound(spark, verdict, []) if verdict.ok else None
+                got = rows.select(F.lit(v).alias("view_name"), F.lit("ok").alias("code"), F.col(_OWNER[v]).alias("of_whom")) if rows is not None else spark.table(f"{gate.NAMESPACE}__{v}").limit(0).select(F.lit(v).alias("view_name"), F.lit("").alias("code"), F.lit("").alias("of_whom"))
+                told = got.groupBy("view_name", "code").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("of_whom").alias("owners"))
+                if rows is None:
+                    told = spark.range(1).select(F.lit(v).alias("view_name"), F.lit(verdict.codes[0]).alias("code")).join(got.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("of_whom").alias("owners")))
+                out = told if out is None else out.unionByName(told)
+        return out
 
     return run
 
 
 for _id, (_sql, _code) in _BROKEN.items():
-    query(_id, f"select unnest({_VIEWS}) as view_name, '{_code}' as code")(_broken(_sql))
+    query(_id, " union all ".join(f"select '{v}' as view_name, 'ok' as code, count(*) as rows, count(distinct of_whom) as owners from ({q}) union all select '{v}', '{_code}', 0, 0" for v, q in zip(_VIEWS, (_READ["transactions_v1"], *[f"select * from ({_READ[x]}) t(record_id, of_whom)" for x in _VIEWS[1:]]), strict=True)))(_broken(_sql))
+
+
+# Statements that break no rule of the gate's own; whether their provenance is one record's.
+_FORGED = [
+    ("plain", f"SELECT {_KEPT} FROM agent_read.accounts_v1", True),
+    ("renamed within", f"SELECT {_KEPT} FROM (SELECT record_id AS r, content_hash AS h, source_refs AS s FROM agent_read.accounts_v1) AS y (record_id, content_hash, source_refs)", True),
+    ("one side of a join", "SELECT t.record_id, t.content_hash, t.source_refs FROM agent_read.transactions_v1 AS t JOIN agent_read.accounts_v1 AS a ON t.debtor_iban = a.iban", True),
+    ("grouped", f"SELECT {_KEPT}, count(*) AS n FROM agent_read.accounts_v1 GROUP BY {_KEPT}", True),
+    ("both sides of a self-join", f"SELECT {_KEPT} FROM (SELECT b.record_id, a.content_hash, a.source_refs FROM agent_read.accounts_v1 AS a JOIN agent_read.accounts_v1 AS b ON a.holder_type = b.holder_type AND a.iban < b.iban) AS z", False),
+    ("two references to one expression", f"WITH c AS (SELECT {_KEPT}, iban FROM agent_read.accounts_v1), e AS (SELECT record_id AS r, iban AS i FROM c), f AS (SELECT content_hash, source_refs, iban FROM c) SELECT {_KEPT} FROM (SELECT r AS record_id, content_hash, source_refs FROM e JOIN f ON i = iban) AS z", False),
+    ("two views", "SELECT t.record_id, a.content_hash, a.source_refs FROM agent_read.transactions_v1 AS t JOIN agent_read.accounts_v1 AS a ON t.debtor_iban = a.iban", False),
+    ("computed", f"SELECT {_KEPT} FROM (SELECT max(record_id) AS record_id, max(content_hash) AS content_hash, source_refs FROM agent_read.accounts_v1 GROUP BY source_refs) AS z", False),
+    ("swapped", f"SELECT {_KEPT} FROM (SELECT content_hash AS record_id, record_id AS content_hash, source_refs FROM agent_read.accounts_v1) AS z", False),
+    ("bound", f"SELECT {_KEPT} FROM (SELECT $1 AS record_id, $1 AS content_hash, source_refs FROM agent_read.accounts_v1) AS z", False),
+]
+
+
+@query("q18_forged_provenance", "select 'plain' as form, count(*) as rows from customer union all select 'renamed within', count(*) from customer union all select 'one side of a join', count(*) from orders join customer on o_custkey = c_custkey union all select 'grouped', count(*) from customer")
+def q18b(spark, d):
+    """Of statements that the gate lets through, only those give rows whose three provenance columns are one view instance's."""
+    register(spark, d)
+    out = None
+    for form, sql, _ in _FORGED:
+        values = parameters(*["bank:A1"] * ("$" in sql))
+        verdict = gate.validate(spark, sql, values)
+        if not verdict.ok:
+            raise ValueError(f"{form}: {verdict.codes}")
+        df = gate.bound(spark, verdict, values)
+        if bound_to_one_view(df, gate.NAMESPACE):
+            rows = df.groupBy(F.lit(form).alias("form")).agg(F.count(F.lit(1)).alias("rows"))
+            out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("q08_cte_scope_kept", "select concat('bank:A', c_custkey) as record_id from customer where c_custkey % 3 <> 0")
