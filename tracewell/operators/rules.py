@@ -196,33 +196,53 @@ def source_ref_id(record_version: Column, payload: Column) -> Column:
     return F.concat(F.lit("src:"), record_version, F.lit(":"), F.sha2(payload, 256))
 
 
-def dag_problems(nodes: DataFrame, edges: DataFrame, root: str, rounds: int = 64) -> DataFrame:
+def walks(edges: DataFrame, root: str, growth: int = 4) -> DataFrame:
+    """(kind, node_id): what the root reaches, and nodes that end (`back`) or begin (`onward`) walks without end.
+
+    Pointer doubling: the pairs one walk of 1, 2, 4, ... edges apart. A round adds to what is reached all that is one such
+    pair further, and takes from the others what has no pair; rounds are as many as the logarithm of the longest path.
+    Pairs are doubled only while the next ones would be at most `growth` times the edges, by a count made before the join;
+    from then on rounds go by the longest pairs there are. Nothing bounds the rounds but that one changes nothing.
+    """
+    jump = cut(edges.select("parent", "child").distinct())
+    most, size = growth * jump.count() + 1000, None
+    of = lambda c, kind: jump.select(F.lit(kind).alias("kind"), F.col(c).alias("node_id"))
+    start = edges.sparkSession.createDataFrame([("reached", root)], "kind string, node_id string")
+    state = cut(start.unionByName(of("child", "back")).unionByName(of("parent", "onward")).distinct())
+    while True:
+        now = {r.kind: r.n for r in state.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if now == size:
+            return state
+        size = now
+        kind = lambda k: state.filter(F.col("kind") == k).select("node_id")
+        further = jump.join(kind("reached"), F.col("parent") == F.col("node_id"), "left_semi").select(F.lit("reached").alias("kind"), F.col("child").alias("node_id"))
+        back = jump.join(kind("back"), F.col("parent") == F.col("node_id"), "left_semi").select(F.lit("back").alias("kind"), F.col("child").alias("node_id"))
+        onward = jump.join(kind("onward"), F.col("child") == F.col("node_id"), "left_semi").select(F.lit("onward").alias("kind"), F.col("parent").alias("node_id"))
+        state = cut(state.filter("kind = 'reached'").unionByName(further).unionByName(back).unionByName(onward).distinct())
+        into, out = jump.groupBy(F.col("child").alias("at")).agg(F.count(F.lit(1)).alias("i")), jump.groupBy(F.col("parent").alias("at")).agg(F.count(F.lit(1)).alias("o"))
+        if (into.join(out, "at").agg(F.sum(F.col("i").cast("decimal(38,0)") * F.col("o"))).first()[0] or 0) <= most:
+            ahead = jump.select(F.col("parent").alias("at"), F.col("child").alias("end"))
+            jump = cut(jump.join(ahead, F.col("child") == F.col("at")).select("parent", F.col("end").alias("child")).distinct())
+        else:
+            most = -1  # the pairs stay as they are
+
+
+def dag_problems(nodes: DataFrame, edges: DataFrame, root: str) -> DataFrame:
     """T-13: duplicate nodes, edges without ends, cycles, nodes that the root does not reach, and leaves that are no source or policy.
 
-    nodes: node_id, kind; edges: parent, child. Cycles are what is left when edges that end in a leaf, or begin where
-    none ends, are peeled away round by round: the cycles, and the ways between them.
+    nodes: node_id, kind; edges: parent, child. Nodes of cycles are those that both end and begin walks without end: the
+    cycles, and the ways between them.
     """
     say = lambda df, what, c="node_id": df.select(F.lit(what).alias("problem"), F.col(c).alias("node_id")).distinct()
     twice = say(nodes.groupBy("node_id").count().filter("count > 1"), "duplicate_node")
     ends = edges.select(F.explode(F.array("parent", "child")).alias("node_id")).distinct()
     lost = say(ends.join(nodes, "node_id", "left_anti"), "missing_node")
     leaves = nodes.join(edges.select(F.col("parent").alias("node_id")), "node_id", "left_anti").filter(~F.col("kind").isin("source_ref", "policy"))
-    reached = nodes.filter(F.col("node_id") == root).select("node_id").distinct()
-    front = reached
-    for _ in range(rounds):
-        front = cut(front.join(edges, front.node_id == edges.parent).select(F.col("child").alias("node_id")).distinct().join(reached, "node_id", "left_anti"))
-        if front.isEmpty():
-            break
-        reached = cut(reached.unionByName(front))
-    left = edges.select("parent", "child").distinct()
-    for _ in range(rounds):
-        n = left.count()
-        onward = left.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("parent", "child")
-        left = cut(onward.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("parent", "child"))
-        if left.count() == n:
-            break
+    found = walks(edges, root)
+    reached = found.filter("kind = 'reached'").select("node_id").join(nodes.filter(F.col("node_id") == root).limit(1).select(F.lit(1).alias("_there")))
+    cycle = found.filter("kind = 'back'").select("node_id").join(found.filter("kind = 'onward'").select("node_id"), "node_id", "left_semi")
     problems = twice.unionByName(lost).unionByName(say(leaves, "open_leaf")).unionByName(say(nodes.join(reached, "node_id", "left_anti"), "unreachable"))
-    return problems.unionByName(say(left, "cycle", "parent"))
+    return problems.unionByName(say(cycle, "cycle"))
 
 
 def provenance_dag(results: DataFrame, support: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:

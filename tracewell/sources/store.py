@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 import uuid
 from functools import reduce
 
@@ -47,25 +48,81 @@ def read_file(spark: SparkSession, path: str) -> bytes | None:
     return bytes(spark.read.format("binaryFile").load(path).first().content)
 
 
+def put_if_absent(spark: SparkSession, path: str, content: bytes) -> bool:
+    """Put a small file in its place whole, unless one is there: of several writers exactly one gets True.
+
+    On local folders by a hard link, elsewhere by a rename that must not replace, which name nodes carry out as one step.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri()
+    if where.getScheme() != "file":
+        try:
+            write_file(spark, path, content, replace=False)
+        except Exception as e:  # noqa: BLE001 - the file system's own class of error
+            if "FileAlreadyExists" not in str(e):
+                raise
+            return False
+        return True
+    local = where.getPath()
+    os.makedirs(os.path.dirname(local), exist_ok=True)
+    part = f"{local}.{uuid.uuid4().hex}"
+    with open(part, "wb") as f:
+        f.write(content)
+    try:
+        os.link(part, local)
+    except FileExistsError:
+        return False
+    finally:
+        os.unlink(part)
+    return True
+
+
 class Store:
-    """S-10 to S-13: tables of an evidence store as Parquet batches; an upsert writes its new rows and nothing else.
+    """S-10 to S-13: tables of an evidence store as Parquet batches and a log of numbered commits; an upsert writes its new rows and nothing else.
 
-    A table's list names its batches, oldest first, and is replaced in one step. A reader takes of each key the row of
-    the newest batch: one aggregate on the key, which is skipped while there is one batch. `compact` writes the merged
-    rows as one batch; the batches before it stay until the next compaction, for readers who still hold the old list.
+    A commit names the table's batches, oldest first, and is put only where its number is free: a writer that loses the
+    number reads the log again and tries the next one, so no upsert is lost. A reader takes the newest commit (or a given
+    one) and of each key the row of the newest batch: one aggregate on the key, which is skipped while there is one batch.
+    `compact` commits the merged rows in place of what it read, after which `vacuum` may delete what no kept commit names.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _batches(self, name: str) -> list[str]:
-        return json.loads(read_file(self.spark, f"{self.root}/{name}.json") or b"[]")
-
-    def _list(self, name: str, batches: list[str]) -> None:
-        write_file(self.spark, f"{self.root}/{name}.json", json.dumps(batches).encode())
-
-    def read(self, name: str) -> DataFrame | None:
-        batches = self._batches(name)
+    def _files(self, path: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _listed(self, path: str) -> list[tuple[str, float]]:
+        """Names in a folder and when they were last changed, in seconds."""
+        place, files = self._files(path)
+        return [(x.getPath().getName(), x.getModificationTime() / 1000) for x in files.listStatus(place)] if files.exists(place) else []
+
+    def versions(self, name: str) -> list[int]:
+        return sorted(int(n[:-5]) for n, _ in self._listed(f"{self.root}/{name}/_log") if n.endswith(".json") and n[:-5].isdigit())
+
+    def _at(self, name: str, version: int) -> str:
+        return f"{self.root}/{name}/_log/{version:020d}.json"
+
+    def batches(self, name: str, version: int | None = None) -> tuple[int, list[str]]:
+        """(number of the commit, its batches); 0 and none before the first."""
+        if version is None:
+            version = (self.versions(name) or [0])[-1]
+        return version, json.loads(read_file(self.spark, self._at(name, version)) or b"[]") if version else []
+
+    def _commit(self, name: str, change) -> int | None:
+        """Put the next commit: `change` makes its batches from those of the newest, or None to give up."""
+        while True:
+            version, now = self.batches(name)
+            then = change(now)
+            if then is None:
+                return None
+            if put_if_absent(self.spark, self._at(name, version + 1), json.dumps(then).encode()):
+                return version + 1
+
+    def read(self, name: str, version: int | None = None) -> DataFrame | None:
+        """The table as of a commit, the newest by default; its rows stay readable until a vacuum drops that commit."""
+        _, batches = self.batches(name, version)
         if not batches:
             return None
         parts = [self.spark.read.parquet(f"{self.root}/{name}/{b}").withColumn("_batch", F.lit(i)) for i, b in enumerate(batches)]
@@ -76,18 +133,40 @@ class Store:
         newest = every.groupBy(*[F.col(k).alias(f"_key_{k}") for k in KEYS[name]]).agg(F.max_by(F.struct(*columns), "_batch").alias("_row"))
         return newest.select("_row.*")
 
-    def upsert(self, name: str, new: DataFrame) -> None:
-        """Of rows of the batch itself that share a key the last by _seq (or any equal) stays."""
+    def upsert(self, name: str, new: DataFrame) -> int:
+        """Of rows of the batch itself that share a key the last by _seq (or any equal) stays. Returns the commit's number."""
         batch = uuid.uuid4().hex
         upserted(None, new, KEYS[name]).write.parquet(f"{self.root}/{name}/{batch}")
-        self._list(name, [*self._batches(name), batch])
-
-    def compact(self, name: str) -> None:
-        merged = self.read(name)
-        if merged is not None:
-            batch = uuid.uuid4().hex
-            merged.write.parquet(f"{self.root}/{name}/{batch}")
-            self._list(name, [batch])
+        return self._commit(name, lambda now: [*now, batch])
+
+    def compact(self, name: str) -> int | None:
+        """One batch in place of those read. Batches committed meanwhile stay behind it; where another compaction came first, None."""
+        version, old = self.batches(name)
+        merged = self.read(name, version) if len(old) > 1 else None
+        if merged is None:
+            return None
+        batch = uuid.uuid4().hex
+        merged.write.parquet(f"{self.root}/{name}/{batch}")
+        return self._commit(name, lambda now: [batch, *now[len(old) :]] if now[: len(old)] == old else None)
+
+    def vacuum(self, name: str, keep: int = 1, older_than_s: float = 3600.0) -> int:
+        """Delete batches that none of the newest `keep` commits names, and all earlier commits; returns the number of batches gone.
+
+        Batches that are younger stay, named or not: their writer may be about to commit them. Readers of commits that
+        are dropped lose their files, so `older_than_s` must exceed the longest read and write.
+        """
+        versions = self.versions(name)
+        named = {b for v in versions[-keep:] for b in self.batches(name, v)[1]}
+        limit, gone = time.time() - older_than_s, 0
+        for v in versions[:-keep]:
+            place, files = self._files(self._at(name, v))
+            files.delete(place, False)
+        for batch, changed in self._listed(f"{self.root}/{name}"):
+            if batch != "_log" and batch not in named and changed <= limit:
+                place, files = self._files(f"{self.root}/{name}/{batch}")
+                files.delete(place, True)
+                gone += 1
+        return gone
 
     def counts(self) -> DataFrame:
         """A-06."""
