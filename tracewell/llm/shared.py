@@ -169,7 +169,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Hash and row of each word: the runs of anything but white space, A-Z lower-cased."""
     low = LOWER[data]
     at, first, lens = runs(~SPACE[low], offsets)
-    return hash_runs(low, at, first, lens), np.searchsorted(offsets, at[first], "right") - 1
+    return strong_hashes(low, at, first, lens), np.searchsorted(offsets, at[first], "right") - 1
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
