@@ -35,7 +35,7 @@ from .shared import PIECE_BYTES, U64, arrow_map, cut, mix
 #: A class or field needs this share of a host's pages and so many pages; templates are broadcast up to so many hosts and tokens.
 SHARE, LEAST_PAGES, BROADCAST_HOSTS, BROADCAST_TOKENS = 0.5, 3, 20_000, 1_000_000
 #: What is known of a block of text, and of a field.
-FURNISHED, IN_MAIN, IN_ARTICLE, LISTED = 1, 2, 4, 8
+FURNISHED, IN_MAIN, IN_ARTICLE, LISTED, HEADED = 1, 2, 4, 8, 16
 IS_FURNITURE, IS_MAIN, IS_LINKS = 1, 2, 4
 
 # Fixed values of HTML: elements without content, with raw content, inside a line, and those whose start ends an open one.
@@ -52,7 +52,7 @@ WHOLE = re.compile(rf"(?:^|\s)(?:(?:{_AD})(?:[_-](?:slot|container|wrapper|unit|
 PARTS = re.compile(rf"(?:^|[\s_-])(?:{_AD}|sponsor(?:s|ed)?|promo(?:s|ted|tions?)?|banners?|cookies?|consent|gdpr|notices?|alert|nav|navbar|navigation|menus?|breadcrumbs?|sidebar|widgets?|related|recommend(?:ed|ations?)|shar(?:e|ing)|social|comments?|respond|disqus|repl(?:y|ies)|footer|{_NEWS}|subscription|login|popup|modal|overlay|toolbar|pagination|pager|skip|copyright|disclaimer)(?:$|[\s_-])", re.I)
 # Inside a line only an advert's own names tell it.
 INLINE_AD = re.compile(rf"(?:^|\s)(?:(?:{_AD})(?:[_-](?:slot|container|wrapper|unit|banner|box|block|label|text|link))?|sponsored|promo)(?:$|\s)", re.I)
-LISTS = set("ul ol li td dl".split())
+LISTS, HEADINGS = set("ul ol li td dl".split()), set("h1 h2 h3 h4 h5 h6".split())
 SLUGGED = set("section h1 h2 h3 h4 h5 h6".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>|<[a-zA-Z/!?][^>]*+\Z", re.S)
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -211,7 +211,7 @@ def parse(html: str) -> tuple[list[int], list[tuple[int, str, int, int, int, int
             suspect = suspects
         role = attributes.get("role")
         flags = parent.flags | (FURNISHED if parent.flags & FURNISHED or _is_furniture(name, attributes, parent) else 0)
-        flags |= (IN_MAIN if name == "main" or role == "main" else 0) | (IN_ARTICLE if name == "article" or role == "article" else 0) | (LISTED if name in LISTS else 0)
+        flags |= (IN_MAIN if name == "main" or role == "main" else 0) | (IN_ARTICLE if name == "article" or role == "article" else 0) | (LISTED if name in LISTS else 0) | (HEADED if name in HEADINGS else 0)
         stack.append(_Open(name, path, flags, suspect))
         opened[name] = opened.get(name, 0) + 1
     flush()
@@ -424,7 +424,8 @@ def chosen(tokens: list[int], at: list[int], text: list[str], flags: list[int],
         confirmed = {k for k, (size, links, told) in parts.items() if told or links * 2 > size}
         kept = [j for j in kept if suspect[j] not in confirmed]
         if any(said[j] is None for j in kept):
-            kept = [j for j in kept if not fixed[j]]
+            # Headings that all articles of a host share (Method, Results) are the article's, as nothing but the template speaks against them.
+            kept = [j for j in kept if not fixed[j] or flags[j] & HEADED]
         return " ".join(text[j] for j in kept)
     # Neither a main element nor an article: the template decides, by its fields and its own text.
     links: dict[int, list[int]] = {}
@@ -432,7 +433,7 @@ def chosen(tokens: list[int], at: list[int], text: list[str], flags: list[int],
         s = links.setdefault(element[j], [0, 0])
         s[0], s[1] = s[0] + len(text[j]), s[1] + linked[j]
     listed = lambda j: flags[j] & LISTED and (role[j] & IS_LINKS if role[j] is not None else links[element[j]][1] * 2 > links[element[j]][0])
-    kept = [j for j in free if said[j] is None and not listed(j)]
+    kept = [j for j in free if said[j] is None and not listed(j)] or [j for j in free if not listed(j)]
     if any(r is not None and r & IS_MAIN for r in known.role.values()):
         kept = [j for j in kept if role[j] is None or role[j] & IS_MAIN]
     return " ".join(text[j] for j in kept)
