@@ -106,7 +106,11 @@ class Plain:
 
     def phone(self, m):
         d = re.sub("[^0-9]", "", m)
-        keep = max(0, len(d) - 10)
+        keep = max(3 if m[0] == "+" else 0, len(d) - 10)
+        for n, codes in pii.PHONE_DIGITS.items():
+            code = re.match(rf"(?:{codes})", d) if m[0] == "+" else None
+            if code and len(d) - len(code[0]) - ("(0)" in m) == n:
+                keep = len(d) - n
         return self.put(m, d[:keep] + self.digits("phone", d[keep:]))
 
     def ip(self, m):
@@ -151,7 +155,12 @@ class Plain:
         return fresh.upper() if m == m.upper() else fresh
 
     def ssn(self, m):
-        return self.put(m, self.digits("ssn", re.sub("[^0-9]", "", m)))
+        can = lambda d: d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
+        d = re.sub("[^0-9]", "", m)
+        new = self.digits("ssn", d)
+        while can(new) != can(d):
+            new = self.digits("ssn", new)
+        return self.put(m, new)
 
     def replaced(self, m):
         kind = next((k for k in list(pii.PATTERNS)[:-1] if regex.fullmatch(pii.PATTERNS[k], m)), "number")

@@ -316,7 +316,7 @@ class Slots:
 
     @staticmethod
     def build(key: np.ndarray, key2: np.ndarray) -> tuple[list[int], bytes, bytes]:
-        """(bits of each level, all bits, second keys in the order of slots) of one shard's different keys."""
+        """(bits of each level, all bits, 64 bits of both keys in the order of slots) of one shard's different keys."""
         sizes, words, stored = [], [], []
         while len(key):
             if len(sizes) == 64:
@@ -327,7 +327,7 @@ class Slots:
             bits = np.zeros(size, bool)
             bits[place[alone]] = True
             order = np.argsort(place[alone])
-            sizes.append(size), words.append(np.packbits(bits, bitorder="little").tobytes()), stored.append(key2[alone][order].tobytes())
+            sizes.append(size), words.append(np.packbits(bits, bitorder="little").tobytes()), stored.append((mix(key) + key2)[alone][order].tobytes())
             key, key2 = key[~alone], key2[~alone]
         return sizes, b"".join(words), b"".join(stored)
 
@@ -343,7 +343,7 @@ class Slots:
             hit = (word >> low) & U64(1) != 0
             under = np.bitwise_count(word & ((U64(1) << low) - U64(1))).astype(np.int64)
             slot = (self.before[bit >> 6] + under)[hit]
-            out[left[hit]] = np.where(self.stored[slot] == key2[left[hit]], slot, -1)
+            out[left[hit]] = np.where(self.stored[slot] == mix(key[left[hit]]) + key2[left[hit]], slot, -1)
             left = left[~hit]
         return out
 
