@@ -31,6 +31,8 @@ BLANKS[[32, 9]] = True
 
 #: Bits of a sketch's places, and what a round broadcasts at most (about nine bytes a key).
 SKETCH_BITS, ROUND_KEYS = 27, 1 << 23
+#: Partitions of the input that one task works through, where all cores still have two tasks.
+TASK_PARTS = 4
 #: Places or slots in a row that tasks send, bits of a shard of candidates, rows added at once, phrases or slots a task gathers first,
 #: places of a sketch that it gathers, and keys that it remembers to have sent.
 CHUNK, SLOTS, SHARD_BITS, FAN, GATHERED, PLACES, SENT = 1 << 18, 1 << 13, 9, 64, 1 << 18, 1 << 20, 1 << 21
@@ -96,6 +98,7 @@ def word_pieces(batch: pa.RecordBatch) -> Iterator[tuple[Words, list[str], np.nd
     for i, data, offsets in text_pieces(batch.column(1)):
         rows = slice(i, i + len(offsets) - 1)
         yield Words(data, offsets, hashes[rows]), names, at[rows]
+    pa.default_memory_pool().release_unused()
 
 
 class Sketch:
@@ -127,17 +130,20 @@ def passing(w: Words, sketches: dict[int, Sketch], n: int) -> tuple[np.ndarray,
     return out
 
 
-def tree_sum(rows: DataFrame, tasks: int, add: Callable[[pa.Table], dict], schema: str, keys: list[str]) -> DataFrame:
-    """Rows (keys, task, ...) of one key added FAN tasks at a time, level by level, until one row a key is left."""
+def tree_sum(rows: DataFrame, tasks: int, add: Callable[[pa.Table], dict], schema: str, keys: list[str], finish: Callable[[dict], dict] = dict) -> DataFrame:
+    """Rows (keys, task, ...) of one key added FAN tasks at a time, level by level, until one row a key is left, which `finish` may change."""
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def fn(t: pa.Table) -> pa.Table:
-        out = {k: t[k][0].as_py() for k in [*keys, "task"]} | add(t)
-        out["task"] //= FAN
-        return pa.table({n: pa.array([out[n]], t.schema.field(n).type) for n in names})
+    def level(last: bool) -> Callable[[pa.Table], pa.Table]:
+        def fn(t: pa.Table) -> pa.Table:
+            out = {k: t[k][0].as_py() for k in [*keys, "task"]} | (finish(add(t)) if last else add(t))
+            out["task"] //= FAN
+            return pa.table({n: pa.array([out[n]], t.schema.field(n).type) for n in names})
+
+        return fn
 
     while True:
-        rows = rows.withColumn("_group", F.floor(F.col("task") / FAN)).groupBy(*keys, "_group").applyInArrow(lambda t: fn(t.drop_columns(["_group"])), schema)
+        rows = rows.withColumn("_group", F.floor(F.col("task") / FAN)).groupBy(*keys, "_group").applyInArrow(level(tasks <= FAN), schema)
         if tasks <= FAN:
             return rows
         tasks = -(-tasks // FAN)
@@ -202,21 +208,18 @@ def sketched(docs: DataFrame, levels: list[int], known: dict[int, Sketch], min_c
         places, counts = _merged(np.frombuffer(b"".join(t["places"].to_pylist()), "<u4"), np.frombuffer(b"".join(t["counts"].to_pylist()), np.uint8), min_count)
         return {"places": places.astype("<u4").tobytes(), "counts": counts.tobytes()}
 
-    def frequent(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """Of each chunk one bit a place."""
-        out = []
-        for places, counts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            bits = np.zeros(CHUNK, bool)
-            bits[np.frombuffer(places, "<u4")[np.frombuffer(counts, np.uint8) >= min_count]] = True
-            out.append(np.packbits(bits, bitorder="little").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["level", "chunk", "bits"])
+    def frequent(sums: dict) -> dict:
+        """One bit a place of the chunk."""
+        bits = np.zeros(CHUNK, bool)
+        bits[np.frombuffer(sums["places"], "<u4")[np.frombuffer(sums["counts"], np.uint8) >= min_count]] = True
+        return {"places": np.packbits(bits, bitorder="little").tobytes(), "counts": b""}
 
     stored = cut(docs.mapInArrow(fill, schema))
     held.unpersist()
-    sums = tree_sum(stored.filter("chunk is not null").drop("lang", "words"), docs.rdd.getNumPartitions(), add, "level int, chunk int, task int, places binary, counts binary", ["level", "chunk"])
+    sums = tree_sum(stored.filter("chunk is not null").drop("lang", "words"), docs.rdd.getNumPartitions(), add, "level int, chunk int, task int, places binary, counts binary", ["level", "chunk"], frequent)
     packed = {n: np.zeros(max(1, (1 << bits) >> 3), np.uint8) for n in levels}
     size = CHUNK >> 3
-    for r in arrow_map(sums.select("level", "chunk", "places", "counts"), frequent, "level int, chunk int, bits binary").collect():
+    for r in sums.select("level", "chunk", F.col("places").alias("bits")).collect():
         part = packed[r.level][r.chunk * size : (r.chunk + 1) * size]
         part |= np.frombuffer(r.bits, np.uint8)[: len(part)]
     words = {r.lang: r.n for r in stored.filter("words is not null").groupBy("lang").agg(F.sum("words").alias("n")).collect()} if 1 in levels else {}
@@ -442,7 +445,9 @@ def collocations(docs: DataFrame, min_count: int = 10, longest: int = 3, covered
     half a MB at a time; an empty table gives an empty result; other columns are left out.
     """
     spark, mine = docs.sparkSession, len(WRITTEN)
-    docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
+    # What tasks send is counted once a task, so a few longer tasks send less than many short ones.
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-docs.rdd.getNumPartitions() // TASK_PARTS))
+    docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).coalesce(tasks)
     sketches, words = sketched(docs, [1, 2], {}, min_count, bits)
     for n in range(3, longest + 1):
         sketches |= sketched(docs, [n], sketches, min_count, bits)[0]
