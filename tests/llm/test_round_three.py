@@ -198,7 +198,7 @@ def test_op13(spark, d):
 
 @pytest.mark.parametrize("longest", [2, 3, 4])
 def test_phrase_edges(spark, longest):
-    rows = [(None, "a b. a b\tc  a b c"), ("en", None), ("en", ""), ("und", "C a\tb"), ("x", "a  b, A b;" * 4), ("", "é ü É ü"), ("de", "x y z w " * 300), ("de", "x\x0by\x0cz\rw")] * 3
+    rows = [(None, "a b. a b\tc  a b c"), ("en", None), ("en", ""), ("und", "C a\tb"), ("x", "a  b, A b;" * 4), ("", "é ü É ü"), ("a\t%09\nb", "p q p q"), ("de", "x y z w " * 300), ("de", "x\x0by\x0cz\rw")] * 3
     docs = spark.createDataFrame(rows, "lang string, text string").withColumns({"phrase": F.lit("p"), "n": F.lit(1), "keys": F.lit(b"k")}).repartition(3)
     want = plain_phrases(rows, 2, longest, most=5)
     # Many rounds, one round, and a sketch so small that it lets all through.

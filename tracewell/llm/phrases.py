@@ -14,11 +14,12 @@ Where candidates are more than a round's bound, 4 and 5 go round by round over s
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -226,51 +227,54 @@ def sketched(docs: DataFrame, levels: list[int], known: dict[int, Sketch], min_c
     return {n: Sketch(p, bits) for n, p in packed.items()}, words
 
 
+def _line(lang: str) -> bytes:
+    """A language as the first part of a line."""
+    return lang.replace("%", "%25").replace("\t", "%09").replace("\n", "%0A").encode() + b"\t"
+
+
+def _lang(line: str) -> str:
+    return line.replace("%0A", "\n").replace("%09", "\t").replace("%25", "%")
+
+
 def candidates(docs: DataFrame, sketches: dict[int, Sketch], longest: int) -> DataFrame:
-    """(shard, task, keys, langs, phrases): each different phrase that passes with all its parts once, one row a shard."""
+    """(shard, task, lines): each different phrase that passes with all its parts once, one row a shard; a line is a language, a tab and a phrase."""
     held = docs.sparkSession.sparkContext.broadcast(sketches)
-    names = ["shard", "task", "keys", "langs", "phrases"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, waiting, size = TaskContext.get().partitionId(), [], 0
+        task, keys, lines = TaskContext.get().partitionId(), [], []
         sent = np.zeros(SENT, U64)  # a key at its place was sent lately; one that another has driven out is sent again
 
         def rows() -> Iterator[pa.RecordBatch]:
-            key = np.concatenate([x[0] for x in waiting])
-            order, cuts = _by_shard(key)
-            lang, phrase = (pa.chunked_array([x[i] for x in waiting], pa.string()).combine_chunks().take(pa.array(order)) for i in (1, 2))
+            order, cuts = _by_shard(np.concatenate(keys))
+            order = order.tolist()
             every = np.flatnonzero(np.diff(cuts))
             for shards in (every[i : i + 64] for i in range(0, len(every), 64)):
-                ends = pa.array(np.append(cuts[shards], cuts[shards[-1] + 1]).astype(np.int32))
-                packed = [key[order[cuts[i] : cuts[i + 1]]].tobytes() for i in shards]
-                yield pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), pa.array(np.full(len(shards), task, np.int32)), pa.array(packed, pa.binary()), *[pa.ListArray.from_arrays(ends, x) for x in (lang, phrase)]], names)
+                # Sorted lines share their beginnings with their neighbours, which the shuffle's compression takes out.
+                packed = [b"\n".join(sorted([lines[j] for j in order[cuts[i] : cuts[i + 1]]])) for i in shards]
+                yield pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), pa.array(np.full(len(shards), task, np.int32)), pa.array(packed, pa.binary())], ["shard", "task", "lines"])
 
         for batch in batches:
             for w, known, at in word_pieces(batch):
+                begin = [_line(x) for x in known]
                 for n in range(1, longest + 1):
                     first, key, _ = passing(w, held.value, n)
                     new = np.flatnonzero(sent[(key % U64(SENT)).astype(np.int64)] != key)
                     new = new[np.unique(key[new], return_index=True)[1]]
                     if len(new):
                         sent[(key[new] % U64(SENT)).astype(np.int64)] = key[new]
-                        lang = pa.DictionaryArray.from_arrays(pa.array(at[w.row[first[new]]].astype(np.int32)), pa.array(known, pa.string())).cast(pa.string())
-                        waiting.append((key[new], lang, pa.array(w.text(first[new], n), pa.binary()).cast(pa.string())))
-                        size += len(new)
-                if size > GATHERED:
+                        keys.append(key[new])
+                        lines += [begin[i] + x for i, x in zip(at[w.row[first[new]]].tolist(), w.text(first[new], n), strict=True)]
+                if len(lines) > GATHERED:
                     yield from rows()
-                    waiting.clear()
-                    size = 0
-        if size:
+                    keys, lines = [], []
+        if lines:
             yield from rows()
 
     def add(t: pa.Table) -> dict:
-        """Of rows of one shard each key once."""
-        key = np.frombuffer(b"".join(t["keys"].to_pylist()), U64)
-        first = np.unique(key, return_index=True)[1]
-        lang, phrase = (t[c].combine_chunks().flatten().take(pa.array(first)) for c in ("langs", "phrases"))
-        return {"keys": key[first].tobytes(), "langs": lang, "phrases": phrase}
+        """Of rows of one shard each line once."""
+        return {"lines": b"\n".join(sorted(set(b"\n".join(t["lines"].to_pylist()).split(b"\n"))))}
 
-    schema = "shard int, task int, keys binary, langs array<string>, phrases array<string>"
+    schema = "shard int, task int, lines binary"
     out = cut(tree_sum(docs.mapInArrow(find, schema), docs.rdd.getNumPartitions(), add, schema, ["shard"]))
     held.unpersist()
     return out
@@ -282,10 +286,11 @@ def _by_shard(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(shard, kind="stable"), np.append(0, np.cumsum(np.bincount(shard, minlength=1 << SHARD_BITS)))
 
 
-def phrase_rows(batch: pa.RecordBatch, langs: int, phrases: int) -> Iterator[tuple[Words, pa.Array, pa.Array, np.ndarray, np.ndarray]]:
-    """The phrases of a shard's row, some half MB at a time: their words, languages, texts, numbers of words and last words."""
+def phrase_rows(batch: pa.RecordBatch, column: int) -> Iterator[tuple[Words, pa.Array, pa.Array, np.ndarray, np.ndarray]]:
+    """The phrases of each shard's row, some half MB at a time: their words, languages, texts, numbers of words and last words."""
     for i in range(batch.num_rows):
-        lang, phrase = batch.column(langs).slice(i, 1).flatten(), batch.column(phrases).slice(i, 1).flatten()
+        parts = [x.split("\t") for x in batch.column(column)[i].as_py().decode().split("\n")]
+        lang, phrase = pa.array([_lang(x[0]) for x in parts], pa.string()), pa.array([x[1] for x in parts], pa.string())
         _, _, languages = languages_of(lang)
         for x, data, offsets in text_pieces(phrase):
             m = len(offsets) - 1
@@ -356,11 +361,11 @@ def shards_of(found: DataFrame) -> DataFrame:
 
     def build(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
-            keys = [w.phrases(k, last[n == k])[1:] for w, _, _, n, last in phrase_rows(batch.slice(i, 1), 1, 2) for k in np.unique(n).tolist()]
+            keys = [w.phrases(k, last[n == k])[1:] for w, _, _, n, last in phrase_rows(batch.slice(i, 1), 1) for k in np.unique(n).tolist()]
             sizes, bits, stored = Slots.build(*[np.concatenate(x) for x in zip(*keys, strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([sizes], pa.list_(pa.int64())), pa.array([bits], pa.binary()), pa.array([stored], pa.binary())], ["shard", "sizes", "bits", "stored"])
 
-    return arrow_map(found.select("shard", "langs", "phrases"), build, "shard int, sizes array<long>, bits binary, stored binary")
+    return arrow_map(found.select("shard", "lines"), build, "shard int, sizes array<long>, bits binary, stored binary")
 
 
 def counted(docs: DataFrame, slots, longest: int, n_slots: int) -> np.ndarray:
@@ -411,7 +416,7 @@ def read_cuts(found: DataFrame, slots, counts, longest: int) -> DataFrame:
             slot = hash_.slots(key, key2)
             return np.where(slot >= 0, sums[slot], 0)
 
-        for w, lang, phrase, n_words, last in phrase_rows(batch, 0, 1):
+        for w, lang, phrase, n_words, last in phrase_rows(batch, 0):
             for n in range(2, longest + 1):
                 these = np.flatnonzero(n_words == n)
                 e = last[these]
@@ -421,7 +426,7 @@ def read_cuts(found: DataFrame, slots, counts, longest: int) -> DataFrame:
                     lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.stack(x, axis=1)[some].ravel()), n - 1).cast(pa.list_(pa.int64())) for x in (left, right)]
                     yield pa.RecordBatch.from_arrays([lang.take(pa.array(these[some])), phrase.take(pa.array(these[some])), pa.array(a[some]), *lists], ["lang", "phrase", "a", "l", "r"])
 
-    return arrow_map(found.select("langs", "phrases"), read, "lang string, phrase string, a long, l array<long>, r array<long>")
+    return arrow_map(found.select("lines"), read, "lang string, phrase string, a long, l array<long>, r array<long>")
 
 
 def rounds(sizes: dict[int, int], most: int) -> list[list[int]]:
@@ -436,6 +441,18 @@ def rounds(sizes: dict[int, int], most: int) -> list[list[int]]:
     return out
 
 
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of so many rows at most while the jobs run: whole texts are long, and a batch lies in a worker's memory more than once."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, min(int(before), rows) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def collocations(docs: DataFrame, min_count: int = 10, longest: int = 3, covered_percent: int = 50, most: int = 2000, bits: int = SKETCH_BITS, round_keys: int = ROUND_KEYS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: of each language of `docs` (lang, text) its `most` phrases of two words or more that hold together best.
 
@@ -444,6 +461,11 @@ def collocations(docs: DataFrame, min_count: int = 10, longest: int = 3, covered
     languages are und. Ties go by a, then by the phrase's bytes. Repeated rows count each; whole texts are worked on,
     half a MB at a time; an empty table gives an empty result; other columns are left out.
     """
+    with short_batches(docs.sparkSession):
+        return _collocations(docs, min_count, longest, covered_percent, most, bits, round_keys)
+
+
+def _collocations(docs: DataFrame, min_count: int, longest: int, covered_percent: int, most: int, bits: int, round_keys: int) -> DataFrame:
     spark, mine = docs.sparkSession, len(WRITTEN)
     # What tasks send is counted once a task, so a few longer tasks send less than many short ones.
     tasks = max(2 * spark.sparkContext.defaultParallelism, -(-docs.rdd.getNumPartitions() // TASK_PARTS))
