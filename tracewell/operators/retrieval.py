@@ -6,6 +6,7 @@ a whole table come from range partitions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import datetime
 
@@ -23,6 +24,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NOT_WORD), lambda t: t != "")
 
 
+def query_words(query: str) -> list[str]:
+    """The different words of a query, in its order."""
+    return list(dict.fromkeys(w for w in re.split(r"[\W_]+", query.lower()) if w))
+
+
 def chunk_filters(chunks: DataFrame, systems: Sequence[str] = (), since: datetime | None = None, until: datetime | None = None, excluded: Sequence[str] | DataFrame = ()) -> DataFrame:
     """P-04 and J-07: bounds are inclusive, and a bound leaves rows without a time out. excluded: a few ids, or a table of chunk_id."""
     if systems:
@@ -49,9 +55,7 @@ def bm25(chunks: DataFrame, query: str, k: int | None = None, key: str = "chunk_
     each word, and only where it stands its places are taken out and told by the length that is lost. Over all chunks the
     mean length and each word's document frequency are one row, joined by broadcast.
     """
-    import re
-
-    words = list(dict.fromkeys(w for w in re.split(r"[\W_]+", query.lower()) if w))
+    words = query_words(query)
     if not words:
         return chunks.select(key, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     t = chunks.select(key, F.lower(text).alias("_t"))
