@@ -285,3 +285,12 @@ def test_copied_pages_and_shared_headings_keep_their_text(spark):
     got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [got[i] for i in range(3)] == ["Hello world Second para"] * 3
     assert [got[10 + i] for i in range(6)] == [f"Report {i} Method We did {i} things. Results Found {i}." for i in range(6)]
+
+
+def test_license_labels_are_those_of_the_row(spark):
+    from tracewell.llm import licenses
+
+    mit, gpl = "Released under the MIT License", "This work is licensed under the GNU General Public License, version 3"
+    rows = [(1, mit, "x"), (1, gpl, "x"), (1, "plain words", "x"), (None, mit, "x"), (None, gpl, "x"), (None, None, "x"), (2, mit, "x"), (2, mit, "x")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, labels string")).collect()
+    assert sorted((r.doc_id or 0, r.labels) for r in got) == [(0, ""), (0, "gpl,gpl-3.0"), (0, "mit"), (1, ""), (1, "gpl,gpl-3.0"), (1, "mit"), (2, "mit"), (2, "mit")]

@@ -142,22 +142,25 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
 
     score: the largest containment of a template, 1 where a base phrase stands, else 0. Null and empty texts have no
     words, no labels and score 0. Blocks are lines and windows of words across lines, of whole texts of any length. Rows
-    that share a doc_id each get their own base values and the union of their templates' labels; a null doc_id gets base
-    labels only; an empty table gives an empty result, and other columns are left out.
+    that share a doc_id or have none each get the values of their own text; an empty table gives an empty result, and
+    other columns are left out.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    # Rows of one id and text have the same values; the id spreads copies of one text.
+    docs = docs.withColumn("_key", F.md5(F.concat_ws(":", F.md5(F.coalesce("text", F.lit(""))), F.col("doc_id").cast("string"))))
     s = F.col("s")
     hit = s.rlike(" (?:" + "|".join(PHRASES) + ") ")
     places = [phrase_places(s, p) for p in PHRASES]
     found = F.array_compact(F.array(*[F.when(n > 0, F.lit(label)) for (n, _, _), label in zip(places, PHRASES.values(), strict=True)]))
     best = F.when(hit, F.struct(sum((n for n, _, _ in places), F.lit(0)).alias("n"), F.least(*[a for _, a, _ in places]).alias("first"), F.greatest(*[b for _, _, b in places]).alias("last"), found.alias("labels")))
-    base = docs.select("doc_id", spaced(F.col("text")).alias("s")).select("doc_id", n_words(s).alias("n_words"), best.alias("b"))
+    base = docs.select("_key", "doc_id", spaced(F.col("text")).alias("s")).select("_key", "doc_id", n_words(s).alias("n_words"), best.alias("b"))
     none = F.array().cast("array<string>")
-    base = base.select("doc_id", "n_words", F.coalesce("b.n", F.lit(0)).cast("long").alias("n_base"), F.col("b.first").cast("long").alias("first_word"), F.col("b.last").cast("long").alias("last_word"), F.coalesce("b.labels", none).alias("base"))
-    plan = _Plan(docs, templates, threshold)
-    blocks = template_blocks(docs, templates, threshold, plan).select("doc_id", "label", "containment").unionByName(wrapped_blocks(docs, templates, threshold, plan))
-    more = cut(blocks.groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("most")))
-    out = base.join(F.broadcast(more) if small(more, BROADCAST_ROWS) else more, "doc_id", "left")
+    base = base.select("_key", "doc_id", "n_words", F.coalesce("b.n", F.lit(0)).cast("long").alias("n_base"), F.col("b.first").cast("long").alias("first_word"), F.col("b.last").cast("long").alias("last_word"), F.coalesce("b.labels", none).alias("base"))
+    keyed = docs.select(F.col("_key").alias("doc_id"), "text")
+    plan = _Plan(keyed, templates, threshold)
+    blocks = template_blocks(keyed, templates, threshold, plan).select("doc_id", "label", "containment").unionByName(wrapped_blocks(keyed, templates, threshold, plan))
+    more = cut(blocks.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_set("label").alias("more"), F.max("containment").alias("most")))
+    out = base.join(F.broadcast(more) if small(more, BROADCAST_ROWS) else more, "_key", "left")
     both = F.array_union("base", F.coalesce("more", none))
     score = F.greatest(F.coalesce("most", F.lit(0.0)), F.when(F.col("n_base") > 0, 1.0).otherwise(0.0))
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
