@@ -77,3 +77,36 @@ def test_vector_search(spark, tmp_path):
     for probe in ([0.0] * 8, [1.0] * 7, [float("nan")] * 8):
         assert index.search(probe, 5).isEmpty()
     assert VectorIndex.build(v.limit(0), str(tmp_path / "none"), 8).search([1.0] * 8, 3).isEmpty()
+
+
+def test_histogram_and_source_counts(spark):
+    from tracewell.operators.telemetry import histogram
+    from tracewell.sources.store import source_counts
+
+    v = spark.createDataFrame([("a", 0.0), ("a", 1.0), ("a", 1.5), ("b", 9.0), ("b", float("nan")), ("b", None)], "k string, value double")
+    assert {tuple(r) for r in histogram(v, "value", [1, 2], "k").collect()} == {("a", 0, 2), ("a", 1, 1), ("b", 2, 2)}
+    with pytest.raises(ValueError):
+        histogram(v, "value", [2, 1])
+    r = spark.createDataFrame([("r1", "bank"), ("r2", "bank"), ("r3", None)], "record_id string, source_system string")
+    c = spark.createDataFrame([("r1",), ("r1",), ("r3",), ("gone",)], "record_id string")
+    assert {tuple(x) for x in source_counts(r, c).collect()} == {("bank", 2, 2), (None, 1, 2)}
+    assert source_counts(r.limit(0), c.limit(0)).count() == 0
+
+
+def test_stream_outcomes_equal_batch(spark, tmp_path):
+    from tracewell.operators.rules import reconciliation
+    from tracewell.streaming.events import stream_outcomes
+
+    rnd = random.Random(9)
+    made = [(rnd.choice("mc"), f"x{i}", rnd.choice("ab"), rnd.choice("ab"), rnd.choice(["i", "j", None]), rnd.choice(["s", None]), rnd.randrange(0, 20_000)) for i in range(300)]
+    schema = "kind string, id string, sender string, receiver string, imei string, subscriber string, s long"
+    rows = spark.createDataFrame(made, schema).withColumn("ts", F.timestamp_seconds("s"))
+    last = spark.createDataFrame([(k, "last", "z", "z", None, None, 900_000) for k in "mc"], schema).withColumn("ts", F.timestamp_seconds("s"))
+    rows.unionByName(last).coalesce(1).write.parquet(str(tmp_path / "in"))
+    side = lambda df, kind, name: df.filter(F.col("kind") == kind).select(F.col("id").alias(name), "sender", "receiver", "imei", "subscriber", "ts")
+    read = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    out = stream_outcomes(side(read(), "m", "msg_id"), side(read(), "c", "cdr_id"), 90)
+    out.writeStream.format("memory").queryName("outcomes").option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.msg_id, r.candidates, r.outcome) for r in spark.table("outcomes").collect())
+    want = sorted((r.msg_id, r.candidates, r.outcome) for r in reconciliation(side(rows, "m", "msg_id"), side(rows, "c", "cdr_id"), 90).collect())
+    assert got == want and {o for _, _, o in got} == {"unmatched", "same_event", "abstain"}

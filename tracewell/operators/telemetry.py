@@ -11,6 +11,17 @@ from pyspark.sql import functions as F
 TRANSIENT = ["throttled", "timeout", "unavailable", "connection_reset", "rate_limited", "server_error"]
 
 
+def histogram(rows: DataFrame, value: str, bounds: Sequence[float], *keys: str) -> DataFrame:
+    """A-21: rows by bucket: 0 up to the first bound (which belongs to it), then up to each next one, and one beyond the last.
+
+    Buckets without rows are left out, and so are null values; NaN counts beyond the last bound. Bounds must rise.
+    """
+    if list(bounds) != sorted(set(bounds)):
+        raise ValueError("bounds must rise")
+    bucket = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b < F.col(value)))
+    return rows.filter(F.col(value).isNotNull()).groupBy(*keys, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def attribute_pipeline(spans: DataFrame, drop: Sequence[str] = (), rename: dict[str, str] | None = None, require: str | None = None) -> DataFrame:
     """L-02: a branch of a pipeline over a map column `attributes`: keys dropped, keys renamed, rows without a key left out."""
     a = F.map_filter("attributes", lambda k, _: ~k.isin(*drop)) if drop else F.col("attributes")

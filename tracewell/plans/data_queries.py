@@ -13,6 +13,7 @@ from ..functions import text as X
 from ..operators import graph as G
 from ..operators import retrieval as R
 from ..operators import state as M
+from ..operators import telemetry
 from ..registry import query, table
 from ..sources import store
 
@@ -448,9 +449,12 @@ def a04(spark, d):
     return G.outcome_counts(("entity", table(spark, d, "events").select(F.col("event_type").alias("outcome"))))
 
 
-@query("a05_source_counts", "select source, count(*) as records from documents group by 1")
+@query("a05_source_counts", f"{X.chunks_sql('documents', 'doc_id', 'text', 4000, 200)}, k as (select doc_id, count(*) as n from w group by 1) select source, count(*) as records, cast(coalesce(sum(n), 0) as bigint) as chunks from documents left join k using (doc_id) group by 1")
 def a05(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("records"))
+    """Documents of each source and the chunks that they make."""
+    docs = _docs(spark, d)
+    sources = docs.select("record_id").withColumn("doc_id", F.substring_index("record_id", ":", -1).cast("bigint")).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return store.source_counts(sources.select("record_id", "source"), X.chunk_text(docs), "source")
 
 
 _COUNTED = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -509,8 +513,7 @@ BOUNDS = [0.01 * 2**i for i in range(14)]
 
 @query("a21_histogram", f"select cast(len(list_filter([{', '.join(map(str, BOUNDS))}]::double[], lambda b: b < value)) as int) as bucket, count(*) as n from events group by 1")
 def a21(spark, d):
-    bucket = F.size(F.filter(F.array(*map(F.lit, BOUNDS)), lambda b: b < F.col("value")))
-    return table(spark, d, "events").groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return telemetry.histogram(table(spark, d, "events"), "value", BOUNDS)
 
 
 @query("w01_ranks", "select o_orderkey, cast(row_number() over (order by o_totalprice desc, o_orderkey) as int) as rank from orders")

@@ -630,6 +630,18 @@ def n05(spark, d):
     return out.select("thread_id", "request_id", F.col("at").cast("timestamp_ntz").alias("at"))
 
 
+@query("n08_stream_outcomes", """with m as (select event_id, user_id, epoch_us(ts) as us from events where event_type = 'click'), c as (select event_id, user_id, epoch_us(ts) as us from events where event_type = 'view'),
+p as (select m.event_id as m, c.event_id as c from m join c on m.user_id = c.user_id and abs(m.us - c.us) <= 3600000000), g as (select m, count(distinct c) as n from p group by 1)
+select cast(m.event_id as string) as msg_id, cast(coalesce(n, 0) as int) as candidates, case when n is null then 'unmatched' when n = 1 then 'same_event' else 'abstain' end as outcome from m left join g on g.m = m.event_id""")
+def n08_outcomes(spark, d):
+    """Clicks and views as two streams; a last row of each, a year later, lets the watermark pass all others."""
+    e = table(spark, d, "events").filter("event_type in ('click', 'view')").select(_text("event_id").alias("id"), "event_type", _text("user_id").alias("sender"), F.col("ts").cast("timestamp").alias("ts"))
+    last = e.agg((F.max("ts") + F.expr("interval 365 days")).alias("ts")).select(F.lit("last").alias("id"), F.explode(F.array(F.lit("click"), F.lit("view"))).alias("event_type"), F.lit("none").alias("sender"), "ts")
+    side = lambda s, kind, name: s.filter(F.col("event_type") == kind).select(F.col("id").alias(name), "sender", F.col("sender").alias("receiver"), F.lit("i").alias("imei"), F.lit(None).cast("string").alias("subscriber"), "ts")
+    out = _streamed(spark, e.unionByName(last), lambda s: N.stream_outcomes(side(s, "click", "msg_id"), side(s, "view", "cdr_id"), 3600), "append")
+    return out.select("msg_id", F.size("candidates").alias("candidates"), "outcome")
+
+
 @query("n06_thread_totals", "select conv_id || '' as thread_id, cast(sum(length(text)) as bigint) as tokens, count(*) as calls from conversations group by 1")
 def n06(spark, d):
     """Totals only grow, so a thread's last ones are its largest."""

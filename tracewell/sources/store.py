@@ -261,6 +261,18 @@ def term_statistics(chunks: DataFrame, key: str = "chunk_id", text: str = "text"
     return postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def source_counts(records: DataFrame, chunks: DataFrame, source: str = "source_system") -> DataFrame:
+    """A-05: records and chunks of each source (null among them). Each side is summed before they meet, so a source's rows never do.
+
+    A record without chunks counts as a record, and chunks whose record is gone count under no source.
+    """
+    held = records.select("record_id", source).join(chunks.groupBy("record_id").agg(F.count(F.lit(1)).alias("_n")), "record_id", "left")
+    counted = held.groupBy(source).agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum("_n"), F.lit(0)).alias("chunks"))
+    gone = chunks.join(records.select("record_id"), "record_id", "left_anti").agg(F.count(F.lit(1)).alias("chunks")).filter("chunks > 0")
+    lost = gone.select(F.lit(None).cast(records.schema[source].dataType).alias(source), F.lit(0).cast("bigint").alias("records"), "chunks")
+    return counted.unionByName(lost).groupBy(source).agg(F.sum("records").alias("records"), F.sum("chunks").alias("chunks"))
+
+
 def unit_vectors(chunks: DataFrame, vector: str = "embedding", width: int | None = None) -> DataFrame:
     """S-16: vectors of length one; those of another width are nulled, as a changed width asks for new embeddings."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))

@@ -31,6 +31,22 @@ def stream_reconciliation(messages: DataFrame, cdr: DataFrame, tolerance_s: int
     return m.join(c, near).select("msg_id", "cdr_id", "m_ts", "c_ts")
 
 
+def stream_outcomes(messages: DataFrame, cdr: DataFrame, tolerance_s: int = 90, late: str = "10 minutes") -> DataFrame:
+    """N-08, J-12, T-06: what `rules.reconciliation` gives, from two streams: msg_id, m_ts, candidates, outcome of each message.
+
+    A left outer join within the tolerance, then one group a message. A message comes out once the watermarks say that no
+    candidate can come any more, so its outcome never changes: one candidate is the same event, more decide nothing, none
+    leaves it unmatched. What comes later than the watermark is left out, and so are messages without a time.
+    """
+    m = messages.select("msg_id", "sender", "receiver", "imei", "subscriber", F.col("ts").alias("m_ts")).withWatermark("m_ts", late)
+    c = cdr.select("cdr_id", F.col("sender").alias("c_sender"), F.col("receiver").alias("c_receiver"), F.col("imei").alias("c_imei"), F.col("subscriber").alias("c_subscriber"), F.col("ts").alias("c_ts")).withWatermark("c_ts", late)
+    near = F.expr(f"""sender = c_sender and receiver = c_receiver and (coalesce(imei = c_imei, false) or coalesce(subscriber = c_subscriber, false))
+        and c_ts >= m_ts - interval {tolerance_s} seconds and c_ts <= m_ts + interval {tolerance_s} seconds""")
+    found = m.join(c, near, "left_outer").groupBy("msg_id", "m_ts").agg(F.array_sort(F.collect_set("cdr_id")).alias("candidates"))
+    n = F.size("candidates")
+    return found.withColumn("outcome", F.when(n == 0, "unmatched").when(n == 1, "same_event").otherwise("abstain"))
+
+
 def deduplicated(requests: DataFrame, time: str, late: str) -> DataFrame:
     """N-05: each request once, for as long as the watermark remembers."""
     return requests.withWatermark(time, late).dropDuplicatesWithinWatermark(["thread_id", "request_id"])
