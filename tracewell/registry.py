@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries():
-    from .plans import data_queries, index_queries, more_queries, port_queries, rule_queries, surface_queries  # noqa: F401 - they register themselves
+    from .plans import data_queries, identity_queries, index_queries, more_queries, port_queries, rule_queries, surface_queries  # noqa: F401 - they register themselves
 
     return dict(QUERIES)
 
