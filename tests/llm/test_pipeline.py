@@ -79,3 +79,37 @@ def test_run_deletes_what_it_no_longer_needs(spark, sf):
     assert len(shared.WRITTEN) - before == 1 and out.count() > 0
     shared.drop_tables(spark, keep=before)
     assert len(shared.WRITTEN) == before
+
+
+def test_python_gets_short_batches(spark, sf, monkeypatch):
+    """Whatever the session's length of Arrow batches, no stage's Python sees a long one, and the session keeps its own."""
+    import corpus_pipeline as P
+
+    frame = type(spark.range(1))
+
+    def held(batches, fn):
+        def checked():
+            for b in batches:
+                assert b.num_rows <= 1000, f"a batch of {b.num_rows} rows"
+                yield b
+
+        return fn(checked())
+
+    monkeypatch.setattr(frame, "mapInArrow", lambda df, fn, *a, plain=frame.mapInArrow, **k: plain(df, lambda batches: held(batches, fn), *a, **k))
+    long = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, docs = spark.conf.get(long), spark.range(1200).coalesce(1).selectExpr("id doc_id", "concat('Words of text ', id, ' and some more of it, ', id * 7) text", "'en' lang", "'a' source")
+    for name, stage in P.STAGES:
+        if name in ("quality", "near_duplicates", "bpe"):
+            assert stage(spark, docs, sf).write.format("noop").mode("overwrite").save() is None
+    assert spark.conf.get(long) == before
+
+
+def test_starts_of_ranges_need_no_python(spark, capsys):
+    from tracewell.llm import mixing
+
+    rows = spark.range(20).selectExpr("id source", "id + 1 source_size")
+    out = mixing._summed(rows, [F.col("source")], ["source_size"])
+    out.explain()
+    assert "ExistingRDD" not in capsys.readouterr().out
+    assert [tuple(r) for r in out.sort("source").collect()] == [(i, i + 1, i, i * (i + 1) // 2) for i in range(20)]
+    assert mixing._summed(rows.limit(0), [F.col("source")], ["source_size"]).count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,7 +31,9 @@ def _summed(rows: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
     for part, *add in totals:
         starts.append((part, *held))
         held = [x + y for x, y in zip(held, add, strict=True)]
-    start = F.broadcast(rows.sparkSession.createDataFrame(starts, "part int" + "".join(f", start_{c} long" for c in names)))
+    # As Arrow the rows come with the plan; a list would be read by Python workers of another kind, which stay beside those of the UDFs.
+    schema = pa.schema([("part", pa.int32()), *[(f"start_{c}", pa.int64()) for c in names]])
+    start = F.broadcast(rows.sparkSession.createDataFrame(pa.Table.from_arrays([pa.array([s[i] for s in starts], t) for i, t in enumerate(schema.types)], schema=schema)))
     inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     own = {"n": F.count(F.lit(1)).over(inside)} | {c: F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums}
     return dealt.join(start, "part").select(*rows.columns, *[(F.col(f"start_{c}") + own[c]).alias(f"before_{c}") for c in names])

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import U64, arrow_map, components, cut, mix, small, text_pieces, words
+from .shared import U64, arrow_map, components, cut, mix, short_batches, small, text_pieces, words
 
 COORDINATES, POSTED, MISS = 128, 32, 1e-9
 #: Classes in a block of a posting list, in a block of sets, and members that one copy of a leader's set is compared with.
@@ -376,7 +376,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFr
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100: below, the lists prune too little")
-    out = _labelled(docs, percent, size)
+    with short_batches(docs.sparkSession):
+        out = _labelled(docs, percent, size)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
@@ -386,7 +387,8 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     Where several rows of a component have that id, the one with the smallest hash of its columns stays. Rows without
     a doc_id, and rows without words, all stay. No name of a column of `docs` is in the way: rows are carried whole.
     """
-    found = cut(_labelled(docs, percent, 5).filter("doc_id is not null"))
+    with short_batches(docs.sparkSession):
+        found = cut(_labelled(docs, percent, 5).filter("doc_id is not null"))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     # Ids of more than one row, whose rows are told apart by their sets; all others are told by the id.
     twice = cut(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select(F.col("doc_id").alias("id")))
@@ -402,7 +404,8 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     long = T.LongType()
     schema = T.StructType([T.StructField(c, long) for c in ("id", "n", "h1", "h2")] + [T.StructField("row", rows.schema["row"].dataType)])
-    again = cut(arrow_map(rows.join(by_id(twice), "id", "left_semi").select("id", "text", "row"), digests, schema))
+    with short_batches(docs.sparkSession):
+        again = cut(arrow_map(rows.join(by_id(twice), "id", "left_semi").select("id", "text", "row"), digests, schema))
     named = found.filter("doc_id = component_id").select(F.col("doc_id").alias("id"), "h1", "h2", "component").distinct()
     held = again.filter("n > 0").join(named, ["id", "h1", "h2"])
     alone = lambda c: F.when(F.col("component").isNull(), F.col(c)).alias(f"alone_{c}")

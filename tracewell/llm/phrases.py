@@ -14,16 +14,15 @@ Where candidates are more than a round's bound, 4 and 5 go round by round over s
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import LOWER, U64, WRITTEN, arrow_map, cut, drop_tables, mix, runs, strong_hashes, table, text_pieces
+from .shared import LOWER, U64, WRITTEN, arrow_map, cut, drop_tables, mix, runs, short_batches, strong_hashes, table, text_pieces
 
 #: What ends a piece, and what stands between words.
 ENDS, BLANKS = np.zeros(256, bool), np.zeros(256, bool)
@@ -441,18 +440,6 @@ def rounds(sizes: dict[int, int], most: int) -> list[list[int]]:
     return out
 
 
-@contextmanager
-def short_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Arrow batches of so many rows at most while the jobs run: whole texts are long, and a batch lies in a worker's memory more than once."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, min(int(before), rows) if int(before) > 0 else rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(setting, before)
-
-
 def collocations(docs: DataFrame, min_count: int = 10, longest: int = 3, covered_percent: int = 50, most: int = 2000, bits: int = SKETCH_BITS, round_keys: int = ROUND_KEYS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: of each language of `docs` (lang, text) its `most` phrases of two words or more that hold together best.
 
@@ -461,7 +448,7 @@ def collocations(docs: DataFrame, min_count: int = 10, longest: int = 3, covered
     languages are und. Ties go by a, then by the phrase's bytes. Repeated rows count each; whole texts are worked on,
     half a MB at a time; an empty table gives an empty result; other columns are left out.
     """
-    with short_batches(docs.sparkSession):
+    with short_batches(docs.sparkSession, 1000):
         return _collocations(docs, min_count, longest, covered_percent, most, bits, round_keys)
 
 

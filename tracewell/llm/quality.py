@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, U64, arrow_map, cut, hash_runs, held, mix, runs, text_pieces
+from .shared import LOWER, U64, arrow_map, cut, hash_runs, held, mix, runs, short_batches, text_pieces
 
 #: The table of word vectors has this size whatever the corpus (BUCKETS * DIM doubles, 2 MB).
 BUCKETS, DIM, NONZERO, REACH = 8192, 32, 4, 2
@@ -152,14 +152,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     an id the one with the smallest text is fitted on, of labels that share an id the largest stands; without both labels
     (an empty table, too) the score is a constant.
     """
-    vectors = word_vectors(docs)
+    with short_batches(docs.sparkSession):
+        vectors = word_vectors(docs)
 
     def features(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         x = np.concatenate([*pooled(batch.column(1), vectors), np.zeros((0, 2 * DIM + 4))])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x.tobytes() and [r.tobytes() for r in x] or [], pa.binary()), batch.column(2).cast(pa.int32())], ["doc_id", "x", "y"])
 
     # At most `sample` rows.
-    got = arrow_map(labelled_sample(docs, labels, "quality", 3, 1, True, sample), features, "doc_id long, x binary, y int").toPandas().sort_values("doc_id")
+    with short_batches(docs.sparkSession):
+        got = arrow_map(labelled_sample(docs, labels, "quality", 3, 1, True, sample), features, "doc_id long, x binary, y int").toPandas().sort_values("doc_id")
     x = np.frombuffer(b"".join(got.x), np.float64).reshape(len(got), 2 * DIM + 4)
     return vectors, fit_network(x, got.y.to_numpy(np.float64))
 

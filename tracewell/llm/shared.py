@@ -7,6 +7,7 @@ import tempfile
 import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,19 @@ def drop_tables(spark: SparkSession, keep: int = 0, last: int = 0) -> None:
         WRITTEN.paths.remove(path)
 
 
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Arrow batches of so many rows at most while the jobs run: whole texts are long, and a batch lies more than once in the
+    memory of a worker and of its JVM, which keep what they took. What runs later has the session's own length again."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, min(int(before), rows) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def small(df: DataFrame, limit: int) -> bool:
     """Whether a (written) table has at most so many rows; reads no more than it needs to tell."""
     return df.limit(limit + 1).count() <= limit
