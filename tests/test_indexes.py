@@ -48,6 +48,17 @@ def test_text_bounds(spark, texts, index):
     assert whole.filter("n <> size(held)").isEmpty()
 
 
+def test_text_build_deals_out_texts_alone(spark, texts, tmp_path):
+    """What a build shuffles grows with the texts, not with their postings, which are several for each text."""
+    sc = spark.sparkContext
+    stages = lambda: spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(spark._jvm.double, 0), None))
+    before = {s.stageId() for s in stages()}
+    built = TextIndex.build(texts, str(tmp_path / "index"), block=16, folders=16)
+    postings = built.parts("postings", "folder", built.facts["folders"]).agg(F.sum("n")).first()[0]
+    shuffled = sum(s.shuffleWriteRecords() for s in stages() if s.stageId() not in before)
+    assert postings > 10_000 and shuffled < 3 * texts.count()
+
+
 def test_text_rebuild_and_empty(spark, texts, tmp_path):
     root = str(tmp_path / "index")
     with pytest.raises(FileNotFoundError):

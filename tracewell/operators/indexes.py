@@ -10,13 +10,14 @@ import json
 import math
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.store import read_file, term_statistics, write_file
+from ..sources.store import read_file, write_file
 from . import retrieval as R
 
 #: Blocks that a search looks at first, to learn how good an answer must be.
@@ -50,6 +51,18 @@ class _Kept:
         return self.spark.read.option("basePath", f"{self.folder}/{name}").parquet(*[f"{self.folder}/{name}/{column}={v}" for v in sorted(values)])
 
 
+@contextmanager
+def _sorted_groups(spark: SparkSession) -> Iterator[None]:
+    """Lists are gathered from sorted rows while a table is written: one sort, which spills, where a hash table would sort what it cannot hold twice."""
+    setting = "spark.sql.execution.useObjectHashAggregateExec"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def _impact(tf: Column, dl: Column, avg: float) -> Column:
     return tf * (R.K1 + 1) / (tf + R.K1 * (1 - R.B + R.B * dl / F.lit(avg)))
 
@@ -75,17 +88,23 @@ class TextIndex(_Kept):
         facts = {"build": cls.new(root), "key": key, "type": chunks.schema[key].dataType.simpleString(), "n": n, "avg": sum(g.words or 0 for g in groups) / max(counted, 1), "folders_of": folders, "folders": []}
         if blocks := {g.c: -(-g.n // block) for g in groups if g.c is not None}:
             many = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])
-            postings, _ = term_statistics(chunks, key, text)
+            words = R.tokens(F.col(text))
+            sized = chunks.select(F.col(key).alias("key"), F.col(text).alias("text"), F.size(words).alias("dl")).filter("dl > 0")
             c = length(F.col("dl"))
-            at = (c.cast("long") * F.lit(1 << 32) + F.pmod(F.xxhash64(key), F.element_at(many, c))).alias("block")
-            rows = postings.select("term", at, F.col(key).alias("key"), "tf", "dl").groupBy("term", "block").agg(
+            at = (c.cast("long") * F.lit(1 << 32) + F.pmod(F.xxhash64("key"), F.element_at(many, c))).alias("block")
+            # The texts themselves are dealt out, a block to a task: they are a small part of their postings, which then are made and grouped where they are.
+            dealt = sized.select("key", "text", "dl", at).repartition("block").select("key", "dl", "block", F.sort_array(R.tokens(F.col("text"))).alias("_t"))
+            begins = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1)))
+            counts = F.transform("_s", lambda i, j: F.struct(F.get("_t", i).alias("term"), (F.coalesce(F.get("_s", j + 1), F.col("dl")) - i).cast("long").alias("tf")))
+            rows = dealt.withColumn("_s", begins).select("key", "dl", "block", F.explode(counts).alias("p")).select("p.term", "block", "key", "p.tf", "dl")
+            rows = rows.withColumn("folder", F.pmod(F.xxhash64("term"), F.lit(folders)).cast("int")).groupBy("folder", "term", "block").agg(
                 F.count(F.lit(1)).alias("n"), F.max(_impact(F.col("tf"), F.col("dl"), facts["avg"])).alias("most"), F.array_sort(F.collect_list(F.struct("key", "tf", "dl"))).alias("held")
             )
-            rows = rows.withColumn("folder", F.pmod(F.xxhash64("term"), F.lit(folders)).cast("int"))
             order, place = ["folder", "term", "block"], f"{root}/{facts['build']}"
-            rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("folder").parquet(f"{place}/postings")
+            with _sorted_groups(spark):
+                rows.sortWithinPartitions(*order).write.option("compression", "zstd").partitionBy("folder").parquet(f"{place}/postings")
             heads = spark.read.parquet(f"{place}/postings").select("folder", "term", "block", "n", "most")
-            heads.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("folder").parquet(f"{place}/heads")
+            heads.sortWithinPartitions(*order).write.option("compression", "zstd").partitionBy("folder").parquet(f"{place}/heads")
             facts["folders"] = sorted(r.folder for r in spark.read.parquet(f"{place}/heads").select("folder").distinct().collect())
         cls.put(spark, root, facts)
         return cls(spark, root)
