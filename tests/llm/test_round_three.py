@@ -196,6 +196,20 @@ def test_op13(spark, d):
     assert got == plain_phrases(rows) and got == sorted(con.execute(phrases.OP13_SQL).fetchall())
 
 
+def test_words_are_hashed_by_their_bytes_alone_and_only_where_asked():
+    r = np.random.default_rng(4)
+    made = sorted({bytes(r.choice([97, 98, 0xC3], n).tolist()) for n in [*range(1, 80), 200, 3000] for _ in range(20)})
+    texts = [b" ".join(made), b".".join(made[::-1]), b"", b"\t" + made[-1], made[0].upper()]
+    offsets = np.cumsum([0, *map(len, texts)])
+    w = phrases.Words(np.frombuffer(b"".join(texts), np.uint8), offsets, np.zeros(len(texts), np.uint64))
+    assert [w.low[a : a + n].tobytes() for a, n in zip(w.start.tolist(), w.size.tolist(), strict=True)] == [*made, *made[::-1], made[-1], made[0]]
+    assert w.row.tolist() == [0] * len(made) + [1] * len(made) + [3, 4] and w.follows.tolist() == [False] + [True] * (len(made) - 1) + [False] * (len(made) + 2)
+    assert [n for n, _, _ in phrases.passing(w, {}, 3)] == [1, 2, 3] and set(w._hashes) == {0}
+    for seed in (0, 1):
+        key = w.key(np.arange(len(w.start)), 1, seed)
+        assert len(set(key.tolist())) == len(made) and key[: len(made)].tolist() == key[len(made) : -2][::-1].tolist() and key[-2] == key[len(made) - 1] and key[-1] == key[0]
+
+
 @pytest.mark.parametrize("longest", [2, 3, 4])
 def test_phrase_edges(spark, longest):
     rows = [(None, "a b. a b\tc  a b c"), ("en", None), ("en", ""), ("und", "C a\tb"), ("x", "a  b, A b;" * 4), ("", "é ü É ü"), ("a\t%09\nb", "p q p q"), ("de", "x y z w " * 300), ("de", "x\x0by\x0cz\rw")] * 3

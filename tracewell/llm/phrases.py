@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import LOWER, U64, WRITTEN, arrow_map, cut, drop_tables, mix, runs, short_batches, strong_hashes, table, text_pieces
+from .shared import LOWER, U64, WRITTEN, arrow_map, cut, drop_tables, mix, short_batches, strong_hashes, table, text_pieces
 
-#: What ends a piece, and what stands between words.
-ENDS, BLANKS = np.zeros(256, bool), np.zeros(256, bool)
-ENDS[[*b".,;:!?\n\x0b\x0c\r"]] = True
-BLANKS[[32, 9]] = True
+#: What stands between words (1), and what ends a piece (2).
+KIND = np.zeros(256, np.uint8)
+KIND[[32, 9]] = 1
+KIND[[*b".,;:!?\n\x0b\x0c\r"]] = 2
+#: The first so many of eight bytes, and beyond how many bytes a word is long.
+FIRST_BYTES, LONG = np.array([(1 << 8 * n) - 1 for n in range(9)], U64), 64
 
 #: Bits of a sketch's places, and what a round broadcasts at most (about nine bytes a key).
 SKETCH_BITS, ROUND_KEYS = 27, 1 << 23
@@ -38,37 +40,68 @@ TASK_PARTS = 4
 CHUNK, SLOTS, SHARD_BITS, FAN, GATHERED, PLACES, SENT = 1 << 18, 1 << 13, 9, 64, 1 << 18, 1 << 20, 1 << 21
 
 
+def word_hashes(low: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, eight at a time (long words byte by byte); `low` has eight bytes more than the text."""
+    step = mix(np.array([seed + 1], U64))[0] | U64(1)
+    out = mix(size.astype(U64) * U64(0xD6E8FEB86659FD93) + step)
+    eight = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
+    for at in range(0, LONG, 8):
+        these = np.flatnonzero((size > at) & (size <= LONG)) if at else np.flatnonzero(size <= LONG)
+        if not len(these):
+            break
+        out[these] = mix(out[these] * step + (eight[start[these] + at] & FIRST_BYTES[np.minimum(size[these] - at, 8)]))
+    these = np.flatnonzero(size > LONG)
+    if len(these):
+        lens = size[these]
+        first = np.cumsum(lens) - lens
+        out[these] = strong_hashes(low, np.arange(int(lens.sum())) + np.repeat(start[these] - first, lens), first, lens, seed)
+    return out
+
+
 class Words:
-    """Words of some texts: two hashes of each, where it begins and ends, and whether it follows the one before in a piece."""
+    """Words of some texts: where each begins and ends, whether it follows the one before in a piece, and two hashes of each, made when asked for."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, languages: np.ndarray) -> None:
-        self.low = LOWER[data]
-        ends = ENDS[self.low]
-        at, first, lens = runs(~(ends | BLANKS[self.low]), offsets)
-        self.start, self.size = at[first], lens
+        self.low = np.append(LOWER[data], np.zeros(8, np.uint8))
+        kind = KIND[data]
+        inside = np.zeros(len(data) + 2, bool)
+        np.equal(kind, 0, out=inside[1:-1])
+        before, after = inside[:-2].copy(), inside[2:].copy()
+        some = offsets[:-1] < offsets[1:]
+        before[offsets[:-1][some]] = False
+        after[offsets[1:][some] - 1] = False
+        self.start = np.flatnonzero(inside[1:-1] & ~before)
+        self.size = np.flatnonzero(inside[1:-1] & ~after) + 1 - self.start
         row = np.searchsorted(offsets, self.start, "right") - 1
-        piece = np.cumsum(ends)[self.start] if len(self.start) else self.start
-        self.follows = np.zeros(len(first), bool)
+        piece = np.cumsum(kind == 2, dtype=np.int64)[self.start] if len(self.start) else self.start
+        self.follows = np.zeros(len(self.start), bool)
         self.follows[1:] = (row[1:] == row[:-1]) & (piece[1:] == piece[:-1])
         self.row, self.language = row, languages[row]
-        self.hashes = [strong_hashes(self.low, at, first, lens, seed) for seed in (0, 1)]
-
-    def phrases(self, n: int, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first word, key, second key) of all phrases of n words, or of those whose last words are given."""
+        self._hashes: dict[int, np.ndarray] = {}
+
+    def key(self, first: np.ndarray, n: int, seed: int) -> np.ndarray:
+        """A key of the phrases of n words that begin at these words."""
+        if seed not in self._hashes:
+            self._hashes[seed] = word_hashes(self.low, self.start, self.size, seed)
+        h, key = self._hashes[seed], self.language[first] + U64(n)
+        for k in range(n):
+            key = mix(key * U64(0x9E3779B97F4A7C15) + h[first + k])
+        return key
+
+    def firsts(self, n: int, last: np.ndarray | None = None) -> np.ndarray:
+        """The first words of all phrases of n words, or of those whose last words are given."""
         if last is None:
             follows = np.ones(len(self.follows), bool)
             for k in range(n - 1):
                 follows[k + 1 :] &= self.follows[1 : len(follows) - k]
                 follows[: k + 1] = False
             last = np.flatnonzero(follows)
-        first = last - (n - 1)
-        keys = []
-        for h in self.hashes:
-            key = self.language[first] + U64(n)
-            for k in range(n):
-                key = mix(key * U64(0x9E3779B97F4A7C15) + h[first + k])
-            keys.append(key)
-        return first, *keys
+        return last - (n - 1)
+
+    def phrases(self, n: int, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, key, second key) of all phrases of n words, or of those whose last words are given."""
+        first = self.firsts(n, last)
+        return first, self.key(first, n, 0), self.key(first, n, 1)
 
     def text(self, first: np.ndarray, n: int) -> list[bytes]:
         """The phrases' words with one space between them."""
@@ -112,22 +145,20 @@ class Sketch:
         return (self.packed[place >> 3] >> (place & 7).astype(np.uint8)) & 1 != 0
 
 
-def passing(w: Words, sketches: dict[int, Sketch], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Phrases of n words that pass with every part for which there is a sketch."""
-    ok, out = None, None
-    for k in range(1, n + 1):
-        if ok is None:
-            last = None
-        else:
-            follows = np.flatnonzero(w.follows)
-            last = follows[ok[follows] & ok[follows - 1]]
-        out = w.phrases(k, last)
-        if k in sketches:
-            hit = sketches[k].has(out[1])
-            out = tuple(x[hit] for x in out)
+def passing(w: Words, sketches: dict[int, Sketch], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(words, first word, key) of the phrases of one word, of two and so on that pass with every part for which there is a sketch."""
+    last = None
+    for n in range(1, longest + 1):
+        first = w.firsts(n, last)
+        key = w.key(first, n, 0)
+        if n in sketches:
+            hit = sketches[n].has(key)
+            first, key = first[hit], key[hit]
+        yield n, first, key
         ok = np.zeros(len(w.follows), bool)
-        ok[out[0] + k - 1] = True
-    return out
+        ok[first + n - 1] = True
+        follows = np.flatnonzero(w.follows)
+        last = follows[ok[follows] & ok[follows - 1]]
 
 
 def tree_sum(rows: DataFrame, tasks: int, add: Callable[[pa.Table], dict], schema: str, keys: list[str], finish: Callable[[dict], dict] = dict) -> DataFrame:
@@ -191,8 +222,10 @@ def sketched(docs: DataFrame, levels: list[int], known: dict[int, Sketch], min_c
                 if 1 in levels:
                     for i, c in enumerate(np.bincount(at[w.row], minlength=len(names)).tolist()):
                         words[names[i]] = words.get(names[i], 0) + c
-                for n in levels:
-                    waiting[n].append((passing(w, held.value, n)[1] >> U64(64 - bits)).astype(np.uint32))
+                for n, _, key in passing(w, held.value, max(levels)):
+                    if n not in waiting:
+                        continue
+                    waiting[n].append((key >> U64(64 - bits)).astype(np.uint32))
                     if sum(map(len, waiting[n])) > PLACES:
                         gather(n)
                         if len(merged[n][0]) > PLACES:
@@ -235,9 +268,8 @@ def _lang(line: str) -> str:
     return line.replace("%0A", "\n").replace("%09", "\t").replace("%25", "%")
 
 
-def candidates(docs: DataFrame, sketches: dict[int, Sketch], longest: int) -> DataFrame:
+def candidates(docs: DataFrame, held, longest: int) -> DataFrame:
     """(shard, task, lines): each different phrase that passes with all its parts once, one row a shard; a line is a language, a tab and a phrase."""
-    held = docs.sparkSession.sparkContext.broadcast(sketches)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, keys, lines = TaskContext.get().partitionId(), [], []
@@ -255,8 +287,7 @@ def candidates(docs: DataFrame, sketches: dict[int, Sketch], longest: int) -> Da
         for batch in batches:
             for w, known, at in word_pieces(batch):
                 begin = [_line(x) for x in known]
-                for n in range(1, longest + 1):
-                    first, key, _ = passing(w, held.value, n)
+                for n, first, key in passing(w, held.value, longest):
                     new = np.flatnonzero(sent[(key % U64(SENT)).astype(np.int64)] != key)
                     new = new[np.unique(key[new], return_index=True)[1]]
                     if len(new):
@@ -274,9 +305,7 @@ def candidates(docs: DataFrame, sketches: dict[int, Sketch], longest: int) -> Da
         return {"lines": b"\n".join(sorted(set(b"\n".join(t["lines"].to_pylist()).split(b"\n"))))}
 
     schema = "shard int, task int, lines binary"
-    out = cut(tree_sum(docs.mapInArrow(find, schema), docs.rdd.getNumPartitions(), add, schema, ["shard"]))
-    held.unpersist()
-    return out
+    return cut(tree_sum(docs.mapInArrow(find, schema), docs.rdd.getNumPartitions(), add, schema, ["shard"]))
 
 
 def _by_shard(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -367,8 +396,8 @@ def shards_of(found: DataFrame) -> DataFrame:
     return arrow_map(found.select("shard", "lines"), build, "shard int, sizes array<long>, bits binary, stored binary")
 
 
-def counted(docs: DataFrame, slots, longest: int, n_slots: int) -> np.ndarray:
-    """Occurrences of each slot's phrase over all documents."""
+def counted(docs: DataFrame, slots, sketches, longest: int, n_slots: int) -> np.ndarray:
+    """Occurrences of each slot's phrase over all documents; what the sketches leave out is no candidate and is not looked up."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hash_, task, sums, waiting = slots.value, TaskContext.get().partitionId(), np.zeros(n_slots, np.int64), []
@@ -380,9 +409,8 @@ def counted(docs: DataFrame, slots, longest: int, n_slots: int) -> np.ndarray:
 
         for batch in batches:
             for w, _, _ in word_pieces(batch):
-                for n in range(1, longest + 1):
-                    _, key, key2 = w.phrases(n)
-                    slot = hash_.slots(key, key2)
+                for n, first, key in passing(w, sketches.value, longest):
+                    slot = hash_.slots(key, w.key(first, n, 1))
                     waiting.append(slot[slot >= 0])
                 if sum(map(len, waiting)) > GATHERED:
                     gather()
@@ -460,16 +488,18 @@ def _collocations(docs: DataFrame, min_count: int, longest: int, covered_percent
     sketches, words = sketched(docs, [1, 2], {}, min_count, bits)
     for n in range(3, longest + 1):
         sketches |= sketched(docs, [n], sketches, min_count, bits)[0]
-    found = candidates(docs, sketches, longest)
+    known = spark.sparkContext.broadcast(sketches)
+    found = candidates(docs, known, longest)
     shards, parts = cut(shards_of(found)), []
     sizes = {r.shard: r.n for r in shards.select("shard", F.floor(F.octet_length("stored") / 8).alias("n")).collect()}
     for these in rounds(sizes, round_keys):
         slots = Slots([r.asDict() for r in shards.filter(F.col("shard").isin(these)).orderBy("shard").collect()])
         held = spark.sparkContext.broadcast(slots)
-        counts = counted(docs, held, longest, slots.n)
+        counts = counted(docs, held, known, longest, slots.n)
         sums = spark.sparkContext.broadcast(np.append(counts, 0))
         parts.append(cut(read_cuts(found, held, sums, longest)))
         held.unpersist(), sums.unpersist()
+    known.unpersist()
     every = parts[0]
     if len(parts) > 1:
         for p in parts[1:]:
